@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memberlens.plans import finance, health, locations, marketing, workforce
+from memberlens.functions import text
+from memberlens.operators.admission import mark_duplicates, mark_rate_limited
+from memberlens.operators.history import truncate_history
+from memberlens.operators.sessions import sessions
+from memberlens.plans import (
+    adhoc, compose, customers, finance, health, locations, marketing, workforce,
+)
+from memberlens.sources.messages import messages_from_conversations
 from memberlens.sources.retail import AS_OF, RetailWarehouse
-from oracles import reports
+from oracles import activity, reports
+from oracles import compose as composed
+from oracles import customers as lookups
 
 CITY = "NATION_7"
+OTHER_CITY = "NATION_3"
 ROLE = "Therapist"
 CHANNEL = "ECONOMY"
 
@@ -21,6 +33,150 @@ def _report(function: Callable[..., DataFrame], **arguments) -> Query:
     return lambda spark, folder: function(RetailWarehouse(spark, folder), **arguments)
 
 
+def _ids(wh: RetailWarehouse) -> DataFrame:
+    """Part keys as customer ids; they outnumber the customers, so some are unknown."""
+    return wh.source("part").select(F.col("p_partkey").alias("customer_id"))
+
+
+def _lookup(function: Callable[..., DataFrame], **arguments) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        wh = RetailWarehouse(spark, folder)
+        return function(wh, _ids(wh), **arguments)
+
+    return run
+
+
+def _search(spark: SparkSession, folder: str) -> DataFrame:
+    """Long, one-digit and wildcard queries made from suppliers, nations and regions."""
+    wh = RetailWarehouse(spark, folder)
+
+    def numbered(table: str, prefix: str, key: str, query: F.Column) -> DataFrame:
+        query_id = F.concat(F.lit(prefix), F.col(key).cast("string"))
+        return wh.source(table).select(query_id.alias("query_id"), query.alias("name_query"))
+
+    start = F.concat(F.lit("eR "), F.substring("s_name", 10, 8))
+    pattern = F.concat(F.lit("c_st%00"), F.col("r_regionkey").cast("string"))
+    queries = (
+        numbered("supplier", "s", "s_suppkey", start)
+        .unionByName(numbered("nation", "n", "n_nationkey", F.col("n_nationkey").cast("string")))
+        .unionByName(numbered("region", "r", "r_regionkey", pattern))
+    )
+    return customers.search_customers(wh, queries)
+
+
+def _customer_360(spark: SparkSession, folder: str) -> DataFrame:
+    wh = RetailWarehouse(spark, folder)
+    listed = F.transform(
+        "recent_activity",
+        lambda e: F.concat(e["event_id"].cast("string"), F.lit(":"), e["event_type"]),
+    )
+    return compose.customer_360(wh, _ids(wh)).select(
+        "customer_id", "found", "last_name", "membership_type", "has_renewal", "renewal_date",
+        "renewal_likelihood", "has_offer", "has_health", "ai_tier", "churn_risk",
+        "churn_probability_pct", F.array_join(listed, ",").alias("activity"),
+    )
+
+
+def _readonly_sql(spark: SparkSession, folder: str) -> DataFrame:
+    RetailWarehouse(spark, folder).register(["membership_history", "customers"])
+    return adhoc.run_readonly_sql(
+        spark,
+        """
+        WITH joined AS (
+          SELECT m.event_type, c.membership_type
+          FROM membership_history m JOIN customers c ON c.customer_id = m.customer_id)
+        SELECT event_type, membership_type, count(*) AS events
+        FROM joined GROUP BY event_type, membership_type
+        """,
+    )
+
+
+def _replies(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns as plain text, the others as JSON arrays of parts, in which system turns have no text."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    statement = F.struct(F.concat(F.lit("SELECT "), F.col("turn").cast("string")).alias("statement"))
+    said = F.to_json(F.struct("text"))
+    reply = (
+        F.when(F.col("role") == "user", F.col("text"))
+        .when(F.col("role") == "system", F.concat(F.lit("["), F.to_json(statement), F.lit("]")))
+        .otherwise(F.concat(F.lit("["), said, F.lit(", "), F.to_json(statement), F.lit("]")))
+    )
+    return adhoc.read_replies(turns.select("conv_id", "turn", reply.alias("reply")), "reply").drop(
+        "reply"
+    )
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/events.parquet")
+
+
+def _duplicates(**arguments) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        events = _events(spark, folder).select("user_id", "event_type", "ts", "event_id")
+        marked = mark_duplicates(events, ["user_id", "event_type"], "ts", "event_id", **arguments)
+        return marked.select("event_id", "is_duplicate")
+
+    return run
+
+
+def _rate_limit(**arguments) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        events = _events(spark, folder).select("user_id", "ts", "event_id")
+        marked = mark_rate_limited(events, ["user_id"], "ts", "event_id", **arguments)
+        return marked.select("event_id", "is_limited")
+
+    return run
+
+
+def _sessions(**arguments) -> Query:
+    return lambda spark, folder: sessions(_events(spark, folder), ["user_id"], "ts", **arguments)
+
+
+def _history(max_messages: int) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        turns = spark.read.parquet(f"{folder}/conversations.parquet")
+        return truncate_history(turns, "conv_id", "turn", F.col("role") == "user", max_messages)
+
+    return run
+
+
+def _thread_keys(spark: SparkSession, folder: str) -> DataFrame:
+    key = text.thread_key(F.col("channel"), F.col("thread_ts"), F.col("ts"))
+    return messages_from_conversations(spark, folder).select("event_id", key.alias("thread_key"))
+
+
+def _direct_messages(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = text.is_direct_message(F.col("subtype"), F.col("channel_type"), F.col("text"))
+    return messages_from_conversations(spark, folder).where(wanted).select(
+        "event_id", "channel", "ts", "text"
+    )
+
+
+def _message_text(spark: SparkSession, folder: str) -> DataFrame:
+    question = text.strip_mention(F.col("text"))
+    return messages_from_conversations(spark, folder).select("event_id", question.alias("question"))
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    r"""Documents as answers: a list mark before every line, a literal ``\n``, actions for English."""
+    marked = F.concat(
+        F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n* ")), F.lit("\\nend")
+    )
+    actions = F.when(
+        F.col("lang") == "en",
+        F.array(
+            F.concat(F.lit("Check "), "source", F.lit("\\nthen "), "lang"),
+            F.concat(F.lit("Keep "), "lang"),
+        ),
+    )
+    return spark.read.parquet(f"{folder}/documents.parquet").select(
+        "doc_id",
+        text.summary_section(marked).alias("summary_section"),
+        text.actions_section(actions).alias("actions_section"),
+        text.fallback_text(marked, actions).alias("fallback_text"),
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Profit and loss by location and month."""
     return finance.location_pnl(RetailWarehouse(spark, "/root/testdata/sf0.001"))
@@ -28,7 +184,20 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
     """Query and statement per name; a statement of None means rows-only."""
+    day = timedelta(days=1)
     return {
+        "r01_search_customers": (_search, lookups.search_customers()),
+        "r02_customer_profiles": (
+            _lookup(customers.customer_profiles), lookups.lookup("customers")),
+        "r03_customer_renewals": (_lookup(customers.customer_renewals), lookups.lookup("renewals")),
+        "r04_upgrade_offers": (
+            _lookup(customers.upgrade_offers), lookups.lookup("upgrade_offers")),
+        "r05_recent_activity": (
+            _lookup(customers.recent_activity), lookups.recent_activity(5)),
+        "r05_recent_activity_20": (
+            _lookup(customers.recent_activity, limit=20), lookups.recent_activity(20)),
+        "r06_customer_health": (
+            _lookup(customers.customer_health), lookups.lookup("customer_tiers")),
         "r07_churn_cohorts_tier": (
             _report(health.churn_cohorts, group_by="tier"), reports.churn_cohorts("tier")),
         "r07_churn_cohorts_risk": (
@@ -69,6 +238,47 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             reports.campaign_performance(CHANNEL)),
         "r23_campaign_retention": (
             _report(marketing.campaign_retention), reports.campaign_retention()),
+        "q01_readonly_sql": (_readonly_sql, activity.readonly_sql()),
+        "q01_read_replies": (_replies, activity.replies()),
+        "e01_duplicates": (
+            _duplicates(), activity.admission(
+                "user_id, event_type", 1, "5 MINUTE", False, "is_duplicate")),
+        "e01_duplicates_day": (
+            _duplicates(ttl=day), activity.admission(
+                "user_id, event_type", 1, "1 DAY", False, "is_duplicate")),
+        "e02_rate_limit": (
+            _rate_limit(), activity.admission("user_id", 10, "60 SECOND", True, "is_limited")),
+        "e02_rate_limit_day": (
+            _rate_limit(limit=3, window=day), activity.admission(
+                "user_id", 3, "1 DAY", True, "is_limited")),
+        "e03_sessions": (_sessions(), activity.sessions("user_id", "30 MINUTE")),
+        "e03_sessions_day": (_sessions(idle=day), activity.sessions("user_id", "1 DAY")),
+        "e04_truncated_history": (_history(4), activity.truncated_history(4)),
+        "e04_truncated_history_default": (_history(40), activity.truncated_history(40)),
+        "e05_thread_keys": (_thread_keys, activity.thread_keys()),
+        "e06_direct_messages": (_direct_messages, activity.direct_messages()),
+        "e07_message_text": (_message_text, activity.message_text()),
+        "e08_answers": (_answers, activity.answers()),
+        "c01_customer_360": (_customer_360, lookups.customer_360()),
+        "c02_revenue_outliers": (_report(compose.revenue_outliers), composed.revenue_outliers()),
+        "c03_margin_trend": (_report(compose.margin_trend), composed.margin_trend()),
+        "c03_loss_months": (
+            _report(compose.loss_months, months=24), composed.margin_trend(24, losses_only=True)),
+        "c04_understaffing": (_report(compose.understaffing), composed.understaffing()),
+        "c05_room_payback": (
+            _report(compose.room_payback, room_cost=200000), composed.room_payback(200000)),
+        "c06_capacity_pressure": (_report(compose.capacity_pressure), composed.capacity_pressure()),
+        "c07_churn_against_visits": (
+            _report(compose.churn_against_visits), composed.churn_against_visits()),
+        "c08_overtime_saving": (
+            _report(compose.overtime_saving, cut_pct=15), composed.overtime_saving(15)),
+        "c09_staffing_against_churn": (
+            _report(compose.staffing_against_churn), composed.staffing_against_churn()),
+        "c10_cost_gap": (
+            _report(compose.cost_gap, city=CITY, other_city=OTHER_CITY),
+            composed.cost_gap(CITY, OTHER_CITY)),
+        "c11_quarterly_demand": (_report(compose.quarterly_demand), composed.quarterly_demand()),
+        "c12_hiring_plan": (_report(compose.hiring_plan), composed.hiring_plan()),
     }
 
 

@@ -22,8 +22,16 @@ def location_pnl(wh: Warehouse, city: str | None = None, months: int = 6) -> Dat
     """Revenue, costs, profit and margin per location and month of the booking window.
 
     Revenue drives the result: a month with costs only has no row, a month without costs has zero.
-    A city with several locations has a row for each. Costs join on (location, month), so cost
-    months outside the booking window can never match and are left unread.
+    A city with several locations has a row for each.
+    """
+    return pnl_by_location(wh, city, months).drop("location_id").orderBy("city", "month")
+
+
+def pnl_by_location(wh: Warehouse, city: str | None, months: int) -> DataFrame:
+    """The rows of :func:`location_pnl` with their ``location_id``, unordered.
+
+    Costs join on (location, month), so cost months outside the booking window can never match and
+    are left unread.
     """
     _checked(city, months)
     sites = wh.sites(city)
@@ -46,7 +54,7 @@ def location_pnl(wh: Warehouse, city: str | None = None, months: int = 6) -> Dat
         .join(operations, ["location_id", "month"], "left")
         .join(sites, "location_id")
         .select(
-            "city", "month", number("revenue").alias("revenue"),
+            "location_id", "city", "month", number("revenue").alias("revenue"),
             number("labor_cost").alias("labor_cost"),
             number("operational_cost").alias("operational_cost"),
         )
@@ -54,7 +62,7 @@ def location_pnl(wh: Warehouse, city: str | None = None, months: int = 6) -> Dat
         .withColumn("profit", F.col("revenue") - F.col("total_cost"))
     )
     margin = percent(F.col("profit"), F.col("revenue"))
-    return joined.withColumn("margin_pct", to_fixed(margin, 2)).orderBy("city", "month")
+    return joined.withColumn("margin_pct", to_fixed(margin, 2))
 
 
 def refund_breakdown(wh: Warehouse, city: str | None = None, months: int = 12) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "memberlens", master: str | None = None, **settings: str) -> SparkSession:
@@ -44,3 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = named or tempfile.mkdtemp(prefix="run-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def stage(frame: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``frame`` once to the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, and gives the optimiser the true size, so a
+    small result is broadcast and a large one is not.
+    """
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    writer = frame.write.partitionBy(partition_by) if partition_by else frame.write
+    writer.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
