@@ -18,8 +18,9 @@ alive. No task ever holds a whole key.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 from functools import reduce
 
@@ -27,9 +28,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memberlens.functions.clock import micros, micros_of
+from memberlens.operators.lookup import top_per_key
 from memberlens.session import stage
 
 # Fixed values of the message gateway.
@@ -38,31 +39,7 @@ RATE_WINDOW = timedelta(seconds=60)
 RATE_LIMIT = 10
 
 UNITS_PER_WINDOW = 8
-CHUNK_ROWS = 1_000_000
-
-
-def decider(limit: int, span: int) -> Callable:
-    """The decision over one ordered stretch of a key, as a closure that travels to the workers."""
-
-    def decide(times: np.ndarray, live: Iterable[int]) -> tuple[np.ndarray, list[int]]:
-        """Accepted flags for ascending ``times`` and the accepted times still alive at the end.
-
-        After a rejection it jumps to the first time at which the oldest accepted event has expired,
-        so the work grows with accepted events, not with rejected ones.
-        """
-        accepted = np.zeros(len(times), dtype=bool)
-        alive = deque(live, maxlen=limit)
-        at = 0
-        while at < len(times):
-            if len(alive) == limit and times[at] - alive[0] < span:
-                at = int(np.searchsorted(times, alive[0] + span, side="left"))
-                continue
-            accepted[at] = True
-            alive.append(int(times[at]))  # a full deque drops its oldest, expired entry
-            at += 1
-        return accepted, list(alive)
-
-    return decide
+CHUNK_ROWS = 10_000_000
 
 
 def _crowded_runs(events: DataFrame, keys: list[str], limit: int, chunk_rows: int) -> DataFrame:
@@ -100,21 +77,43 @@ def _crowded_runs(events: DataFrame, keys: list[str], limit: int, chunk_rows: in
     )
 
 
-def _chunk_function(
-    group: list[str], order: str, limit: int, span: int
-) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Accepted rows of one chunk, and one row with the accepted times alive at its end."""
-    decide = decider(limit, span)
+def _accept_in_order(
+    group: list[str], limit: int, span: int
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Accepted rows of a partition sorted by ``group`` and time.
 
-    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=[*group, order, "_live"], dtype=object)
-        rows = rows.sort_values(["_us", order], kind="stable").reset_index(drop=True)
-        live = state["_live"].iloc[0] if len(state) else []
-        accepted, alive = decide(rows["_us"].to_numpy(dtype=np.int64), live)
-        kept = rows.loc[accepted, [*group, order]].assign(_live=None)
-        carried = rows.loc[[0], group].assign(**{order: None, "_live": [alive]})
-        return pd.concat([kept, carried], ignore_index=True)
+    Only the accepted times that still count are kept, so memory does not depend on the length of a
+    group. After a rejection it jumps to the first time at which the oldest accepted event has
+    expired: the work grows with accepted events, not with rejected ones.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alive: deque[int] = deque(maxlen=limit)  # when full, a new entry drops the oldest
+        last = None
+        for rows in batches:
+            if not len(rows):
+                continue
+            fresh = np.zeros(len(rows), dtype=bool)
+            for name in group:
+                values = rows[name].to_numpy()
+                fresh[1:] |= values[1:] != values[:-1]
+            first, newest = rows[group].iloc[[0, -1]].itertuples(index=False, name=None)
+            fresh[0] = first != last
+            last = newest
+            times = rows["_us"].tolist()
+            edges = [0, *np.flatnonzero(fresh[1:]) + 1, len(rows)]
+            kept = []
+            for at, end in zip(edges, edges[1:]):
+                if fresh[at]:
+                    alive.clear()
+                while at < end:
+                    if len(alive) == limit and times[at] - alive[0] < span:
+                        at = bisect_left(times, alive[0] + span, at + 1, end)
+                    else:
+                        kept.append(at)
+                        alive.append(times[at])
+                        at += 1
+            yield rows.iloc[kept]
 
     return run
 
@@ -127,29 +126,24 @@ def _accepted_in_runs(
     if last_chunk is None:
         return None
     group = [*keys, "_run"]
-    rows = timed.join(runs, [*keys, "_unit"]).select(*group, "_chunk", order, "_us")
+    columns = [*group, order, "_us", "_carried"]
+    rows = timed.join(runs, [*keys, "_unit"]).withColumn("_carried", F.lit(False))
     if last_chunk:
-        rows = stage(rows, partition_by="_chunk")
-    schema = T.StructType(
-        [timed.schema[key] for key in keys]
-        + [
-            T.StructField("_run", T.LongType()),
-            T.StructField(order, timed.schema[order].dataType),
-            T.StructField("_live", T.ArrayType(T.LongType())),
-        ]
-    )
-    state = timed.sparkSession.createDataFrame(
-        [], T.StructType([schema[name] for name in [*group, "_live"]])
-    )
-    run_chunk = _chunk_function(group, order, limit, span)
-    results = []
+        rows = stage(rows.select(*columns, "_chunk"), partition_by="_chunk")
+    accept = _accept_in_order(group, limit, span)
+    results, carried = [], None
     for chunk in range(last_chunk + 1):
-        now = rows.where(F.col("_chunk") == chunk).drop("_chunk")
-        result = stage(
-            now.groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(run_chunk, schema)
-        )
-        state = result.where(F.col(order).isNull()).select(*group, "_live")
-        results.append(result.where(F.col(order).isNotNull()).select(*keys, order))
+        now = rows.where(F.col("_chunk") == chunk).select(*columns)
+        if carried is not None:
+            # runs that go on start from their last accepted events
+            now = now.unionByName(carried.join(now.select(*group), group, "left_semi"))
+        ordered = now.repartition(*group).sortWithinPartitions(*group, "_us", order)
+        result = stage(ordered.mapInPandas(accept, ordered.schema))
+        results.append(result.where(~F.col("_carried")).select(*keys, order))
+        carried = top_per_key(
+            result.withColumn("_carried", F.lit(True)),
+            group, [F.desc("_us"), F.desc(order)], limit,
+        ).select(*columns)
     return reduce(DataFrame.unionByName, results)
 
 
