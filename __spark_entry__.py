@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from memberlens.functions import text
 from memberlens.operators.admission import mark_duplicates, mark_rate_limited
+from memberlens.operators.answers import render_answers
 from memberlens.operators.history import truncate_history
 from memberlens.operators.sessions import sessions
 from memberlens.plans import (
     adhoc, compose, customers, finance, health, locations, marketing, workforce,
 )
 from memberlens.sources.messages import messages_from_conversations
-from memberlens.sources.retail import AS_OF, RetailWarehouse
+from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
 from oracles import activity, reports
 from oracles import compose as composed
 from oracles import customers as lookups
 
-CITY = "NATION_7"
+CITY = "NATION_15"
 OTHER_CITY = "NATION_3"
 ROLE = "Therapist"
 CHANNEL = "ECONOMY"
@@ -92,8 +93,8 @@ def _readonly_sql(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns as plain text, the others as JSON arrays of parts, in which system turns have no text."""
-    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    """User turns as plain text, the others as JSON parts; system turns have no text part."""
+    turns = read_star(spark, folder, "conversations")
     statement = F.struct(F.concat(F.lit("SELECT "), F.col("turn").cast("string")).alias("statement"))
     said = F.to_json(F.struct("text"))
     reply = (
@@ -107,7 +108,7 @@ def _replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    return read_star(spark, folder, "events")
 
 
 def _duplicates(**arguments) -> Query:
@@ -134,7 +135,7 @@ def _sessions(**arguments) -> Query:
 
 def _history(max_messages: int) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        turns = spark.read.parquet(f"{folder}/conversations.parquet")
+        turns = read_star(spark, folder, "conversations")
         return truncate_history(turns, "conv_id", "turn", F.col("role") == "user", max_messages)
 
     return run
@@ -169,12 +170,10 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(F.lit("Keep "), "lang"),
         ),
     )
-    return spark.read.parquet(f"{folder}/documents.parquet").select(
-        "doc_id",
-        text.summary_section(marked).alias("summary_section"),
-        text.actions_section(actions).alias("actions_section"),
-        text.fallback_text(marked, actions).alias("fallback_text"),
+    answers = read_star(spark, folder, "documents").select(
+        "doc_id", marked.alias("summary"), actions.alias("actions")
     )
+    return render_answers(answers, "summary", "actions").drop("summary", "actions")
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -73,6 +75,21 @@ def to_fixed(value: Column, digits: int) -> Column:
     )
 
 
+def fixed(**digits: int) -> Callable[[DataFrame], DataFrame]:
+    """For ``frame.transform``: round the named columns in place with :func:`to_fixed`.
+
+    The raw values get a projection of their own, so each is computed once and the rounding works on
+    plain columns; rounding an expression directly would repeat it a dozen times.
+    """
+
+    def apply(frame: DataFrame) -> DataFrame:
+        return frame.withColumns(
+            {name: to_fixed(F.col(name), places) for name, places in digits.items()}
+        )
+
+    return apply
+
+
 def month_of(column: Column | str) -> Column:
     """First day of the month as a date."""
     return F.trunc(_column(column).cast("date"), "MM")

@@ -15,7 +15,7 @@ BLANK = (
     r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
     r"\x{3000}\x{FEFF}]"
 )
-LINE_START = r"(?<![^\n\r\x{2028}\x{2029}])"
+LINE_START = r"(?m)^(?<!\x{85})"
 MENTION = rf"^{BLANK}*<@[^>]+>{BLANK}*"
 LIST_MARK = rf"{LINE_START}({BLANK}*)[-*]{BLANK}+"
 OUTER_BLANK = rf"^{BLANK}+|{BLANK}+\z"
@@ -43,11 +43,18 @@ def cap_summary(text: Column, limit: int = MAX_SUMMARY_UNITS) -> Column:
 
     Spark counts characters; those beyond the basic plane take two units, so each gets a filler
     behind it while the text is measured and cut. A character that does not fit whole is left out.
+    Characters behind the first ``limit`` cannot change where the cut falls, so only those are
+    padded; whether the text is too long is decided on all of it.
     """
-    padded = F.regexp_replace(text, f"({ASTRAL})", "$1" + FILLER)
+    padded = F.regexp_replace(F.substring(text, 1, limit), f"({ASTRAL})", "$1" + FILLER)
     cut = F.regexp_replace(F.substring(padded, 1, limit - 1), rf"{ASTRAL}\z", "")
     shortened = F.concat(F.replace(cut, F.lit(FILLER), F.lit("")), F.lit(ELLIPSIS))
-    return F.when(F.length(padded) > limit, shortened).otherwise(text)
+    # a text has at least as many units as characters and at most as many as UTF-8 bytes
+    return (
+        F.when(F.octet_length(text) <= limit, text)
+        .when((F.length(text) > limit) | (F.length(padded) > limit), shortened)
+        .otherwise(text)
+    )
 
 
 def summary_section(summary: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.functions.rules import money, number, ratio, to_fixed, whole
+from memberlens.functions.rules import fixed, money, number, ratio, whole
 from memberlens.params import InvalidParameter, bounded_int, required_text
 from memberlens.plans import customers, finance, health, locations, workforce
 from memberlens.sources.warehouse import Warehouse
@@ -40,7 +40,9 @@ def _demand_by_city(wh: Warehouse, city: str | None, months: int) -> DataFrame:
     )
 
 
-def customer_360(wh: Warehouse, ids: DataFrame, events: int = customers.DEFAULT_ACTIVITY) -> DataFrame:
+def customer_360(
+    wh: Warehouse, ids: DataFrame, events: int = customers.DEFAULT_ACTIVITY
+) -> DataFrame:
     """Profile, renewal, offer, health and the latest events of every id, one row each."""
     one = ids.select("customer_id").distinct()
     activity = customers.recent_activity(wh, one, events)
@@ -74,6 +76,9 @@ def revenue_outliers(wh: Warehouse, months: int = 12) -> DataFrame:
     by_month = Window.partitionBy("city").orderBy("month")
     all_cities = Window.partitionBy("month")
     previous = F.lag("total_revenue").over(by_month)
+    change = ratio(
+        F.col("total_revenue") - F.col("previous_revenue"), F.col("previous_revenue"), otherwise=None
+    )
     to_median = ratio(F.col("total_revenue"), F.col("median_revenue"), otherwise=None)
     return (
         locations.revenue_trend(wh, None, months)
@@ -81,17 +86,11 @@ def revenue_outliers(wh: Warehouse, months: int = 12) -> DataFrame:
         .withColumn("median_revenue", F.median("total_revenue").over(all_cities))
         .select(
             "city", "month", "total_revenue", "previous_revenue",
-            to_fixed(
-                ratio(
-                    F.col("total_revenue") - F.col("previous_revenue"),
-                    F.col("previous_revenue"),
-                    otherwise=None,
-                ) * 100,
-                2,
-            ).alias("change_pct"),
-            to_fixed(to_median, 2).alias("ratio_to_median"),
+            (change * 100).alias("change_pct"),
+            to_median.alias("ratio_to_median"),
             F.coalesce(to_median >= OUTLIER_RATIO, F.lit(False)).alias("is_outlier"),
         )
+        .transform(fixed(change_pct=2, ratio_to_median=2))
         .orderBy("city", "month")
     )
 
@@ -104,9 +103,10 @@ def margin_trend(wh: Warehouse, city: str | None = None, months: int = 6) -> Dat
         finance.pnl_by_location(wh, city, months)
         .select(
             "city", "month", "revenue", "labor_cost", "profit", "margin_pct",
-            to_fixed(change, 2).alias("margin_change"),
+            change.alias("margin_change"),
             (F.col("labor_cost") > F.col("revenue")).alias("labor_above_revenue"),
         )
+        .transform(fixed(margin_change=2))
         .orderBy("city", "month")
     )
 
@@ -126,12 +126,13 @@ def understaffing(wh: Warehouse, city: str | None = None, months: int = 6) -> Da
         .select(
             "city",
             whole("booking_count").alias("booking_count"),
-            to_fixed(hours, 2).alias("monthly_therapist_hours"),
+            hours.alias("monthly_therapist_hours"),
             therapists.alias("therapist_headcount"),
             "open_requisitions",
-            to_fixed(ratio(hours, therapists, otherwise=None), 2).alias("hours_per_therapist"),
+            ratio(hours, therapists, otherwise=None).alias("hours_per_therapist"),
             ((therapists == 0) & (hours > 0)).alias("demand_without_staff"),
         )
+        .transform(fixed(monthly_therapist_hours=2, hours_per_therapist=2))
         .orderBy(F.desc("demand_without_staff"), F.desc_nulls_last("hours_per_therapist"), "city")
     )
 
@@ -143,8 +144,8 @@ def room_payback(
     cost = F.lit(_non_negative("room_cost", room_cost))
     per_room = F.col("avg_monthly_revenue_per_room")
     return finance.revenue_per_room(wh, city, months).withColumn(
-        "payback_months", to_fixed(ratio(cost, per_room, otherwise=None), 1)
-    )
+        "payback_months", ratio(cost, per_room, otherwise=None)
+    ).transform(fixed(payback_months=1))
 
 
 def capacity_pressure(wh: Warehouse, city: str | None = None) -> DataFrame:
@@ -152,7 +153,8 @@ def capacity_pressure(wh: Warehouse, city: str | None = None) -> DataFrame:
     capacity = F.col("monthly_capacity")
     load = ratio(F.col("predicted_bookings"), capacity, otherwise=None) * 100
     upper = ratio(F.col("upper_bound"), capacity, otherwise=None) * 100
-    full = F.when((capacity > 0) & (F.col("predicted_bookings") >= capacity), F.col("forecast_month"))
+    is_full = (capacity > 0) & (F.col("predicted_bookings") >= capacity)
+    full = F.when(is_full, F.col("forecast_month"))
     return (
         locations.booking_forecast(wh, city)
         .groupBy("city", "monthly_capacity")
@@ -162,10 +164,11 @@ def capacity_pressure(wh: Warehouse, city: str | None = None) -> DataFrame:
         )
         .select(
             "city", "monthly_capacity",
-            to_fixed(F.col("load"), 1).alias("peak_load_pct"),
-            to_fixed(F.col("upper"), 1).alias("peak_upper_load_pct"),
+            F.col("load").alias("peak_load_pct"),
+            F.col("upper").alias("peak_upper_load_pct"),
             "first_full_month",
         )
+        .transform(fixed(peak_load_pct=1, peak_upper_load_pct=1))
         .orderBy(F.desc_nulls_last("peak_load_pct"), "city")
     )
 
@@ -180,8 +183,8 @@ def churn_against_visits(wh: Warehouse) -> DataFrame:
         ).alias("correlation")
     )
     return health.churn_cohorts(wh, "churnRisk").withColumn(
-        "churn_visit_correlation", to_fixed(link.scalar(), 4)
-    )
+        "churn_visit_correlation", link.scalar()
+    ).transform(fixed(churn_visit_correlation=4))
 
 
 def overtime_saving(
@@ -196,8 +199,9 @@ def overtime_saving(
         .select(
             "city",
             number("overtime").alias("overtime_cost"),
-            to_fixed(number("overtime") * share, 2).alias("saving"),
+            (number("overtime") * share).alias("saving"),
         )
+        .transform(fixed(saving=2))
         .orderBy("city")
     )
 
@@ -210,10 +214,11 @@ def staffing_against_churn(wh: Warehouse) -> DataFrame:
         .select(
             "city", "customer_count", "avg_churn_probability_pct", "high_churn_risk_pct",
             "active_headcount", "therapist_headcount",
-            to_fixed(
-                ratio(F.col("customer_count"), F.col("therapist_headcount"), otherwise=None), 1
-            ).alias("customers_per_therapist"),
+            ratio(F.col("customer_count"), F.col("therapist_headcount"), otherwise=None).alias(
+                "customers_per_therapist"
+            ),
         )
+        .transform(fixed(customers_per_therapist=1))
         .orderBy("city")
     )
 
@@ -244,7 +249,8 @@ def cost_gap(wh: Warehouse, city: str, other_city: str, months: int = 6) -> Data
         costs.where(F.col("city").isin(city, other_city))
         .groupBy("cost_type", "item")
         .agg(of(city).alias("amount"), of(other_city).alias("other_amount"))
-        .withColumn("difference", to_fixed(F.col("amount") - F.col("other_amount"), 2))
+        .withColumn("difference", F.col("amount") - F.col("other_amount"))
+        .transform(fixed(difference=2))
         .orderBy(F.desc(F.abs("difference")), "cost_type", "item")
     )
 
@@ -253,6 +259,7 @@ def quarterly_demand(wh: Warehouse, city: str | None = None, months: int = 24) -
     """Bookings by quarter and their growth; ``months_covered`` tells partial quarters."""
     by_quarter = Window.partitionBy("city").orderBy("quarter")
     previous = F.lag("booking_count").over(by_quarter)
+    growth = ratio(F.col("booking_count") - F.col("previous"), F.col("previous"), otherwise=None)
     return (
         workforce.booking_demand(wh, city, months)
         .groupBy("city", F.trunc("month", "quarter").alias("quarter"))
@@ -266,10 +273,9 @@ def quarterly_demand(wh: Warehouse, city: str | None = None, months: int = 24) -
             "city", "quarter", "booking_count",
             number("hours").alias("therapist_hours_required"),
             "months_covered",
-            to_fixed(
-                ratio(F.col("booking_count") - F.col("previous"), F.col("previous"), None) * 100, 1
-            ).alias("growth_pct"),
+            (growth * 100).alias("growth_pct"),
         )
+        .transform(fixed(growth_pct=1))
         .orderBy("city", "quarter")
     )
 
@@ -296,15 +302,15 @@ def hiring_plan(wh: Warehouse, months: int = 6) -> DataFrame:
         cities.where("active_headcount = 0")
         .select(
             "city",
-            to_fixed(hours, 2).alias("monthly_therapist_hours"),
+            hours.alias("monthly_therapist_hours"),
             "open_requisitions",
             mean_heads.alias("heads"), mean_therapists.alias("therapists"), load.alias("load"),
             hours.alias("own_hours"),
         )
         .select(
             "city", "monthly_therapist_hours", "open_requisitions",
-            to_fixed(F.col("heads"), 1).alias("comparable_headcount"),
-            to_fixed(F.col("load"), 2).alias("comparable_hours_per_therapist"),
+            F.col("heads").alias("comparable_headcount"),
+            F.col("load").alias("comparable_hours_per_therapist"),
             F.ceil(
                 F.when(
                     (F.col("own_hours") > 0) & (F.col("load") > 0),
@@ -312,5 +318,10 @@ def hiring_plan(wh: Warehouse, months: int = 6) -> DataFrame:
                 ).otherwise(F.col("therapists"))
             ).alias("suggested_therapists"),
         )
+        .transform(
+            fixed(
+                monthly_therapist_hours=2, comparable_headcount=1, comparable_hours_per_therapist=2
+            )
+        )
         .orderBy("city")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.rules import mean, money, number, percent, ratio, to_fixed, whole
+from memberlens.functions.rules import fixed, mean, money, number, percent, ratio, whole
 from memberlens.operators.rollup import totals_by_city, totals_by_site
 from memberlens.params import bounded_int, optional_text
 from memberlens.sources.warehouse import Warehouse
@@ -62,7 +62,7 @@ def pnl_by_location(wh: Warehouse, city: str | None, months: int) -> DataFrame:
         .withColumn("profit", F.col("revenue") - F.col("total_cost"))
     )
     margin = percent(F.col("profit"), F.col("revenue"))
-    return joined.withColumn("margin_pct", to_fixed(margin, 2))
+    return joined.withColumn("margin_pct", margin).transform(fixed(margin_pct=2))
 
 
 def refund_breakdown(wh: Warehouse, city: str | None = None, months: int = 12) -> DataFrame:
@@ -86,8 +86,8 @@ def refund_breakdown(wh: Warehouse, city: str | None = None, months: int = 12) -
         whole("refund_count").alias("refund_count"),
         number("refund_amount").alias("refund_amount"),
         number("revenue").alias("revenue"),
-        to_fixed(percent(whole("refund_count"), whole("booking_count")), 2).alias("refund_rate_pct"),
-    ).orderBy("city", F.asc_nulls_last("service_type"))
+        percent(whole("refund_count"), whole("booking_count")).alias("refund_rate_pct"),
+    ).transform(fixed(refund_rate_pct=2)).orderBy("city", F.asc_nulls_last("service_type"))
 
 
 def revenue_per_room(wh: Warehouse, city: str | None = None, months: int = 6) -> DataFrame:
@@ -101,10 +101,10 @@ def revenue_per_room(wh: Warehouse, city: str | None = None, months: int = 6) ->
     monthly = number("revenue") / months
     return totals.select(
         "city",
-        to_fixed(monthly, 2).alias("avg_monthly_revenue"),
+        monthly.alias("avg_monthly_revenue"),
         whole("treatment_rooms").alias("treatment_rooms"),
-        to_fixed(ratio(monthly, whole("treatment_rooms")), 2).alias("avg_monthly_revenue_per_room"),
-    ).orderBy("city")
+        ratio(monthly, whole("treatment_rooms")).alias("avg_monthly_revenue_per_room"),
+    ).transform(fixed(avg_monthly_revenue=2, avg_monthly_revenue_per_room=2)).orderBy("city")
 
 
 def labor_cost_by_role(wh: Warehouse, city: str | None = None, months: int = 6) -> DataFrame:
@@ -122,11 +122,11 @@ def labor_cost_by_role(wh: Warehouse, city: str | None = None, months: int = 6)
     headcount = number(mean(F.col("heads"), F.col("head_rows")))
     return totals.select(
         "city", "role",
-        to_fixed(headcount, 1).alias("headcount"),
+        headcount.alias("headcount"),
         number("total_labor_cost").alias("total_labor_cost"),
         number("overtime_cost").alias("overtime_cost"),
-        to_fixed(ratio(number("total_labor_cost"), headcount), 2).alias("cost_per_employee"),
-    ).orderBy("city", "role")
+        ratio(number("total_labor_cost"), headcount).alias("cost_per_employee"),
+    ).transform(fixed(headcount=1, cost_per_employee=2)).orderBy("city", "role")
 
 
 def revenue_by_service(wh: Warehouse, city: str | None = None, months: int = 6) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.rules import mean, number, percent, to_fixed, whole
+from memberlens.functions.rules import fixed, mean, number, percent, whole
 from memberlens.operators.rollup import totals_by_city
 from memberlens.params import one_of
 from memberlens.sources.warehouse import Warehouse
@@ -33,11 +33,14 @@ def churn_cohorts(wh: Warehouse, group_by: str) -> DataFrame:
         .agg(F.count("*").alias("customer_count"), *sums, *counts)
     )
     means = [
-        to_fixed(number(mean(F.col(f"{column}_sum"), F.col(f"{column}_rows"))), digits).alias(name)
-        for name, (column, digits) in _COHORT_MEANS.items()
+        number(mean(F.col(f"{column}_sum"), F.col(f"{column}_rows"))).alias(name)
+        for name, (column, _) in _COHORT_MEANS.items()
     ]
-    return totals.select("group_value", "customer_count", *means).orderBy(
-        F.asc_nulls_last("group_value")
+    digits = {name: places for name, (_, places) in _COHORT_MEANS.items()}
+    return (
+        totals.select("group_value", "customer_count", *means)
+        .transform(fixed(**digits))
+        .orderBy(F.asc_nulls_last("group_value"))
     )
 
 
@@ -55,11 +58,11 @@ def churn_by_location(wh: Warehouse) -> DataFrame:
     return totals.select(
         "city",
         whole("customer_count").alias("customer_count"),
-        to_fixed(number(mean(F.col("churn_sum"), F.col("churn_rows"))), 1).alias(
+        number(mean(F.col("churn_sum"), F.col("churn_rows"))).alias(
             "avg_churn_probability_pct"
         ),
         whole("high_churn_risk_count").alias("high_churn_risk_count"),
-        to_fixed(percent(whole("high_churn_risk_count"), whole("customer_count")), 1).alias(
+        percent(whole("high_churn_risk_count"), whole("customer_count")).alias(
             "high_churn_risk_pct"
         ),
-    ).orderBy("city")
+    ).transform(fixed(avg_churn_probability_pct=1, high_churn_risk_pct=1)).orderBy("city")

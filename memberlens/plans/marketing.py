@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.rules import mean, money, number, percent, ratio, to_fixed, whole
+from memberlens.functions.rules import fixed, mean, money, number, percent, ratio, whole
 from memberlens.params import optional_text
 from memberlens.sources.warehouse import Warehouse
 
@@ -31,8 +31,8 @@ def campaign_performance(wh: Warehouse, channel: str | None = None) -> DataFrame
         number("budget").alias("total_budget"),
         whole("converted").alias("total_converted"),
         number("revenue").alias("total_revenue_attributed"),
-        to_fixed(cost, 2).alias("cost_per_acquisition"),
-    ).orderBy("channel")
+        cost.alias("cost_per_acquisition"),
+    ).transform(fixed(cost_per_acquisition=2)).orderBy("channel")
 
 
 def campaign_retention(wh: Warehouse) -> DataFrame:
@@ -69,8 +69,8 @@ def campaign_retention(wh: Warehouse) -> DataFrame:
         "campaign_name",
         whole("responders").alias("responded_customer_count"),
         whole("at_risk").alias("at_risk_or_unlikely_renewal_count"),
-        to_fixed(percent(whole("at_risk"), whole("responders")), 1).alias(
+        percent(whole("at_risk"), whole("responders")).alias(
             "at_risk_or_unlikely_renewal_pct"
         ),
-        to_fixed(number("churn"), 1).alias("avg_churn_probability_pct"),
-    )
+        number("churn").alias("avg_churn_probability_pct"),
+    ).transform(fixed(at_risk_or_unlikely_renewal_pct=1, avg_churn_probability_pct=1))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from memberlens.functions.rules import (
     as_of_date,
     decoded_text,
+    fixed,
     mean,
     money,
     months_between_boundaries,
     number,
     percent,
-    to_fixed,
     whole,
 )
 from memberlens.operators.rollup import totals_by_city, totals_by_site
@@ -115,16 +115,18 @@ def tenure_and_turnover(
     return totals.select(
         "city", "role",
         whole("headcount").alias("headcount"),
-        to_fixed(number(mean(F.col("tenure_sum"), F.col("tenure_rows"))), 1).alias(
+        number(mean(F.col("tenure_sum"), F.col("tenure_rows"))).alias(
             "avg_tenure_months"
         ),
         whole("terminated_count").alias("terminated_count"),
-        to_fixed(percent(whole("terminated_count"), whole("recorded")), 1).alias(
+        percent(whole("terminated_count"), whole("recorded")).alias(
             "turnover_rate_pct"
         ),
-        to_fixed(number(mean(F.col("pay_sum"), F.col("pay_rows"))), 2).alias(
+        number(mean(F.col("pay_sum"), F.col("pay_rows"))).alias(
             "avg_compensation_annual"
         ),
+    ).transform(
+        fixed(avg_tenure_months=1, turnover_rate_pct=1, avg_compensation_annual=2)
     ).orderBy("city", "role")
 
 
@@ -163,8 +165,8 @@ def recruiting_pipeline(
         "city", "role",
         whole("open_count").alias("open_count"),
         whole("filled_count").alias("filled_count"),
-        to_fixed(mean(F.col("fill_sum"), F.col("fill_rows")), 1).alias("avg_days_to_fill"),
-        to_fixed(mean(F.col("wait_sum"), F.col("wait_rows")), 1).alias(
+        mean(F.col("fill_sum"), F.col("fill_rows")).alias("avg_days_to_fill"),
+        mean(F.col("wait_sum"), F.col("wait_rows")).alias(
             "avg_days_open_for_still_open"
         ),
-    ).orderBy("city", "role")
+    ).transform(fixed(avg_days_to_fill=1, avg_days_open_for_still_open=1)).orderBy("city", "role")

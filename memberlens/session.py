@@ -23,6 +23,8 @@ def build_session(app_name: str = "memberlens", master: str | None = None, **set
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites of column expressions cost more than building the reports themselves
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **settings,
     }
     for key, value in options.items():

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memberlens.sources.retail import read_star
+
 MESSAGE_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.StringType()),
@@ -22,7 +24,7 @@ MESSAGE_SCHEMA = T.StructType(
 
 def messages_from_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as message events: turn 0 opens the thread and mentions the assistant."""
-    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    turns = read_star(spark, folder, "conversations")
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     opening = F.col("turn") == 0
     return turns.select(

@@ -157,6 +157,8 @@ def column(spark, value, function):
         ("a\\n- b", "a\n• b"),
         ("  - indented\n-none\n--- rule\r* cr - ls", "  • indented\n-none\n--- rule\r• cr • ls"),
         ("2 - 1", "2 - 1"),
+        ("- \n- b\r\n* c\n\n  - d", "• • b\r\n• c\n\n  • d"),
+        ("a\u0085- b", "a\u0085- b"),
         (" -　wide", " • wide"),
     ],
 )
