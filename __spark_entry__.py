@@ -16,8 +16,11 @@ from memberlens.operators.sessions import sessions
 from memberlens.plans import (
     adhoc, compose, customers, finance, health, locations, marketing, workforce,
 )
-from memberlens.sources.messages import messages_from_conversations
+from memberlens.sources.messages import messages_from_conversations, read_event_stream
 from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
+from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
+from memberlens.streaming.run import process_available
+from memberlens.streaming.sessions import sessions_stream
 from oracles import activity, reports
 from oracles import compose as composed
 from oracles import customers as lookups
@@ -129,6 +132,38 @@ def _rate_limit(**arguments) -> Query:
     return run
 
 
+def _event_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    schema = _events(spark, folder).schema
+    return read_event_stream(spark, folder, schema, pathGlobFilter="events.parquet").select(*columns)
+
+
+def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:
+    stream = _event_stream(spark, folder, ["user_id", "event_type", "ts", "event_id"])
+    marked = mark_duplicates_stream(
+        stream, ["user_id", "event_type"], "ts", "event_id", timedelta(days=1)
+    )
+    return process_available(marked).select("event_id", "is_duplicate")
+
+
+def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
+    stream = _event_stream(spark, folder, ["user_id", "ts", "event_id"])
+    marked = mark_rate_limited_stream(
+        stream, ["user_id"], "ts", "event_id", 3, timedelta(days=1)
+    )
+    return process_available(marked).select("event_id", "is_limited")
+
+
+def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
+    stream = _event_stream(spark, folder, ["user_id", "ts"])
+    closed = sessions_stream(stream, ["user_id"], "ts", timedelta(hours=1))
+    return process_available(closed).select(
+        "user_id",
+        F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+        F.col("last_event").cast("timestamp_ntz").alias("last_event"),
+        "event_count",
+    )
+
+
 def _sessions(**arguments) -> Query:
     return lambda spark, folder: sessions(_events(spark, folder), ["user_id"], "ts", **arguments)
 
@@ -252,6 +287,13 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
                 "user_id", 3, "1 DAY", True, "is_limited")),
         "e03_sessions": (_sessions(), activity.sessions("user_id", "30 MINUTE")),
         "e03_sessions_day": (_sessions(idle=day), activity.sessions("user_id", "1 DAY")),
+        "e01_duplicates_stream": (
+            _duplicates_stream, activity.admission(
+                "user_id, event_type", 1, "1 DAY", False, "is_duplicate")),
+        "e02_rate_limit_stream": (
+            _rate_limit_stream, activity.admission("user_id", 3, "1 DAY", True, "is_limited")),
+        "e03_sessions_stream": (
+            _sessions_stream, activity.closed_sessions("user_id", "30 MINUTE", "1 HOUR")),
         "e04_truncated_history": (_history(4), activity.truncated_history(4)),
         "e04_truncated_history_default": (_history(40), activity.truncated_history(40)),
         "e05_thread_keys": (_thread_keys, activity.thread_keys()),

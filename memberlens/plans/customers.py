@@ -92,7 +92,7 @@ def customer_health(wh: Warehouse, ids: DataFrame) -> DataFrame:
 def recent_activity(wh: Warehouse, ids: DataFrame, limit: int = DEFAULT_ACTIVITY) -> DataFrame:
     """The latest membership events of every id, newest first."""
     bounded_int("limit", limit, 1, MAX_ACTIVITY)
-    wanted = ids.select("customer_id")
+    wanted = ids.select("customer_id").distinct()
     history = wh.table("membership_history").join(wanted, "customer_id", "left_semi")
     newest = [F.desc_nulls_last("event_date"), F.desc("event_id")]
     return top_per_key(history, "customer_id", newest, limit).select(*_edge("membership_history"))

@@ -31,6 +31,13 @@ FROM (SELECT *, sum(starts) OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS
 GROUP BY {keys}, session"""
 
 
+def closed_sessions(keys: str, idle: str, delay: str) -> str:
+    """Sessions that time has closed: their idle limit passed ``delay`` before the latest event."""
+    return f"""
+SELECT * FROM ({sessions(keys, idle)})
+WHERE last_event + INTERVAL {idle} <= (SELECT max(ts) FROM events) - INTERVAL {delay}"""
+
+
 def truncated_history(limit: int) -> str:
     return f"""
 WITH placed AS (

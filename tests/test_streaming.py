@@ -1,5 +1,6 @@
 """Streams decide as the batch jobs do when files arrive in time order."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,9 @@ from memberlens.operators.admission import mark_duplicates, mark_rate_limited
 from memberlens.operators.sessions import sessions
 from memberlens.sources.messages import MESSAGE_SCHEMA, read_event_stream, read_message_stream
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
+from memberlens.streaming.history import remember_stream
 from memberlens.streaming.messages import direct_questions, mentions
+from memberlens.streaming.run import process_available
 from memberlens.streaming.sessions import sessions_stream
 
 DAY = timedelta(days=1)
@@ -98,6 +101,62 @@ def test_session_stream_equals_batch(spark, events, tmp_path):
     assert len(got) > 900
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_remembered_history_equals_one_by_one(spark, tmp_path, files):
+    rnd = random.Random(files)
+    rows, clock = [], 0
+    for order in range(400):
+        clock += rnd.choice([1, 60, 1800, 1801, 5]) if order % 40 == 0 else 5
+        role = rnd.choice(["user", "user", "assistant"])
+        # the second thread has no clean turn after its first
+        thread = f"t{order % 2}"
+        plain = rnd.random() < 0.4 if thread == "t0" else order < 2
+        when = datetime(2026, 7, 19) + timedelta(seconds=clock)
+        rows.append((thread, order, when, role if order > 1 else "user", plain))
+    schema = "thread string, n long, ts timestamp_ntz, role string, plain boolean"
+    frame = spark.createDataFrame(rows, schema)
+    folder = str(tmp_path / "messages")
+    step = -(-len(rows) // files)
+    for part in range(files):
+        piece = frame.where((F.col("n") >= part * step) & (F.col("n") < (part + 1) * step))
+        piece.coalesce(1).write.mode("append").parquet(folder)
+    stream = read_event_stream(spark, folder, frame.schema, maxFilesPerTrigger="1")
+    clean = (F.col("role") == "user") & F.col("plain")
+    result = process_available(remember_stream(stream, "thread", "ts", "n", clean, max_messages=10))
+    got = {r.n: (r.history_start, r.history_length) for r in result.collect()}
+
+    want, threads = {}, {}
+    for thread, n, when, role, plain in rows:
+        kept, last = threads.get(thread, ([], None))
+        if last and when - last > timedelta(minutes=30):
+            kept = []
+        kept = kept + [(n, role == "user" and plain)]
+        if len(kept) > 10:
+            cuts = [i for i, (_, ok) in enumerate(kept) if ok and i >= len(kept) - 10]
+            kept = kept[cuts[0]:] if cuts else kept
+        threads[thread] = (kept, when)
+        want[n] = (kept[0][0], len(kept))
+    assert got == want
+    assert max(length for _, length in got.values()) > 10
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, events, tmp_path):
+    folder = tmp_path / "events"
+    first, second = events.where("event_id < 300"), events.where("event_id >= 300")
+    home = str(tmp_path / "home")
+    for piece in (first, second):
+        piece.coalesce(1).write.mode("append").parquet(str(folder))
+        stream = read_event_stream(spark, str(folder), events.schema)
+        result = process_available(
+            mark_rate_limited_stream(stream, ["user_id"], "ts", "event_id", 3, DAY), home
+        )
+    batch = mark_rate_limited(events, ["user_id"], "ts", "event_id", 3, DAY)
+    columns = ["event_id", "is_limited"]
+    assert sorted(map(tuple, result.select(*columns).collect())) == sorted(
+        map(tuple, batch.select(*columns).collect())
+    )
+
+
 def test_message_stream(spark, tmp_path):
     rows = [
         ("E1", "C1", "im", None, "U1", "1.0", None, "hello"),
@@ -112,7 +171,8 @@ def test_message_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.table("direct").collect()] == [
         ("E1", "U1", "1.0", "C1:1.0", "hello")
     ]
-    drain(mentions(read_message_stream(spark, folder).where("channel_type = 'channel'")), "mentioned", tmp_path)
+    channel = read_message_stream(spark, folder).where("channel_type = 'channel'")
+    drain(mentions(channel), "mentioned", tmp_path)
     assert [tuple(r) for r in spark.table("mentioned").collect()] == [
         ("E3", "U1", "3.0", "C2:0.5", "how many?")
     ]
