@@ -121,7 +121,7 @@ def _accept_in_order(
 def _accepted_in_runs(
     timed: DataFrame, runs: DataFrame, keys: list[str], order: str, limit: int, span: int
 ) -> DataFrame | None:
-    """Keys and ``order`` of the accepted events of crowded runs, or None without any run."""
+    """Keys, time and ``order`` of the accepted events of crowded runs; None without any run."""
     last_chunk = runs.agg(F.max("_chunk")).first()[0]
     if last_chunk is None:
         return None
@@ -139,7 +139,7 @@ def _accepted_in_runs(
             now = now.unionByName(carried.join(now.select(*group), group, "left_semi"))
         ordered = now.repartition(*group).sortWithinPartitions(*group, "_us", order)
         result = stage(ordered.mapInPandas(accept, ordered.schema))
-        results.append(result.where(~F.col("_carried")).select(*keys, order))
+        results.append(result.where(~F.col("_carried")).select(*keys, "_us", order))
         carried = top_per_key(
             result.withColumn("_carried", F.lit(True)),
             group, [F.desc("_us"), F.desc(order)], limit,
@@ -159,7 +159,8 @@ def admit(
     """``events`` with a boolean ``accepted``.
 
     An accepted event counts while strictly less than ``window`` old. ``order`` decides between equal
-    times and must be unique within a key. Events without a key or a time are accepted.
+    times of a key and must tell such events apart; it need not be unique otherwise. Events without
+    a key or a time are accepted.
 
     The crowded runs and the events accepted in them are staged, so calling this starts jobs. Both
     are small unless most traffic is over the limit; the final joins then broadcast them and the
@@ -179,7 +180,7 @@ def admit(
         return events.withColumn("accepted", F.lit(True))
     crowded = runs.where("_crowded").select(*keys, "_unit", F.lit(True).alias("_sequential"))
     decided = timed.join(crowded, [*keys, "_unit"], "left").join(
-        kept.withColumn("_kept", F.lit(True)), [*keys, order], "left"
+        kept.withColumn("_kept", F.lit(True)), [*keys, "_us", order], "left"
     )
     accepted = F.col("_sequential").isNull() | F.col("_kept").isNotNull()
     return decided.select(*events.columns, accepted.alias("accepted"))

@@ -50,15 +50,21 @@ def match_names(
 
     Case is ignored. A backslash in a query is an ordinary character.
     """
-    literal = F.replace(F.lower("name_query"), F.lit("\\"), F.lit("\\\\"))
+    query = F.lower("name_query")
+    escaped = F.replace(query, F.lit("\\"), F.lit("\\\\"))
     patterns = queries.select(
         "query_id",
-        F.concat(F.lit("%"), literal, F.lit("%")).alias("_pattern"),
-        pattern_key(F.lower("name_query")).alias("_key"),
+        query.alias("_query"),
+        # only patterns with wildcards pay for LIKE, which compiles the pattern for every pair
+        F.when(query.rlike("[%_]"), F.concat(F.lit("%"), escaped, F.lit("%"))).alias("_pattern"),
+        pattern_key(query).alias("_key"),
     )
     keyed = people.withColumn("_name", F.lower(name)).where(F.col("_name").isNotNull())
     keyed = keyed.withColumn("_key", F.explode(name_keys(F.col("_name"))))
-    matched = keyed.join(patterns, "_key").where(F.like("_name", F.col("_pattern")))
+    matches = F.when(F.col("_pattern").isNull(), F.contains("_name", "_query")).otherwise(
+        F.like("_name", F.col("_pattern"))
+    )
+    matched = keyed.join(patterns, "_key").where(matches)
     return top_per_key(
-        matched.drop("_key", "_name", "_pattern"), "query_id", [F.asc(person_key)], limit
+        matched.drop("_key", "_name", "_query", "_pattern"), "query_id", [F.asc(person_key)], limit
     ).drop("_rank")

@@ -56,6 +56,13 @@ def test_events_without_key_or_time_are_accepted(events):
     assert got == [False] * 7 + [True]
 
 
+def test_redelivery_under_the_same_id(spark):
+    rows = [(7, at(0)), (7, at(10)), (7, at(299)), (7, at(301)), (8, at(5))]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz")
+    marked = mark_duplicates(frame, ["event_id"], "ts", "event_id").orderBy("event_id", "ts")
+    assert [r.is_duplicate for r in marked.collect()] == [False, True, True, False, False]
+
+
 def one_by_one(rows, limit, span):
     accepted, alive = {}, {}
     for user, when, i in sorted(rows):
