@@ -119,14 +119,14 @@ def _accept_in_order(
 
 
 def _accepted_in_runs(
-    timed: DataFrame, runs: DataFrame, keys: list[str], order: str, limit: int, span: int
+    timed: DataFrame, runs: DataFrame, keys: list[str], limit: int, span: int
 ) -> DataFrame | None:
-    """Keys, time and ``order`` of the accepted events of crowded runs; None without any run."""
+    """Keys, time and order of the accepted events of crowded runs; None without any run."""
     last_chunk = runs.agg(F.max("_chunk")).first()[0]
     if last_chunk is None:
         return None
     group = [*keys, "_run"]
-    columns = [*group, order, "_us", "_carried"]
+    columns = [*group, "_order", "_us", "_carried"]
     rows = timed.join(runs, [*keys, "_unit"]).withColumn("_carried", F.lit(False))
     if last_chunk:
         rows = stage(rows.select(*columns, "_chunk"), partition_by="_chunk")
@@ -137,12 +137,12 @@ def _accepted_in_runs(
         if carried is not None:
             # runs that go on start from their last accepted events
             now = now.unionByName(carried.join(now.select(*group), group, "left_semi"))
-        ordered = now.repartition(*group).sortWithinPartitions(*group, "_us", order)
+        ordered = now.repartition(*group).sortWithinPartitions(*group, "_us", "_order")
         result = stage(ordered.mapInPandas(accept, ordered.schema))
-        results.append(result.where(~F.col("_carried")).select(*keys, "_us", order))
+        results.append(result.where(~F.col("_carried")).select(*keys, "_us", "_order"))
         carried = top_per_key(
             result.withColumn("_carried", F.lit(True)),
-            group, [F.desc("_us"), F.desc(order)], limit,
+            group, [F.desc("_us"), F.desc("_order")], limit,
         ).select(*columns)
     return reduce(DataFrame.unionByName, results)
 
@@ -169,18 +169,18 @@ def admit(
     """
     span = micros(window)
     unit = -(-span // UNITS_PER_WINDOW)
-    timed = events.withColumn("_us", micros_of(events, ts))
+    timed = events.withColumns({"_us": micros_of(events, ts), "_order": F.col(order)})
     timed = timed.withColumn("_unit", F.floor(F.col("_us") / unit).cast("long"))
     present = F.col("_us").isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
     runs = stage(_crowded_runs(timed.where(present), keys, limit, chunk_rows))
-    kept = _accepted_in_runs(timed, runs, keys, order, limit, span)
+    kept = _accepted_in_runs(timed, runs, keys, limit, span)
     if kept is None:
         return events.withColumn("accepted", F.lit(True))
     crowded = runs.where("_crowded").select(*keys, "_unit", F.lit(True).alias("_sequential"))
     decided = timed.join(crowded, [*keys, "_unit"], "left").join(
-        kept.withColumn("_kept", F.lit(True)), [*keys, "_us", order], "left"
+        kept.withColumn("_kept", F.lit(True)), [*keys, "_us", "_order"], "left"
     )
     accepted = F.col("_sequential").isNull() | F.col("_kept").isNotNull()
     return decided.select(*events.columns, accepted.alias("accepted"))

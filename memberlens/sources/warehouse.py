@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memberlens.schemas import MONTH_COLUMNS, TABLES
 
@@ -93,14 +94,21 @@ class Warehouse:
 
 
 class ParquetWarehouse(Warehouse):
-    """One parquet folder per table below ``root``; declared schemas, so nothing is inferred."""
+    """One parquet folder per table below ``root``.
+
+    Numbers keep the precision of the files. A table's schema is read from a single footer, once.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         super().__init__(spark)
         self.root = root
+        self._schemas: dict[str, T.StructType] = {}
 
     def _load(self, name: str, columns: list[str]) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        path = f"{self.root}/{name}"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
 
 class FrameWarehouse(Warehouse):
