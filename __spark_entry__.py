@@ -16,6 +16,7 @@ from memberlens.operators.sessions import sessions
 from memberlens.plans import (
     adhoc, compose, customers, finance, health, locations, marketing, workforce,
 )
+from memberlens.schemas import enumerated_values
 from memberlens.sources.messages import messages_from_conversations, read_event_stream
 from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
@@ -156,12 +157,7 @@ def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
 def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = _event_stream(spark, folder, ["user_id", "ts"])
     closed = sessions_stream(stream, ["user_id"], "ts", timedelta(hours=1))
-    return process_available(closed).select(
-        "user_id",
-        F.col("session_start").cast("timestamp_ntz").alias("session_start"),
-        F.col("last_event").cast("timestamp_ntz").alias("last_event"),
-        "event_count",
-    )
+    return process_available(closed)
 
 
 def _sessions(**arguments) -> Query:
@@ -235,7 +231,8 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         "r07_churn_cohorts_tier": (
             _report(health.churn_cohorts, group_by="tier"), reports.churn_cohorts("tier")),
         "r07_churn_cohorts_risk": (
-            _report(health.churn_cohorts, group_by="churnRisk"), reports.churn_cohorts("churnRisk")),
+            _report(health.churn_cohorts, group_by="churnRisk"),
+            reports.churn_cohorts("churnRisk")),
         "r08_churn_by_location": (_report(health.churn_by_location), reports.churn_by_location()),
         "r09_revenue_trend": (_report(locations.revenue_trend), reports.revenue_trend()),
         "r09_revenue_trend_city": (
@@ -251,20 +248,45 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         "r12_refund_breakdown_city": (
             _report(finance.refund_breakdown, city=CITY), reports.refund_breakdown(12, CITY)),
         "r13_revenue_per_room": (_report(finance.revenue_per_room), reports.revenue_per_room()),
-        "r14_labor_cost_by_role": (_report(finance.labor_cost_by_role), reports.labor_cost_by_role()),
-        "r15_revenue_by_service": (_report(finance.revenue_by_service), reports.revenue_by_service()),
+        "r13_revenue_per_room_city": (
+            _report(finance.revenue_per_room, city=CITY, months=24),
+            reports.revenue_per_room(24, CITY)),
+        "r14_labor_cost_by_role": (
+            _report(finance.labor_cost_by_role), reports.labor_cost_by_role()),
+        "r14_labor_cost_by_role_city": (
+            _report(finance.labor_cost_by_role, city=CITY, months=24),
+            reports.labor_cost_by_role(24, CITY)),
+        "r15_revenue_by_service": (
+            _report(finance.revenue_by_service), reports.revenue_by_service()),
+        "r15_revenue_by_service_city": (
+            _report(finance.revenue_by_service, city=CITY, months=24),
+            reports.revenue_by_service(24, CITY)),
         "r16_operational_costs_by_category": (
-            _report(finance.operational_costs_by_category), reports.operational_costs_by_category()),
+            _report(finance.operational_costs_by_category),
+            reports.operational_costs_by_category()),
+        "r16_operational_costs_by_category_city": (
+            _report(finance.operational_costs_by_category, city=CITY, months=24),
+            reports.operational_costs_by_category(24, CITY)),
         "r17_booking_demand": (_report(workforce.booking_demand), reports.booking_demand()),
+        "r17_booking_demand_city": (
+            _report(workforce.booking_demand, city=CITY, months=24),
+            reports.booking_demand(24, CITY)),
         "r18_staffing_summary": (_report(workforce.staffing_summary), reports.staffing_summary()),
+        "r18_staffing_summary_city": (
+            _report(workforce.staffing_summary, city=CITY), reports.staffing_summary(CITY)),
         "r19_tenure_and_turnover": (
             _report(workforce.tenure_and_turnover, as_of=AS_OF), reports.tenure_and_turnover()),
         "r19_tenure_and_turnover_role": (
             _report(workforce.tenure_and_turnover, role=ROLE, city=CITY, as_of=AS_OF),
             reports.tenure_and_turnover(CITY, ROLE)),
         "r20_retention_risk": (_report(workforce.retention_risk), reports.retention_risk()),
+        "r20_retention_risk_city": (
+            _report(workforce.retention_risk, city=CITY), reports.retention_risk(CITY)),
         "r21_recruiting_pipeline": (
             _report(workforce.recruiting_pipeline, as_of=AS_OF), reports.recruiting_pipeline()),
+        "r21_recruiting_pipeline_role": (
+            _report(workforce.recruiting_pipeline, role=ROLE, as_of=AS_OF),
+            reports.recruiting_pipeline(role=ROLE)),
         "r22_campaign_performance": (
             _report(marketing.campaign_performance), reports.campaign_performance()),
         "r22_campaign_performance_channel": (
@@ -272,6 +294,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             reports.campaign_performance(CHANNEL)),
         "r23_campaign_retention": (
             _report(marketing.campaign_retention), reports.campaign_retention()),
+        "dq_enumerated_values": (_report(enumerated_values), reports.enumerated_values()),
         "q01_readonly_sql": (_readonly_sql, activity.readonly_sql()),
         "q01_read_replies": (_replies, activity.replies()),
         "e01_duplicates": (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,19 +112,19 @@ ALLOWED_VALUES = {
 }
 
 
-def disallowed_values(warehouse) -> DataFrame:
-    """Rows per table, column and value outside :data:`ALLOWED_VALUES`; empty when data is clean."""
-    findings = [
+def enumerated_values(warehouse) -> DataFrame:
+    """Row counts of every value in the closed columns, telling which values are not allowed."""
+    counts = [
         warehouse.table(table, [column])
-        .where(F.col(column).isNotNull() & ~F.col(column).isin(values))
         .groupBy(F.col(column).alias("value"))
         .agg(F.count("*").alias("row_count"))
         .select(
-            F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value", "row_count"
+            F.lit(table).alias("table_name"),
+            F.lit(column).alias("column_name"),
+            "value",
+            "row_count",
+            F.coalesce(F.col("value").isin(values), F.lit(False)).alias("is_allowed"),
         )
         for (table, column), values in ALLOWED_VALUES.items()
     ]
-    result = findings[0]
-    for finding in findings[1:]:
-        result = result.unionByName(finding)
-    return result
+    return reduce(DataFrame.unionByName, counts)

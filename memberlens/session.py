@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "memberlens", master: str | None = None, **settings: str) -> SparkSession:
@@ -57,6 +58,9 @@ def stage(frame: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    writer = frame.write.partitionBy(partition_by) if partition_by else frame.write
+    writer = frame.write
+    if partition_by:
+        # few files per folder, while a hot folder is still split over several writers
+        writer = frame.hint("rebalance", F.col(partition_by)).write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -85,8 +85,8 @@ class Warehouse:
             frame = self.table(name)
             if name in MONTH_COLUMNS:
                 month = MONTH_COLUMNS[name]
-                # the second key spreads a hot month over many writers
-                frame.repartition(month, *frame.columns[:1]).write.mode("overwrite").partitionBy(
+                # few files per month, yet a hot month is split over several writers
+                frame.hint("rebalance", F.col(month)).write.mode("overwrite").partitionBy(
                     month
                 ).parquet(f"{root}/{name}")
             else:

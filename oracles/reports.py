@@ -230,3 +230,22 @@ FROM (SELECT campaign_name, count(*) AS responded_customer_count,
         responders="""
   SELECT DISTINCT campaign_id, customer_id FROM campaign_responses""",
     )
+
+
+def enumerated_values() -> str:
+    closed = {
+        ("renewals", "renewal_likelihood"): ["At Risk", "Moderate", "Unlikely", "Very Likely"],
+        ("membership_history", "event_type"): [
+            "Signup", "Upgrade", "Downgrade", "Renewal", "Cancellation",
+        ],
+        ("customer_tiers", "ai_tier"): ["Bronze", "Silver", "Gold", "Platinum"],
+        ("customer_tiers", "churn_risk"): ["High", "Medium", "Low"],
+    }
+    parts = [
+        f"""SELECT '{table}' AS table_name, '{column}' AS column_name, {column} AS value,
+       count(*) AS row_count, coalesce({column} IN ({", ".join(f"'{v}'" for v in values)}), false)
+         AS is_allowed
+FROM {table} GROUP BY {column}"""
+        for (table, column), values in closed.items()
+    ]
+    return with_tables("\nUNION ALL\n".join(parts))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memberlens.params import InvalidParameter
 from memberlens.plans import compose, finance, health, locations, marketing, workforce
-from memberlens.schemas import TABLES, disallowed_values
+from memberlens.schemas import TABLES, enumerated_values
 from memberlens.sources.warehouse import FrameWarehouse, ParquetWarehouse
 
 M = {n: date(2024, n, 1) for n in range(1, 13)}
@@ -276,7 +276,18 @@ def test_churn_reports(tables):
     assert [r[0] for r in rows(health.churn_cohorts(wh, "churnRisk"))] == ["High", "Low"]
     assert rows(health.churn_by_location(wh)) == [("A", 3, 37.0, 1, 33.3)]
     assert dicts(compose.churn_against_visits(wh))[0]["churn_visit_correlation"] == 1.0
-    assert disallowed_values(wh).collect() == []
+
+
+def test_closed_values_are_checked(tables):
+    wh = tables(
+        customer_tiers=[{"customer_id": i, "churn_risk": risk, "ai_tier": "Gold"}
+                        for i, risk in enumerate(["High", "high", None, "High"])],
+    )
+    got = {(r[1], r[2]): r[3:] for r in rows(enumerated_values(wh))}
+    assert got == {
+        ("churn_risk", "High"): (2, True), ("churn_risk", "high"): (1, False),
+        ("churn_risk", None): (1, False), ("ai_tier", "Gold"): (4, True),
+    }
 
 
 def test_outliers_and_gaps(tables):
