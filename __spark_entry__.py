@@ -135,7 +135,8 @@ def _rate_limit(**arguments) -> Query:
 
 def _event_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     schema = _events(spark, folder).schema
-    return read_event_stream(spark, folder, schema, pathGlobFilter="events.parquet").select(*columns)
+    # a pattern, since the stream source takes a plain path for a folder only
+    return read_event_stream(spark, f"{folder}/{{events.parquet}}", schema).select(*columns)
 
 
 def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Many contains-patterns against many names, as an equi-join instead of all pairs.
 
 A pattern matches a name when the name contains it, ``%`` and ``_`` acting as wildcards. Every name
-that contains a pattern also contains each three-letter piece of the pattern's literal runs. So each
-pattern is keyed by one such piece, each name by all the pieces it holds, and only pairs that share a
-key are tested with LIKE. Shorter patterns are keyed by one letter and patterns without any letter by
-the empty piece, which every name holds.
+that contains a pattern also contains every piece of the pattern's literal runs. So each pattern is
+keyed by one such piece, as long as its longest run allows, each name by all the pieces it holds, and
+only pairs that share a key are tested. Patterns without any letter are keyed by the empty piece,
+which every name holds.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from memberlens.operators.lookup import top_per_key
 
-PIECE = 3
+PIECES = (6, 3, 1)
 
 
 def pattern_key(pattern: Column) -> Column:
-    """The last three letters of the longest literal run; one letter or none for shorter runs.
+    """The end of the longest literal run, cut to the longest piece length it fills.
 
     Names often begin alike, so the end of a run is the more selective part.
     """
@@ -28,19 +28,21 @@ def pattern_key(pattern: Column) -> Column:
         F.lit(""),
         lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best),
     )
-    return (
-        F.when(F.length(longest) >= PIECE, F.substring(longest, -PIECE, PIECE))
-        .when(F.length(longest) >= 1, F.substring(longest, -1, 1))
-        .otherwise("")
-    )
+    key = F.lit("")
+    for size in reversed(PIECES):
+        key = F.when(F.length(longest) >= size, F.substring(longest, -size, size)).otherwise(key)
+    return key
 
 
 def name_keys(name: Column) -> Column:
     """All keys under which a name can be found, each once."""
-    letters = F.filter(F.split(name, ""), lambda letter: letter != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - (PIECE - 1), F.lit(1)))
-    pieces = F.transform(starts, lambda at: F.substring(name, at, PIECE))
-    return F.array_distinct(F.concat(F.array(F.lit("")), letters, pieces))
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(name) - (size - 1))
+        cut = F.transform(starts, lambda at: F.substring(name, at, size))
+        return F.when(F.length(name) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(size) for size in PIECES]))
 
 
 def match_names(
@@ -48,23 +50,23 @@ def match_names(
 ) -> DataFrame:
     """Up to ``limit`` people per row of ``queries(query_id, name_query)``, lowest key first.
 
-    Case is ignored. A backslash in a query is an ordinary character.
+    Case is ignored. A backslash in a query is an ordinary character. Equal texts are searched once,
+    and their few matches handed to every query that asked for them.
     """
-    query = F.lower("name_query")
-    escaped = F.replace(query, F.lit("\\"), F.lit("\\\\"))
-    patterns = queries.select(
-        "query_id",
-        query.alias("_query"),
+    asked = queries.select("query_id", F.lower("name_query").alias("_query"))
+    text = F.col("_query")
+    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    patterns = asked.select(text).distinct().select(
+        text,
         # only patterns with wildcards pay for LIKE, which compiles the pattern for every pair
-        F.when(query.rlike("[%_]"), F.concat(F.lit("%"), escaped, F.lit("%"))).alias("_pattern"),
-        pattern_key(query).alias("_key"),
+        F.when(text.rlike("[%_]"), F.concat(F.lit("%"), escaped, F.lit("%"))).alias("_pattern"),
+        pattern_key(text).alias("_key"),
     )
     keyed = people.withColumn("_name", F.lower(name)).where(F.col("_name").isNotNull())
     keyed = keyed.withColumn("_key", F.explode(name_keys(F.col("_name"))))
     matches = F.when(F.col("_pattern").isNull(), F.contains("_name", "_query")).otherwise(
         F.like("_name", F.col("_pattern"))
     )
-    matched = keyed.join(patterns, "_key").where(matches)
-    return top_per_key(
-        matched.drop("_key", "_name", "_query", "_pattern"), "query_id", [F.asc(person_key)], limit
-    ).drop("_rank")
+    matched = keyed.join(patterns, "_key").where(matches).drop("_key", "_name", "_pattern")
+    first = top_per_key(matched, "_query", [F.asc(person_key)], limit).drop("_rank")
+    return asked.join(first, "_query").drop("_query")

@@ -1,7 +1,7 @@
 """De-duplication and rate limiting on event streams, one small state per key.
 
 The rules are those of :mod:`memberlens.operators.admission`. Rows of a key are put in order within
-each micro-batch; a row that arrives in a later micro-batch with an earlier time is decided against
+each micro-batch, whose size the source bounds (``maxFilesPerTrigger``, ``maxBytesPerTrigger``); a row that arrives in a later micro-batch with an earlier time is decided against
 the state as it then is, and decisions already made stay. ``dropDuplicatesWithinWatermark`` would not
 do: there a duplicate is measured against the watermark, not against the accepted delivery.
 """
@@ -31,20 +31,21 @@ def _decide_batch(
             state.remove()
             return
         alive = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
-        refused = []
-        for now in rows["_us"].tolist():
-            alive = [then for then in alive if now - then < span]
-            refused.append(len(alive) >= limit)
-            if not refused[-1]:
-                alive.append(now)
+        given = list(batches)
+        rows = given[0] if len(given) == 1 else pd.concat(given, ignore_index=True)
+        times, places = rows["_us"].tolist(), rows[order].tolist()
+        refused = [False] * len(times)
+        for at in sorted(range(len(times)), key=lambda i: (times[i], places[i])):
+            alive = [then for then in alive if times[at] - then < span]
+            refused[at] = len(alive) >= limit
+            if not refused[at]:
+                alive.append(times[at])
         state.update((alive,))
         if expires:
             # a state that has run out changes no decision, so it may go
             until = (max(alive) + span) // 1000 + 1
             state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        rows[flag] = refused
-        yield rows[[*columns, flag]]
+        yield rows[columns].assign(**{flag: refused})
 
     return run
 
