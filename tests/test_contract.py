@@ -34,8 +34,12 @@ def test_every_query_has_a_statement():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_statement(spark, small, duck, name):
+def test_query_matches_statement(spark, small, duck, name, capsys):
     frame = QUERIES[name](spark, small)
+    capsys.readouterr()
+    frame.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     result = duck.execute(STATEMENTS[name])
     types = {d[0]: str(d[1]) for d in result.description}
     assert {f.name: FAMILY[f.dataType.simpleString()] for f in frame.schema.fields} == types
@@ -47,5 +51,19 @@ def test_query_matches_statement(spark, small, duck, name):
     assert mine
 
 
+@pytest.mark.parametrize(
+    "name, facts",
+    [("r09_revenue_trend", 1), ("r11_location_pnl", 3), ("r14_labor_cost_by_role", 1),
+     ("r10_booking_forecast", 1), ("r18_staffing_summary", 1)],
+)
+def test_look_back_reaches_the_scan(spark, small, name, facts, capsys):
+    QUERIES[name](spark, small).explain("formatted")
+    pushed = [
+        line for line in capsys.readouterr().out.splitlines()
+        if "PushedFilters" in line and "date,ScalarSubquery" in line
+    ]
+    assert len(pushed) == facts
+
+
 def test_entry(spark, small):
     assert entries.entry(spark).count() > 0
