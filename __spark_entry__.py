@@ -26,8 +26,8 @@ from oracles import activity, reports
 from oracles import compose as composed
 from oracles import customers as lookups
 
-CITY = "NATION_15"
-OTHER_CITY = "NATION_3"
+CITY = "NATION_18"
+OTHER_CITY = "NATION_8"
 ROLE = "Therapist"
 CHANNEL = "ECONOMY"
 
