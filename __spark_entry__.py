@@ -26,6 +26,12 @@ from oracles import activity, reports
 from oracles import compose as composed
 from oracles import customers as lookups
 
+try:  # the training-data subpackage and its pipeline may be left out
+    import corpus_pipeline
+    from memberlens.llm import queries as training
+except ImportError:
+    corpus_pipeline = training = None
+
 CITY = "NATION_18"
 OTHER_CITY = "NATION_8"
 ROLE = "Therapist"
@@ -348,8 +354,16 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
 
 
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in _entries().items()}
+    named = {name: query for name, (query, _) in _entries().items()}
+    if training is not None:
+        named |= training.queries() | {"pipeline": corpus_pipeline.run}
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _entries().items() if text is not None}
+    statements = {name: text for name, (_, text) in _entries().items() if text is not None}
+    if training is not None:
+        statements |= training.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
