@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 #: bits of the fixed-size filter over ids: 1 MB, whatever the number of ids
 FILTER_BITS = 1 << 23
 #: words whose hash a Python worker remembers
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
+#: bytes of a batch that a task hands to Python; long texts make batches of few rows
+BATCH_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on a batch handed to Python holds BATCH_BYTES at most, or one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_batches(
     frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
     """``function`` over every Arrow batch of ``frame``; no batch is kept."""
+    bound_batches(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

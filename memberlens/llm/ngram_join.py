@@ -2,9 +2,10 @@
 
 A text's set holds its distinct five-word shingles. In one order that holds for all texts, rare
 shingles first, two sets of similarity t share at least m shingles among their first
-``n - ceil(t * n) + m`` ones, for every m. A larger m lengthens the prefix and asks for more shared
-shingles; each text takes the m with the least estimated cost and, as the larger of a pair, decides
-what the pair must share before its texts are compared.
+``n - a + m`` ones, for every m, where ``a = ceil(t / (1 + t) * (n + n'))`` is what sets of n and n' must
+share. A larger m lengthens the prefix and asks for more shared shingles; each text takes the m with the
+least estimated cost and, as the larger of a pair, decides what the pair must share before its texts are
+compared. Changed words make rare shingles, which come first, so texts that differ too much share nothing.
 
 Steps: (1) counts of all shingles in a sketch of fixed size, (2) prefixes and m per text, (3) equal
 texts become one class, (4) texts that share a smallest shingle are compared with one of them, which
@@ -39,7 +40,7 @@ SMALLEST = 6
 #: a shingle that may be in more texts than this is counted by grouping, not by a window
 HOT_TEXTS = 100_000
 #: words handled at once in a task
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 250_000
 
 
 def shingle_sets(texts: Iterator[bytes], width: int) -> Iterator[np.ndarray]:
@@ -109,8 +110,8 @@ def similarity_join(
     linked = stage(_compared(_stars(kept, percent), known, width, percent))
     joined = components(linked)
     pairs = stage(_shared_prefixes(kept, joined, percent))
-    # first one partner in each component, then whatever is still in different components
-    best = W.partitionBy("a", "component_b").orderBy(F.desc("shared"), "b")
+    # first one partner for each text, then whatever is still in different components
+    best = W.partitionBy("a").orderBy(F.desc("shared"), "b")
     first = pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("a", "b")
     linked = linked.unionByName(stage(_compared(first, known, width, percent)))
     joined = components(linked)
@@ -196,7 +197,7 @@ def _prefixes(docs: DataFrame, totals: np.ndarray, width: int, percent: int, hot
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rank, others, is_hot = shared.value
-        out: dict[str, list] = {k: [] for k in ("n", "words_key", "m", "length", "tokens", "hot", "smallest")}
+        out: dict[str, list] = {k: [] for k in ("n", "words_key", "m", "tokens", "hot", "smallest")}
         texts = list(texts_of(batch.column("text")))
         for text, found in zip(texts, shingle_sets(iter(texts), width), strict=True):
             n = len(found)
@@ -213,18 +214,17 @@ def _prefixes(docs: DataFrame, totals: np.ndarray, width: int, percent: int, hot
             out["n"].append(n)
             out["words_key"].append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
             out["m"].append(best)
-            out["length"].append(n - need + 1)
             out["tokens"].append(found[order].view(np.int64))
             out["hot"].append(is_hot[at[order]])
             # another order than the prefixes', in which changed words do not come first
             out["smallest"].append(np.sort(mixed(found + np.uint64(1)))[:SMALLEST].view(np.int64))
-        types = {"n": pa.int64(), "words_key": pa.binary(), "m": pa.int32(), "length": pa.int32(),
+        types = {"n": pa.int64(), "words_key": pa.binary(), "m": pa.int32(),
                  "tokens": pa.list_(pa.int64()), "hot": pa.list_(pa.bool_()), "smallest": pa.list_(pa.int64())}
         return pa.record_batch({"id": batch.column("id")} | {k: pa.array(v, types[k]) for k, v in out.items()})
 
     return map_batches(
         docs.select("id", "text"), of,
-        "id long, n long, words_key binary, m int, length int, tokens array<long>, hot array<boolean>, smallest array<long>",
+        "id long, n long, words_key binary, m int, tokens array<long>, hot array<boolean>, smallest array<long>",
     )
 
 
@@ -269,20 +269,18 @@ def _compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 def _shared_prefixes(kept: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that share as many prefix shingles as the larger text asks for."""
-    layer = F.greatest(F.lit(1), F.col("at") + 2 - F.col("length"))
-    rows = (
-        kept.select("id", "length", F.posexplode(F.arrays_zip("tokens", "hot")).alias("at", "entry"))
-        .select("id", F.col("entry.tokens").alias("token"), F.col("entry.hot").alias("hot"), layer.cast("tinyint").alias("layer"))
+    rows = kept.select("id", F.posexplode(F.arrays_zip("tokens", "hot")).alias("at", "entry")).select(
+        "id", F.col("entry.tokens").alias("token"), F.col("entry.hot").alias("hot"), "at"
     )
     # a shingle of one text only makes no pair. The sketch bounds the others' texts, so that a window
     # over one shingle is bounded; those beyond the bound are counted by a grouped sum instead
     cold = (
         rows.where("not hot").withColumn("texts", F.count("*").over(W.partitionBy("token")))
-        .where("texts > 1").select("token", "id", "layer")
+        .where("texts > 1").select("token", "id", "at")
     )
     hot = rows.where("hot")
     often = hot.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
-    warm = hot.join(often, "token").select("token", "id", "layer")
+    warm = hot.join(often, "token").select("token", "id", "at")
     traits = kept.select("id", "n", "m").join(joined, "id", "left").select(
         "id", "n", "m", F.coalesce("component", "id").alias("component")
     )
@@ -296,31 +294,28 @@ def _shared_prefixes(kept: DataFrame, joined: DataFrame, percent: int) -> DataFr
     )
     open_rows = listed.join(tokens.select("token", "major"), "token")
     left, right = (
-        open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "m", "layer", "component")), *extra)
+        open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "m", "at", "component")), *extra)
         for s, extra in (("a", ["major"]), ("b", []))
     )
     larger = "(n_a > n_b or (n_a = n_b and id_a > id_b))"
     asked = f"if({larger}, m_a, m_b)"
+    must_share = f"ceil({percent} * (n_a + n_b) / {100 + percent})"
     met = (
         left.where("component_a <> major")
         .join(right, "token")
         .where("component_a <> component_b and (component_b = major or id_a < id_b)")
         .where(_near_sizes(percent, "n_a", "n_b"))
-        .where(f"layer_a <= {asked} and layer_b <= {asked}")
+        .where(f"at_a < n_a - {must_share} + {asked} and at_b < n_b - {must_share} + {asked}")
         .select(
-            F.col("id_a").alias("a"), F.col("id_b").alias("b"), "component_a", "component_b",
-            F.expr(asked).alias("asked"),
+            F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.expr(asked).alias("asked"),
         )
     )
     # which side is a depends on the shingle; a pair is one pair either way
     swap = "a < b"
-    ordered = met.selectExpr(
-        f"if({swap}, a, b) as a", f"if({swap}, b, a) as b",
-        f"if({swap}, component_b, component_a) as component_b", "asked",
-    )
+    ordered = met.selectExpr(f"if({swap}, a, b) as a", f"if({swap}, b, a) as b", "asked")
     return (
-        ordered.groupBy("a", "b", "component_b", "asked").agg(F.count("*").alias("shared"))
-        .where("shared >= asked").select("a", "b", "component_b", "shared")
+        ordered.groupBy("a", "b", "asked").agg(F.count("*").alias("shared"))
+        .where("shared >= asked").select("a", "b", "shared")
     )
 
 
