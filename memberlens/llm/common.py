@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 #: bits of the fixed-size filter over ids: 1 MB, whatever the number of ids
 FILTER_BITS = 1 << 23
 #: words whose hash a Python worker remembers
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 150_000
 #: bytes of a batch that a task hands to Python; long texts make batches of few rows
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,6 +37,7 @@ def map_batches(
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)
+                pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 

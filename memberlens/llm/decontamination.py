@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memberlens.llm.common import texts_of, word_hashes
+from memberlens.llm.common import bound_batches, texts_of, word_hashes
 from memberlens.session import stage
 
 #: words of an item that make a test phrase
@@ -76,6 +76,7 @@ def build_index(
     With ``flags`` only terms whose hash is flagged are entered, since no phrase asks for another.
     Documents are never cut; one longer than a segment makes a segment of its own.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def segment(number: int, held: list[tuple]) -> pa.RecordBatch:

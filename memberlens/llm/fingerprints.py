@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.common import id_order
+from memberlens.llm.common import bound_batches, id_order
 
 BUCKETS = 256
 #: a distance of three quartiles weighs as much as six of one
@@ -89,6 +89,7 @@ def with_successors(
     to its range in one exchange. Ties of id are ordered by text.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     narrow = docs.select(
         id_order(F.col(id_column)).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memberlens.llm.common import map_batches, mixed, only_ids, texts_of, word_hashes
+from memberlens.llm.common import bound_batches, map_batches, mixed, only_ids, texts_of, word_hashes
 from memberlens.llm.components import components
 from memberlens.session import stage
 
@@ -97,6 +97,7 @@ def similarity_join(
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     known = narrow.where("id is not null")
+    bound_batches(docs.sparkSession)
     totals = _sketch(known, width)
     rows = stage(_prefixes(known, totals, width, percent, hot_texts))
 

@@ -31,8 +31,8 @@ from memberlens.session import stage
 CHUNK = 65_536
 #: chunks whose matrices one task combines
 BLOCK = 256
-REMEMBERED_WORDS = 500_000
-REMEMBERED_PAIRS = 200_000
+REMEMBERED_WORDS = 150_000
+REMEMBERED_PAIRS = 100_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 State = tuple[int, int]  # a piece over a border: how far it started before it, and its length

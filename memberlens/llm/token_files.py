@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memberlens.llm.common import id_order
+from memberlens.llm.common import bound_batches, id_order
 from memberlens.llm.encoding import encoder
 from memberlens.session import ensure_checkpoint_dir
 
@@ -48,6 +48,7 @@ def write_tokens(
     text is empty, a missing id comes first and is stored as the smallest 64-bit number. A task that
     runs again writes its files anew under another name, and only the finished task's names are listed.
     """
+    bound_batches(docs.sparkSession)
     ordered = docs.select(id_order(F.col(id_column)).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     spread = F.xxhash64("text")
     ranged = ordered.repartitionByRange(
