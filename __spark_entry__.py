@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -17,10 +18,11 @@ from memberlens.plans import (
     adhoc, compose, customers, finance, health, locations, marketing, workforce,
 )
 from memberlens.schemas import enumerated_values
+from memberlens.session import ensure_checkpoint_dir
 from memberlens.sources.messages import messages_from_conversations, read_event_stream
 from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
-from memberlens.streaming.run import process_available
+from memberlens.streaming.run import process_and_close, process_available
 from memberlens.streaming.sessions import sessions_stream
 from oracles import activity, reports
 from oracles import compose as composed
@@ -162,9 +164,47 @@ def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """All sessions of the stream: a closing event far ahead ends those still open."""
     stream = _event_stream(spark, folder, ["user_id", "ts"])
-    closed = sessions_stream(stream, ["user_id"], "ts", timedelta(hours=1))
-    return process_available(closed)
+    ahead = F.to_timestamp(F.lit("9000-01-01")).cast(stream.schema["ts"].dataType)
+    nobody = F.lit(None).cast(stream.schema["user_id"].dataType)
+    closing = spark.range(1).select(nobody.alias("user_id"), ahead.alias("ts"))
+    ends = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closing-{uuid.uuid4().hex}"
+    closing.limit(0).write.parquet(ends)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends))
+    closed = sessions_stream(both, ["user_id"], "ts", timedelta(hours=1))
+    return process_and_close(closed, closing, ends).where("user_id is not null")
+
+
+def _doubled_events(spark: SparkSession, folder: str) -> DataFrame:
+    events = _events(spark, folder).select("user_id", "event_type", "ts", "event_id")
+    return events.unionByName(events)
+
+
+def _duplicates_redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event delivered twice: of equal deliveries one is new at most."""
+    marked = mark_duplicates(_doubled_events(spark, folder), ["event_id"], "ts", "event_id")
+    return marked.groupBy("event_id").agg(
+        F.count("*").alias("deliveries"), F.sum(F.col("is_duplicate").cast("long")).alias("duplicates")
+    )
+
+
+def _rate_limit_redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    events = _doubled_events(spark, folder)
+    marked = mark_rate_limited(events, ["user_id"], "ts", "event_id", limit=3, window=timedelta(days=1))
+    return marked.groupBy("event_id").agg(
+        F.count("*").alias("requests"), F.sum(F.col("is_limited").cast("long")).alias("limited")
+    )
+
+
+def _bound_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """A query with named values."""
+    RetailWarehouse(spark, folder).register(["customers"])
+    return adhoc.run_readonly_sql(
+        spark,
+        "SELECT membership_type, count(*) AS customers FROM customers WHERE membership_type <> :other GROUP BY 1",
+        {"other": "BUILDING"},
+    )
 
 
 def _sessions(**arguments) -> Query:
@@ -303,6 +343,9 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             _report(marketing.campaign_retention), reports.campaign_retention()),
         "dq_enumerated_values": (_report(enumerated_values), reports.enumerated_values()),
         "q01_readonly_sql": (_readonly_sql, activity.readonly_sql()),
+        "q01_bound_values": (_bound_sql, activity.bound_sql()),
+        "e01_redelivered": (_duplicates_redelivered, activity.redelivered_duplicates()),
+        "e02_redelivered": (_rate_limit_redelivered, activity.redelivered_limits(3, "1 DAY")),
         "q01_read_replies": (_replies, activity.replies()),
         "e01_duplicates": (
             _duplicates(), activity.admission(
@@ -323,7 +366,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
         "e02_rate_limit_stream": (
             _rate_limit_stream, activity.admission("user_id", 3, "1 DAY", True, "is_limited")),
         "e03_sessions_stream": (
-            _sessions_stream, activity.closed_sessions("user_id", "30 MINUTE", "1 HOUR")),
+            _sessions_stream, activity.sessions("user_id", "30 MINUTE")),
         "e04_truncated_history": (_history(4), activity.truncated_history(4)),
         "e04_truncated_history_default": (_history(40), activity.truncated_history(40)),
         "e05_thread_keys": (_thread_keys, activity.thread_keys()),

@@ -159,12 +159,11 @@ def admit(
     """``events`` with a boolean ``accepted``.
 
     An accepted event counts while strictly less than ``window`` old. ``order`` decides between equal
-    times of a key and must tell such events apart; it need not be unique otherwise. Events without
-    a key or a time are accepted.
+    times of a key; of events equal in that too, as many are accepted as the limit leaves room for.
+    Events without a key or a time are accepted.
 
-    The crowded runs and the events accepted in them are staged, so calling this starts jobs. Both
-    are small unless most traffic is over the limit; the final joins then broadcast them and the
-    events themselves are not shuffled. ``chunk_rows`` only changes how the work is cut, never the
+    The crowded runs and the events accepted in them are staged, so calling this starts jobs. Only events
+    of crowded units are shuffled; calm ones are told apart by a join with the few crowded units. ``chunk_rows`` only changes how the work is cut, never the
     result.
     """
     span = micros(window)
@@ -178,12 +177,20 @@ def admit(
     kept = _accepted_in_runs(timed, runs, keys, limit, span)
     if kept is None:
         return events.withColumn("accepted", F.lit(True))
-    crowded = runs.where("_crowded").select(*keys, "_unit", F.lit(True).alias("_sequential"))
-    decided = timed.join(crowded, [*keys, "_unit"], "left").join(
-        kept.withColumn("_kept", F.lit(True)), [*keys, "_us", "_order"], "left"
+    # equal (key, time, order) have no identity of their own: as many of them pass as were accepted
+    crowded = runs.where("_crowded").select(*keys, "_unit")
+    same = [*keys, "_us", "_order"]
+    passed = kept.groupBy(*same).agg(F.count("*").alias("_passed"))
+    copies = Window.partitionBy(*same).orderBy("_order")
+    decided = (
+        timed.join(crowded, [*keys, "_unit"], "left_semi")
+        .withColumn("_copy", F.row_number().over(copies))
+        .join(passed, same, "left")
+        .withColumn("accepted", F.coalesce(F.col("_copy") <= F.col("_passed"), F.lit(False)))
     )
-    accepted = F.col("_sequential").isNull() | F.col("_kept").isNotNull()
-    return decided.select(*events.columns, accepted.alias("accepted"))
+    calm = timed.join(crowded, [*keys, "_unit"], "left_anti").withColumn("accepted", F.lit(True))
+    columns = [*events.columns, "accepted"]
+    return calm.select(*columns).unionByName(decided.select(*columns))
 
 
 def mark_duplicates(

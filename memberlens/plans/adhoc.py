@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 # How an accepted statement begins, and calls that reach outside the data.
 _QUERY_START = re.compile(r"\s*(select|with)\b", re.IGNORECASE)
-_ESCAPING_CALLS = re.compile(
-    r"\b(reflect|try_reflect|java_method)\s*\(|\busing\s*r?['\"]", re.IGNORECASE
+_ESCAPING_CALLS = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(|\busing\s*''", re.IGNORECASE)
+_PATH_NAME = re.compile(r"`[^`]*[/:\\][^`]*`")
+# The lexical forms in which a word is not a word of the statement.
+_LEXICAL = re.compile(
+    r"(?P<string>\br?'(?:[^'\\]|\\.|'')*'|r?'(?:[^'\\]|\\.|'')*'|r?\"(?:[^\"\\]|\\.)*\")"
+    r"|(?P<name>`(?:[^`]|``)*`)|(?P<line>--[^\n]*)|(?P<open>/\*)",
+    re.DOTALL | re.IGNORECASE,
 )
 
 
@@ -20,19 +25,44 @@ class NotReadOnly(ValueError):
     """The statement is something else than a query."""
 
 
-def check_read_only(spark: SparkSession, sql: str) -> None:
-    """Refuse everything but a single query, before anything runs.
-
-    The first word alone is not enough, since ``WITH ... INSERT INTO ...`` is a statement too. The
-    text must also hold up as the source of a FROM clause, where only queries are allowed; that frame
-    is analysed and dropped, never executed.
+def _bare(sql: str, keep_names: bool = False) -> str:
+    """``sql`` without comments, with empty strings, and with quoted names as plain words."""
+    out, at = [], 0
+    while found := _LEXICAL.search(sql, at):
+        out.append(sql[at : found.start()])
+        at = found.end()
+        if found["string"]:
+            out.append("''")
+        elif found["name"]:
+            out.append(found["name"] if keep_names else found["name"][1:-1])
+        else:
+            out.append(" ")
+        if found["open"]:
+            depth = 1  # such comments nest
+            while depth and (mark := re.compile(r"/\*|\*/").search(sql, at)):
+                depth += 1 if mark[0] == "/*" else -1
+                at = mark.end()
+            if depth:
+                at = len(sql)
+    return "".join([*out, sql[at:]])
+
+
+def check_read_only(spark: SparkSession, sql: str, args=None) -> None:
+    """Refuse everything but a single query over registered tables, before anything runs.
+
+    The statement must be a query as it stands, and hold up as the source of a FROM clause, where only
+    queries are allowed; both are explained or analysed, never executed. Calls that leave SQL are looked
+    for outside strings and comments, in quoted names as well. Files cannot be named as tables.
     """
     if not _QUERY_START.match(sql):
         raise NotReadOnly("only SELECT or WITH queries are accepted")
-    if _ESCAPING_CALLS.search(sql):
+    if _ESCAPING_CALLS.search(_bare(sql)):
         raise NotReadOnly("calls outside of SQL are not accepted")
+    if _PATH_NAME.search(_bare(sql, keep_names=True)):
+        raise NotReadOnly("only registered tables are accepted")
     try:
-        spark.sql(f"SELECT 1 FROM (\n{_single(sql)}\n) AS candidate WHERE false")
+        spark.sql(f"EXPLAIN {_single(sql)}", args=args)
+        spark.sql(f"SELECT 1 FROM (\n{_single(sql)}\n) AS candidate WHERE false", args=args)
     except ParseException as error:
         raise NotReadOnly("the statement is not a single query") from error
     except AnalysisException:
@@ -48,8 +78,14 @@ def run_readonly_sql(spark: SparkSession, sql: str | None, args=None) -> DataFra
     """Rows of a query; None when there is no statement to run."""
     if not sql:
         return None
-    check_read_only(spark, sql)
-    return spark.sql(_single(sql), args=args)
+    files = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(files)
+    spark.conf.set(files, "false")
+    try:
+        check_read_only(spark, sql, args)
+        return spark.sql(_single(sql), args=args)
+    finally:
+        spark.conf.set(files, before)
 
 
 @dataclass(frozen=True)

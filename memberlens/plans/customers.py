@@ -67,9 +67,14 @@ def search_customers(wh: Warehouse, queries: DataFrame) -> DataFrame:
     )
 
 
+def _rest(table: str, first: str) -> list:
+    """All other columns of a table, so that an order is total but for equal rows."""
+    return [F.asc_nulls_last(name) for name in TABLES[table].fieldNames() if name != first]
+
+
 def customer_profiles(wh: Warehouse, ids: DataFrame) -> DataFrame:
     """Full profile per id."""
-    return _lookup(wh, "customers", ids, [F.desc("join_date")])
+    return _lookup(wh, "customers", ids, [F.desc_nulls_last("join_date"), *_rest("customers", "join_date")])
 
 
 def customer_renewals(wh: Warehouse, ids: DataFrame) -> DataFrame:
@@ -81,12 +86,17 @@ def customer_renewals(wh: Warehouse, ids: DataFrame) -> DataFrame:
 
 def upgrade_offers(wh: Warehouse, ids: DataFrame) -> DataFrame:
     """Upgrade offer per id; most customers have none."""
-    return _lookup(wh, "upgrade_offers", ids, [F.desc_nulls_last("renewal_date")])
+    return _lookup(
+        wh, "upgrade_offers", ids, [F.desc_nulls_last("renewal_date"), *_rest("upgrade_offers", "renewal_date")]
+    )
 
 
 def customer_health(wh: Warehouse, ids: DataFrame) -> DataFrame:
     """Predicted tier, churn risk and value per id."""
-    return _lookup(wh, "customer_tiers", ids, [F.desc("churn_probability_pct")])
+    return _lookup(
+        wh, "customer_tiers", ids,
+        [F.desc_nulls_last("churn_probability_pct"), *_rest("customer_tiers", "churn_probability_pct")],
+    )
 
 
 def recent_activity(wh: Warehouse, ids: DataFrame, limit: int = DEFAULT_ACTIVITY) -> DataFrame:

@@ -276,12 +276,10 @@ class RetailWarehouse(Warehouse):
         )
 
     def _customer_tiers(self, columns: list[str]) -> DataFrame:
-        # too short a history gets no score, so some customers have no row here
         churn = F.col("churn_probability_pct")
         spend = F.col("lifetime_spend")
         return (
             self._scored()
-            .where("total_visits >= 7")
             .select(
                 "customer_id", "first_name", "last_name", "home_location_id", "lifetime_spend",
                 "total_visits", "visit_frequency_monthly", "days_since_last_visit", "nps_score",

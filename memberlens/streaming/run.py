@@ -9,8 +9,20 @@ from pyspark.sql import DataFrame
 from memberlens.session import ensure_checkpoint_dir
 
 
+def process_and_close(stream: DataFrame, closing: DataFrame, folder: str) -> DataFrame:
+    """``process_available``, then once more after ``closing`` is written to ``folder``.
+
+    ``folder`` is a source of the stream that is empty before. A closing event far ahead moves the
+    watermark past everything still open, so that nothing is left in the state.
+    """
+    home = f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    process_available(stream, home)
+    closing.write.mode("append").parquet(folder)
+    return process_available(stream, home)
+
+
 def process_available(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """Process all files present, then stop; returns the appended rows as a table.
+    """Process all files present, then stop; returns all rows written so far as a table.
 
     With a ``checkpoint`` folder of its own a later call goes on where this one stopped, which makes a
     scheduled job of the stream. Output and default checkpoint lie in the shared checkpoint folder.

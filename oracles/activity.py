@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 
-def admission(keys: str, limit: int, window: str, strict: bool, flag: str) -> str:
+def admission(
+    keys: str, limit: int, window: str, strict: bool, flag: str, source: str = "events"
+) -> str:
     """Event by event per key: the recursion carries the accepted times that may still count."""
     live = f"x > n.ts - INTERVAL {window}" if strict else f"x >= n.ts - INTERVAL {window}"
     same = " AND ".join(f"n.{key} = f.{key}" for key in keys.split(", "))
     return f"""
 WITH RECURSIVE numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS n FROM events),
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS n FROM {source}),
 fold AS (
-  SELECT {keys}, event_id, n, true AS accepted, [ts] AS alive FROM numbered WHERE n = 1
+  SELECT {keys}, event_id AS id, n, true AS accepted, [ts] AS alive FROM numbered WHERE n = 1
   UNION ALL
   SELECT {', '.join('n.' + key for key in keys.split(', '))}, n.event_id, n.n,
          len(list_filter(f.alive, lambda x: {live})) < {limit},
@@ -19,7 +21,7 @@ fold AS (
               THEN list_append(list_filter(f.alive, lambda x: {live}), n.ts)
               ELSE list_filter(f.alive, lambda x: {live}) END
   FROM fold f JOIN numbered n ON {same} AND n.n = f.n + 1)
-SELECT event_id, NOT accepted AS {flag} FROM fold"""
+SELECT id AS event_id, NOT accepted AS {flag} FROM fold"""
 
 
 def sessions(keys: str, idle: str) -> str:
@@ -31,11 +33,27 @@ FROM (SELECT *, sum(starts) OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS
 GROUP BY {keys}, session"""
 
 
-def closed_sessions(keys: str, idle: str, delay: str) -> str:
-    """Sessions that time has closed: their idle limit passed ``delay`` before the latest event."""
+_TWICE = "(SELECT * FROM events UNION ALL SELECT * FROM events)"
+
+
+def redelivered_duplicates() -> str:
+    marked = admission("event_id", 1, "5 MINUTE", False, "is_duplicate", _TWICE)
+    return f"""
+SELECT event_id, count(*) AS deliveries, CAST(count(*) FILTER (is_duplicate) AS BIGINT) AS duplicates
+FROM ({marked}) GROUP BY event_id"""
+
+
+def redelivered_limits(limit: int, window: str) -> str:
+    marked = admission("user_id", limit, window, True, "is_limited", _TWICE)
     return f"""
-SELECT * FROM ({sessions(keys, idle)})
-WHERE last_event + INTERVAL {idle} <= (SELECT max(ts) FROM events) - INTERVAL {delay}"""
+SELECT event_id, count(*) AS requests, CAST(count(*) FILTER (is_limited) AS BIGINT) AS limited
+FROM ({marked}) GROUP BY event_id"""
+
+
+def bound_sql() -> str:
+    return """
+SELECT c_mktsegment AS membership_type, count(*) AS customers
+FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY ALL"""
 
 
 def truncated_history(limit: int) -> str:

@@ -82,7 +82,7 @@ TABLES: dict[str, str] = {
          churn_probability_pct,
          CAST(lifetime_spend * CAST(0.15 AS DECIMAL(3,2)) AS DOUBLE) AS predicted_ltv_12m,
          lifetime_spend * CAST(0.15 AS DECIMAL(3,2)) AS exact_ltv
-  FROM scored WHERE total_visits >= 7""",
+  FROM scored""",
     "renewals": """
   SELECT customer_id AS renewal_id, customer_id, membership_type AS current_tier, home_location_id,
          CAST(last_visit_date + INTERVAL 365 DAY AS DATE) AS renewal_date, total_visits,

@@ -121,3 +121,24 @@ def test_catalog_names_every_report():
 def test_json_rows_keep_nulls(spark):
     frame = spark.createDataFrame([("a", None)], "x string, y int")
     assert json.loads(json_rows(frame).first()[0]) == {"x": "a", "y": None}
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT reflect/* c */('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT reflect -- c\n ('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM parquet.`/any/path`",
+        "SELECT 1) AS a, (SELECT 2",
+        "/* c */ INSERT INTO t VALUES (1)",
+    ],
+)
+def test_ways_around_the_guard_are_refused(spark, statement):
+    with pytest.raises(adhoc.NotReadOnly):
+        adhoc.run_readonly_sql(spark, statement)
+
+
+def test_harmless_literals_and_bound_values_run(spark):
+    rows = adhoc.run_readonly_sql(spark, "SELECT 'reflect (x)' AS a, :v AS b -- reflect(", {"v": 3}).collect()
+    assert [tuple(r) for r in rows] == [("reflect (x)", 3)]

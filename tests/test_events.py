@@ -201,3 +201,12 @@ def test_mentions_are_stripped_only_at_the_start(spark):
     assert column(spark, " <@U1>  hi <@U2> \n", text.strip_mention) == "hi <@U2>"
     assert column(spark, "hi <@U1>", text.strip_mention) == "hi <@U1>"
     assert column(spark, "<@U1>", text.strip_mention) == ""
+
+
+def test_equal_requests_and_deliveries_are_told_apart_by_number(spark):
+    at = "timestamp'2024-01-01 00:00:00'"
+    same = spark.sql(f"SELECT 'u' AS user, {at} AS ts, 1 AS place FROM range(15)")
+    limited = mark_rate_limited(same, ["user"], "ts", "place")
+    assert limited.count() == 15 and limited.where("is_limited").count() == 5
+    again = mark_duplicates(same.limit(3), ["user"], "ts", "place")
+    assert again.count() == 3 and again.where("is_duplicate").count() == 2
