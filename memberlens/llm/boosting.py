@@ -110,3 +110,14 @@ def fit_isotonic(margin: np.ndarray, labels: np.ndarray) -> Calibration:
             blocks[-1] = [blocks[-1][0] + hits, blocks[-1][1] + rows, blocks[-1][2], last]
     curve = [(m, hits / rows) for hits, rows, first, last in blocks for m in sorted({first, last})]
     return Calibration(np.array([m for m, _ in curve]), np.array([s for _, s in curve]))
+
+
+def fit_calibrated(rows: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[Trees, Calibration]:
+    """Trees on all rows, and a curve from the margins that trees of the other folds give each fold."""
+    margin = np.zeros(len(rows))
+    for fold in np.unique(folds):
+        own = folds == fold
+        others = ~own if (~own).any() else own
+        margin[own] = fit_trees(rows[others], labels[others]).margin(rows[own])
+    curve = fit_isotonic(margin, labels) if len(rows) else Calibration(np.empty(0), np.empty(0))
+    return fit_trees(rows, labels), curve

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.boosting import Calibration, Trees, fit_isotonic, fit_trees
+from memberlens.llm.boosting import Calibration, Trees, fit_calibrated
 from memberlens.llm.samples import SAMPLE, labelled_sample, scored
 from memberlens.session import stage
 
@@ -70,16 +70,11 @@ class Evidence:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Evidence:
-    """Evidence from at most ``limit`` labelled documents; fold 0 is never seen, fold 1 calibrates.
+    """Evidence from at most ``limit`` labelled documents; fold 0 is never seen.
 
     Without labels every document is as likely good as bad, which keeps it.
     """
-    rows, marks, folds = labelled_sample(docs, labels, "quality", features, limit)
-    held = folds == 1
-    trees = fit_trees(rows[~held], marks[~held]) if (~held).any() else fit_trees(rows[:0], marks[:0])
-    used = held if held.any() else ~held
-    curve = fit_isotonic(trees.margin(rows[used]), marks[used]) if len(marks) else Calibration(np.empty(0), np.empty(0))
-    return Evidence(trees, curve)
+    return Evidence(*fit_calibrated(*labelled_sample(docs, labels, "quality", features, limit)))
 
 
 def _logit(p: Column) -> Column:

@@ -21,14 +21,11 @@ def fold(doc_id) -> F.Column:
     return F.when(doc_id.isNotNull(), F.crc32(doc_id.cast("string").cast("binary")) % FOLDS)
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, features: Callable[[bytes], list[float]], limit: int = SAMPLE
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, labels, folds) of up to ``limit`` documents of the folds that are not held out.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> DataFrame:
+    """(id, text, label) of up to ``limit`` labelled ids that are not held out.
 
-    Labels other than 0 and 1 are left out; of several labels of one id the largest counts, of several
-    texts of one id that with the largest features. The ids are picked first (at most ``limit`` of them are
-    broadcast), so only their texts are read out.
+    Labels other than 0 and 1 are left out; of several labels of one id the largest counts. The ids are picked
+    first, by a hash of the id (at most ``limit`` of them are broadcast), so only their texts are read out.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) > 0))
@@ -37,17 +34,24 @@ def labelled_sample(
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(limit)
     )
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids), F.col("id") == F.col("_id"))
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return named.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "text", F.col("_label").alias("label"))
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, features: Callable[[bytes], list[float]], limit: int = SAMPLE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, folds) of ``labelled_texts``; of several texts of one id that with the largest features."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features(text) for text in texts_of(batch.column("text"))]
         return pa.record_batch({
-            "id": batch.column("id"), "label": batch.column("_label"), "row": pa.array(rows, pa.list_(pa.float64())),
+            "id": batch.column("id"), "label": batch.column("label"), "row": pa.array(rows, pa.list_(pa.float64())),
         })
 
-    rows = map_batches(picked.select("id", "text", "_label"), of, "id long, label int, row array<double>")
+    rows = map_batches(labelled_texts(docs, labels, label, limit), of, "id long, label int, row array<double>")
     taken = rows.groupBy("id").agg(F.max("label").alias("label"), F.max("row").alias("row"))
-    taken = taken.select("row", "label", fold(F.col("id")).alias("fold")).orderBy("id").toPandas()
+    taken = taken.orderBy("id").select("row", "label", fold(F.col("id")).alias("fold")).toPandas()
     if taken.empty:
         return np.empty((0, len(features(b"")))), np.empty(0), np.empty(0)
     return np.array(taken["row"].tolist(), float), taken["label"].to_numpy(float), taken["fold"].to_numpy(int)

@@ -1,17 +1,24 @@
-"""Toxicity: gradient-boosted trees over dense features of the text, with isotonic calibration."""
+"""Toxicity: gradient-boosted trees over dense features of the text, with isotonic calibration.
+
+Two lexicons give densities: a fixed one of common insults, and words and word beginnings that half of the
+labelled sample shows almost only in toxic texts. The trees and the calibration come from the other half.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.boosting import Calibration, Trees, fit_isotonic, fit_trees
+from memberlens.llm.boosting import Calibration, Trees, fit_calibrated
+from memberlens.llm.common import map_batches, texts_of
 from memberlens.llm.decontamination import words_of
-from memberlens.llm.samples import SAMPLE, fold, labelled_sample, scored
+from memberlens.llm.samples import SAMPLE, fold, labelled_sample, labelled_texts, scored
 
 # fixed values: common insults and slurs on persons, in the languages of the corpus
 INSULTS = frozenset(
@@ -36,6 +43,12 @@ SECOND_PERSON = frozenset(
 # fixed values: characters that stand for letters in disguised words
 DISGUISES = bytes.maketrans(b"0134578@$!+", b"oleastbasit")
 NEAR = 5
+#: margin of every text when there are no labels
+UNKNOWN = -4.0
+#: a learned word stands in so many toxic texts at least, in so few others for each of them, and so many are kept
+LEAST_TEXTS, MOST_OTHERS, MOST_WORDS = 8, 0.05, 5_000
+#: bytes of the word beginnings that are learned beside whole words
+BEGINNINGS = (4, 5, 6)
 _MIXED = re.compile(rb"[A-Za-z]*[0-9@$!+*]+[A-Za-z@$!+*0-9]*[A-Za-z]")
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
@@ -46,7 +59,36 @@ def _count(text: bytes, of: bytes) -> int:
     return len(text) - len(text.translate(None, of))
 
 
-def features(text: bytes) -> list[float]:
+def tokens(words: list[bytes]) -> set[bytes]:
+    """Words and, marked by a star, their beginnings."""
+    listed = set(words)
+    return listed | {w[:k] + b"*" for w in listed for k in BEGINNINGS if len(w) > k}
+
+
+def learned_words(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> dict[bytes, float]:
+    """Weights (log odds) of up to MOST_WORDS tokens, from folds 1 and 2; equal texts count once."""
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for label, text in zip(batch.column("label").to_pylist(), texts_of(batch.column("text")), strict=True):
+            sums[label].update(tokens(words_of(text)))
+        both = sums[0].keys() | sums[1].keys()
+        return pa.record_batch({
+            "token": pa.array(list(both), pa.binary()), "clean": pa.array([sums[0][w] for w in both], pa.int64()),
+            "toxic": pa.array([sums[1][w] for w in both], pa.int64()),
+        })
+
+    half = labelled_texts(docs, labels, "toxic", limit).where(fold(F.col("id")) <= 2)
+    once = half.groupBy("text").agg(F.max("label").alias("label"))
+    summed = map_batches(once, counted, "token binary, clean long, toxic long").groupBy("token").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    )
+    telling = summed.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("clean") <= MOST_OTHERS * F.col("toxic")))
+    best = telling.orderBy(F.desc("toxic"), "clean", "token").limit(MOST_WORDS).collect()
+    return {bytes(r.token): float(np.log((r.toxic + 0.5) / (r.clean + 0.5))) for r in best}
+
+
+def features(text: bytes, learned: dict[bytes, float], heads: frozenset[bytes]) -> list[float]:
     """Dense features of a whole text; all are zero for an empty one."""
     words = words_of(text)
     n, letters = len(words), _count(text, _LETTERS)
@@ -54,7 +96,12 @@ def features(text: bytes) -> list[float]:
     beside = sum(1 for k in hits if not SECOND_PERSON.isdisjoint(words[max(0, k - NEAR) : k + NEAR + 1]))
     hidden = sum(1 for w in _MIXED.findall(text) if _hides(w))
     size = max(1, len(text))
+    found = [learned[t] for t in tokens([w for w in set(words) if w[:4] in heads]) if t in learned]
     return [
+        float(np.log1p(len(found))),
+        100 * len(found) / max(1, n),
+        max(found, default=0.0),
+        sum(found),
         100 * len(hits) / max(1, n),
         float(np.log1p(len(hits))),
         float(len({words[k] for k in hits})),
@@ -82,31 +129,41 @@ def _hides(word: bytes) -> bool:
     return any(len(w) == len(plain) and pattern.fullmatch(w) for w in INSULTS)
 
 
+def _heads(learned: dict[bytes, float]) -> frozenset[bytes]:
+    """The first four bytes of all learned tokens: a word with another beginning needs no look-up."""
+    return frozenset(t.rstrip(b"*")[:4] for t in learned)
+
+
 @dataclass(frozen=True)
 class Model:
+    learned: dict[bytes, float]
     trees: Trees
     curve: Calibration
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        rows = np.array([features(t) for t in texts], float)
+        heads = _heads(self.learned)
+        rows = np.array([features(t, self.learned, heads) for t in texts], float)
         return self.curve.score(self.trees.margin(rows))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """Trees on three of the folds, the calibration curve on a fourth; fold 0 is never seen.
+    """Trees and their calibration from labelled documents; fold 0 is never seen.
 
-    At most ``limit`` labelled documents are used. With no labels of both kinds every text gets one score
-    below 0.5 unless all labels are 1.
+    At most ``limit`` labelled documents are used. Without any every text gets one low score; with labels of
+    one kind only, that kind's.
     """
-    rows, marks, folds = labelled_sample(docs, labels, "toxic", features, limit)
-    held = folds == 1
-    trees = fit_trees(rows[~held], marks[~held]) if (~held).any() else fit_trees(rows[:0], marks[:0])
+    learned = learned_words(docs, labels, limit)
+    heads = _heads(learned)
+    rows, marks, folds = labelled_sample(docs, labels, "toxic", lambda text: features(text, learned, heads), limit)
+    if learned:  # their own texts would overrate the learned words
+        other = folds > 2
+        rows, marks, folds = rows[other], marks[other], folds[other]
+    trees, curve = fit_calibrated(rows, marks, folds)
     if not len(marks):
-        return Model(Trees(-4.0, trees.feature, trees.threshold, trees.leaf), Calibration(np.empty(0), np.empty(0)))
-    used = held if held.any() else ~held
-    return Model(trees, fit_isotonic(trees.margin(rows[used]), marks[used]))
+        trees = replace(trees, base=UNKNOWN)
+    return Model(learned, trees, curve)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
