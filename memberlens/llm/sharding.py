@@ -23,7 +23,7 @@ PROBES = 32
 #: accepted distance of a splitter from its exact place, as a share of a shard's bytes
 TOLERANCE = 0.001
 #: rows that are numbered together
-CELL_ROWS = 200_000
+CELL_ROWS = 10_000
 _LOW, _HIGH = -(2**63), 2**63 - 1
 _ID_BITS = 24
 
@@ -108,7 +108,6 @@ def shard_rows(
     id is an id like others; rows alike in id and text share a key and stay together; an empty table
     stays empty. Columns of the same names are replaced.
     """
-    spark = docs.sparkSession
     keyed = docs.drop("size", "shard", "slot").withColumns({
         "size": byte_size(F.col(text_column)), "_key": order_key(F.col(text_column), F.col(id_column)),
     })
@@ -128,7 +127,7 @@ def shard_rows(
     bases = counts.select(
         "shard", "_cell", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_base")
     )
-    bases = spark.createDataFrame(bases.collect(), bases.schema)  # one row for each cell
+    bases = stage(bases)
     within = W.partitionBy("shard", "_cell").orderBy("_key", id_order(F.col(id_column)))
     return (
         placed(keyed, "_key")
