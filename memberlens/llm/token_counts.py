@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from memberlens.llm.common import map_batches
 from memberlens.llm.encoding import encoder
+from memberlens.session import stage
 
 #: lengths that share the leading bits are summed together before sums run over them
 BLOCK = 1024
@@ -27,8 +28,9 @@ def lengths(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataF
 
 
 def histogram(counted: DataFrame) -> DataFrame:
-    """(n_tokens, n_docs): how many rows have each length. Summed before the shuffle."""
-    return counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs): how many rows have each length. Summed before the shuffle, and staged, since all
+    answers read it more than once."""
+    return stage(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
 
 
 def with_suffix_sums(counts: DataFrame) -> DataFrame:
