@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+# a share of money has further digits
+SHARED_MONEY = "decimal(28,8)"
 
 
 def money(column: Column | str) -> Column:
@@ -15,6 +17,11 @@ def money(column: Column | str) -> Column:
     return _column(column).cast(MONEY)
 
 
+def shared_money(column: Column | str) -> Column:
+    """Exact money for summing, with the digits that shares add."""
+    return _column(column).cast(SHARED_MONEY)
+
+
 def number(column: Column | str) -> Column:
     """A double at the output edge, 0 where the value is missing."""
     return F.coalesce(_column(column).cast("double"), F.lit(0.0))

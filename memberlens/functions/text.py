@@ -18,6 +18,7 @@ BLANK = (
 LINE_START = r"(?m)^(?<!\x{85})"
 MENTION = rf"^{BLANK}*<@[^>]+>{BLANK}*"
 LIST_MARK = rf"{LINE_START}({BLANK}*)[-*]{BLANK}+"
+ADDRESS = r"<@[^>]+>"
 OUTER_BLANK = rf"^{BLANK}+|{BLANK}+\z"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 FILLER = "\uffff"
@@ -88,3 +89,9 @@ def thread_key(channel: Column, thread_ts: Column, ts: Column) -> Column:
 def is_direct_message(subtype: Column, channel_type: Column, text: Column) -> Column:
     """Plain direct messages with text; bot posts, edits and channel messages are not."""
     return subtype.isNull() & (channel_type == "im") & (F.coalesce(text, F.lit("")) != "")
+
+
+def is_mention(subtype: Column, channel_type: Column, text: Column) -> Column:
+    """Plain messages outside direct messages that address somebody."""
+    direct = F.coalesce(channel_type == "im", F.lit(False))
+    return subtype.isNull() & ~direct & text.rlike(ADDRESS)

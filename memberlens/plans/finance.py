@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.rules import fixed, mean, money, number, percent, ratio, whole
+from memberlens.functions.rules import fixed, mean, money, number, percent, ratio, shared_money, whole
 from memberlens.operators.rollup import totals_by_city, totals_by_site
 from memberlens.params import bounded_int, optional_text
 from memberlens.sources.warehouse import Warehouse
@@ -43,11 +43,11 @@ def pnl_by_location(wh: Warehouse, city: str | None, months: int) -> DataFrame:
     )
     labor = totals_by_site(
         wh.rows("labor_costs", ["location_id", "month", "total_labor_cost"], window),
-        sites, city, ["month"], labor_cost=F.sum("total_labor_cost"),
+        sites, city, ["month"], labor_cost=F.sum(shared_money("total_labor_cost")),
     )
     operations = totals_by_site(
         wh.rows("operational_costs", ["location_id", "month", "amount"], window),
-        sites, city, ["month"], operational_cost=F.sum("amount"),
+        sites, city, ["month"], operational_cost=F.sum(shared_money("amount")),
     )
     joined = (
         revenue.join(labor, ["location_id", "month"], "left")
@@ -117,7 +117,8 @@ def labor_cost_by_role(wh: Warehouse, city: str | None = None, months: int = 6)
         ),
         wh.sites(city), city, ["role"],
         heads=F.sum("headcount"), head_rows=F.count("headcount"),
-        total_labor_cost=F.sum("total_labor_cost"), overtime_cost=F.sum("overtime_cost"),
+        total_labor_cost=F.sum(shared_money("total_labor_cost")),
+        overtime_cost=F.sum(shared_money("overtime_cost")),
     )
     headcount = number(mean(F.col("heads"), F.col("head_rows")))
     return totals.select(
@@ -150,7 +151,7 @@ def operational_costs_by_category(
     _checked(city, months)
     totals = totals_by_city(
         wh.recent("operational_costs", months, ["location_id", "cost_category", "amount"]),
-        wh.sites(city), city, ["cost_category"], amount=F.sum("amount"),
+        wh.sites(city), city, ["cost_category"], amount=F.sum(shared_money("amount")),
     )
     return totals.select(
         "city", "cost_category", number("amount").alias("amount")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.rules import fixed, mean, money, number, percent, ratio, whole
+from memberlens.functions.rules import (
+    fixed, mean, money, number, percent, ratio, shared_money, whole,
+)
 from memberlens.params import optional_text
 from memberlens.sources.warehouse import Warehouse
 
@@ -23,7 +25,7 @@ def campaign_performance(wh: Warehouse, channel: str | None = None) -> DataFrame
     totals = campaigns.groupBy("channel").agg(
         F.sum(money("budget")).alias("budget"),
         F.sum("total_converted").alias("converted"),
-        F.sum("revenue_attributed").alias("revenue"),
+        F.sum(shared_money("revenue_attributed")).alias("revenue"),
     )
     cost = ratio(number("budget"), whole("converted"), otherwise=None)
     return totals.select(

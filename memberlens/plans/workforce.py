@@ -6,15 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.functions.rules import (
-    as_of_date,
-    decoded_text,
-    fixed,
-    mean,
-    money,
-    months_between_boundaries,
-    number,
-    percent,
-    whole,
+    as_of_date, decoded_text, fixed, mean, money, months_between_boundaries, number, percent, shared_money, whole,
 )
 from memberlens.operators.rollup import totals_by_city, totals_by_site
 from memberlens.params import bounded_int, optional_text
@@ -71,7 +63,7 @@ def staffing_summary(wh: Warehouse, city: str | None = None) -> DataFrame:
     )
     spend = totals_by_site(
         wh.recent("recruiting_costs", RECRUITING_MONTHS, ["location_id", "amount"]),
-        sites, city, [], spend=F.sum("amount"),
+        sites, city, [], spend=F.sum(shared_money("amount")),
     )
     counts = ["active_headcount", "therapist_headcount", "open_requisitions", "headcount_requested"]
     return (

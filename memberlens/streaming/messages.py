@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.text import is_direct_message, strip_mention, thread_key
+from memberlens.functions.text import is_direct_message, is_mention, strip_mention, thread_key
 
 
 def direct_questions(messages: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def direct_questions(messages: DataFrame) -> DataFrame:
 
 def mentions(messages: DataFrame) -> DataFrame:
     """Channel messages that address the assistant, without the mention itself."""
-    return messages.select(
+    wanted = is_mention(F.col("subtype"), F.col("channel_type"), F.col("text"))
+    return messages.where(wanted).select(
         "event_id", "user", "ts", _thread().alias("thread_key"),
         strip_mention(F.col("text")).alias("question"),
     )

@@ -176,3 +176,16 @@ def test_message_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.table("mentioned").collect()] == [
         ("E3", "U1", "3.0", "C2:0.5", "how many?")
     ]
+
+
+def test_mentions_leave_other_messages(spark):
+    rows = [
+        ("E1", "C1", "im", None, "U1", "1.0", None, "<@U9> hello"),
+        ("E2", "C2", "channel", "bot_message", None, "2.0", "1.0", "<@U9> answer"),
+        ("E3", "C2", "channel", None, "U1", "3.0", "0.5", " <@U9>  how many? "),
+        ("E4", "C2", "channel", None, "U1", "4.0", None, "nobody is addressed"),
+        ("E5", "C2", None, None, "U1", "5.0", None, "<@U9> no type"),
+        ("E6", "C2", "channel", None, "U1", "6.0", None, None),
+    ]
+    found = mentions(spark.createDataFrame(rows, MESSAGE_SCHEMA)).select("event_id", "question")
+    assert sorted(map(tuple, found.collect())) == [("E3", "how many?"), ("E5", "no type")]
