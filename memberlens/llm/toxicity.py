@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of the text, with isotonic calibration.
 
-Two lexicons give densities: a fixed one of common insults, and words and word beginnings that half of the
-labelled sample shows almost only in toxic texts. The trees and the calibration come from the other half.
+Two lexicons give densities: a fixed one of common insults, and words and word beginnings that are much denser
+in the toxic texts of half of the labelled sample than in its others. The trees and the calibration come from
+the other half.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from memberlens.llm.boosting import Calibration, Trees, fit_calibrated
 from memberlens.llm.common import map_batches, texts_of
 from memberlens.llm.decontamination import words_of
 from memberlens.llm.samples import SAMPLE, fold, labelled_sample, labelled_texts, scored
+from memberlens.session import stage
 
 # fixed values: common insults and slurs on persons, in the languages of the corpus
 INSULTS = frozenset(
@@ -45,8 +47,10 @@ DISGUISES = bytes.maketrans(b"0134578@$!+", b"oleastbasit")
 NEAR = 5
 #: margin of every text when there are no labels
 UNKNOWN = -4.0
-#: a learned word stands in so many toxic texts at least, in so few others for each of them, and so many are kept
-LEAST_TEXTS, MOST_OTHERS, MOST_WORDS = 8, 0.05, 5_000
+#: a learned word stands in so many toxic texts at least, is so many times denser there, and so many are kept
+LEAST_TEXTS, LEAST_RATIO, MOST_WORDS = 5, 8, 5_000
+#: a word that makes up one in so many words of a text counts in full, a rarer one by its share
+FULL_DENSITY = 100
 #: bytes of the word beginnings that are learned beside whole words
 BEGINNINGS = (4, 5, 6)
 _MIXED = re.compile(rb"[A-Za-z]*[0-9@$!+*]+[A-Za-z@$!+*0-9]*[A-Za-z]")
@@ -59,33 +63,51 @@ def _count(text: bytes, of: bytes) -> int:
     return len(text) - len(text.translate(None, of))
 
 
-def tokens(words: list[bytes]) -> set[bytes]:
-    """Words and, marked by a star, their beginnings."""
-    listed = set(words)
-    return listed | {w[:k] + b"*" for w in listed for k in BEGINNINGS if len(w) > k}
+def tokens(word: bytes) -> list[bytes]:
+    """The word and, marked by a star, its beginnings."""
+    return [word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) > k)]
+
+
+def densities(words: list[bytes]) -> dict[bytes, int]:
+    """Thousandths of a full density for every token of a text."""
+    counts: Counter[bytes] = Counter()
+    for word, times in Counter(words).items():
+        for token in tokens(word):
+            counts[token] += times
+    return {t: max(1, min(1000, 1000 * FULL_DENSITY * times // len(words))) for t, times in counts.items()}
 
 
 def learned_words(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> dict[bytes, float]:
-    """Weights (log odds) of up to MOST_WORDS tokens, from folds 1 and 2; equal texts count once."""
+    """Weights (log ratio of mean densities) of up to MOST_WORDS tokens, from folds 1 and 2; equal texts count once."""
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        dense: tuple[Counter, Counter] = (Counter(), Counter())
+        texts: Counter[bytes] = Counter()
         for label, text in zip(batch.column("label").to_pylist(), texts_of(batch.column("text")), strict=True):
-            sums[label].update(tokens(words_of(text)))
-        both = sums[0].keys() | sums[1].keys()
+            found = densities(words_of(text))
+            dense[label].update(found)
+            if label:
+                texts.update(found.keys())
+        both = list(dense[0].keys() | dense[1].keys())
         return pa.record_batch({
-            "token": pa.array(list(both), pa.binary()), "clean": pa.array([sums[0][w] for w in both], pa.int64()),
-            "toxic": pa.array([sums[1][w] for w in both], pa.int64()),
+            "token": pa.array(both, pa.binary()), "texts": pa.array([texts[t] for t in both], pa.int64()),
+            "clean": pa.array([dense[0][t] for t in both], pa.int64()),
+            "toxic": pa.array([dense[1][t] for t in both], pa.int64()),
         })
 
     half = labelled_texts(docs, labels, "toxic", limit).where(fold(F.col("id")) <= 2)
-    once = half.groupBy("text").agg(F.max("label").alias("label"))
-    summed = map_batches(once, counted, "token binary, clean long, toxic long").groupBy("token").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    once = stage(half.groupBy("text").agg(F.max("label").alias("label")))
+    sizes = {r.label: r["count"] for r in once.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return {}
+    summed = map_batches(once, counted, "token binary, texts long, clean long, toxic long").groupBy("token").agg(
+        F.sum("texts").alias("texts"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
     )
-    telling = summed.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("clean") <= MOST_OTHERS * F.col("toxic")))
+    # a token that no clean text has is taken as if one had it in full
+    ratio = (F.col("toxic") / sizes[1]) / ((F.col("clean") + 1000) / sizes[0])
+    telling = summed.withColumn("ratio", ratio).where((F.col("texts") >= LEAST_TEXTS) & (F.col("ratio") >= LEAST_RATIO))
     best = telling.orderBy(F.desc("toxic"), "clean", "token").limit(MOST_WORDS).collect()
-    return {bytes(r.token): float(np.log((r.toxic + 0.5) / (r.clean + 0.5))) for r in best}
+    return {bytes(r.token): float(np.log(r.ratio)) for r in best}
 
 
 def features(text: bytes, learned: dict[bytes, float], heads: frozenset[bytes]) -> list[float]:
@@ -96,12 +118,14 @@ def features(text: bytes, learned: dict[bytes, float], heads: frozenset[bytes])
     beside = sum(1 for k in hits if not SECOND_PERSON.isdisjoint(words[max(0, k - NEAR) : k + NEAR + 1]))
     hidden = sum(1 for w in _MIXED.findall(text) if _hides(w))
     size = max(1, len(text))
-    found = [learned[t] for t in tokens([w for w in set(words) if w[:4] in heads]) if t in learned]
+    likely = Counter(w for w in words if w[:4] in heads)
+    found = {w: max((learned[t] for t in tokens(w) if t in learned), default=0.0) for w in likely}
+    known = [w for w, weight in found.items() if weight > 0]
     return [
-        float(np.log1p(len(found))),
-        100 * len(found) / max(1, n),
-        max(found, default=0.0),
-        sum(found),
+        float(np.log1p(len(known))),
+        100 * sum(likely[w] for w in known) / max(1, n),
+        max(found.values(), default=0.0),
+        100 * sum(found[w] * likely[w] for w in known) / max(1, n),
         100 * len(hits) / max(1, n),
         float(np.log1p(len(hits))),
         float(len({words[k] for k in hits})),
