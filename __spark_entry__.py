@@ -13,14 +13,16 @@ from memberlens.functions import text
 from memberlens.operators.admission import mark_duplicates, mark_rate_limited
 from memberlens.operators.answers import render_answers
 from memberlens.operators.history import truncate_history
-from memberlens.operators.sessions import sessions
+from memberlens.operators.sessions import live_threads, sessions
 from memberlens.plans import (
-    adhoc, compose, customers, finance, health, locations, marketing, workforce,
+    adhoc, compose, customers, finance, health, intake, locations, marketing, workforce,
 )
 from memberlens.schemas import enumerated_values
 from memberlens.session import ensure_checkpoint_dir
 from memberlens.sources.messages import messages_from_conversations, read_event_stream
 from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
+from memberlens.sources.sinks import json_rows
+from memberlens.sources.warehouse import ParquetWarehouse
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
 from memberlens.streaming.run import process_and_close, process_available
 from memberlens.streaming.sessions import sessions_stream
@@ -147,6 +149,70 @@ def _event_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataF
     return read_event_stream(spark, f"{folder}/{{events.parquet}}", schema).select(*columns)
 
 
+def _in_turn(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """The events as a stream of four deliveries in order of time, one for each micro-batch."""
+    events = _events(spark, folder).select(*columns)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    bounds = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    share = F.lit(4) * F.expr("timestampdiff(SECOND, low, ts) / (timestampdiff(SECOND, low, high) + 1)")
+    placed = events.join(F.broadcast(bounds), F.lit(True)).withColumn("part", F.floor(share))  # one row
+    for part in range(4):
+        placed.where(F.col("part") == part).select(*columns).coalesce(1).write.mode("append").parquet(root)
+    return read_event_stream(spark, root, events.schema, maxFilesPerTrigger=1)
+
+
+def _duplicates_in_turn(spark: SparkSession, folder: str) -> DataFrame:
+    stream = _in_turn(spark, folder, ["user_id", "event_type", "ts", "event_id"])
+    marked = mark_duplicates_stream(
+        stream, ["user_id", "event_type"], "ts", "event_id", timedelta(days=1)
+    )
+    return process_available(marked).select("event_id", "is_duplicate")
+
+
+def _rate_limit_in_turn(spark: SparkSession, folder: str) -> DataFrame:
+    stream = _in_turn(spark, folder, ["user_id", "ts", "event_id"])
+    marked = mark_rate_limited_stream(stream, ["user_id"], "ts", "event_id", 3, timedelta(days=1))
+    return process_available(marked).select("event_id", "is_limited")
+
+
+def _live_threads(spark: SparkSession, folder: str) -> DataFrame:
+    """Users still remembered at the time of the last event."""
+    events = _events(spark, folder).select("user_id", "ts")
+    now = events.agg(F.max("ts")).scalar()
+    return live_threads(events, ["user_id"], "ts", now, timedelta(days=1))
+
+
+def _intake(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message delivered twice, two requests a minute."""
+    messages = messages_from_conversations(spark, folder)
+    return intake.intake(messages.unionByName(messages), limit=2)
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return _intake(spark, folder).select("event_id", "thread_key", "question", "is_limited")
+
+
+def _remembered(spark: SparkSession, folder: str) -> DataFrame:
+    return intake.remembered(_intake(spark, folder), 2).select("event_id", "thread_key", "question")
+
+
+def _json_rows(spark: SparkSession, folder: str) -> DataFrame:
+    customer = read_star(spark, folder, "customer")
+    segment = F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment")
+    return json_rows(customer.select("c_custkey", "c_name", segment))
+
+
+def _stored(function: Callable[..., DataFrame], *tables: str, **arguments) -> Query:
+    """The report over tables written by month, where whole months are skipped."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex}"
+        RetailWarehouse(spark, folder).materialise(root, [*tables, "location_master"])
+        return function(ParquetWarehouse(spark, root), **arguments)
+
+    return run
+
+
 def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = _event_stream(spark, folder, ["user_id", "event_type", "ts", "event_id"])
     marked = mark_duplicates_stream(
@@ -365,6 +431,22 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
                 "user_id, event_type", 1, "1 DAY", False, "is_duplicate")),
         "e02_rate_limit_stream": (
             _rate_limit_stream, activity.admission("user_id", 3, "1 DAY", True, "is_limited")),
+        "e01_duplicates_in_turn": (
+            _duplicates_in_turn, activity.admission(
+                "user_id, event_type", 1, "1 DAY", False, "is_duplicate")),
+        "e02_rate_limit_in_turn": (
+            _rate_limit_in_turn, activity.admission("user_id", 3, "1 DAY", True, "is_limited")),
+        "e03_live_threads": (_live_threads, activity.live_threads("1 DAY")),
+        "e09_intake": (_questions, activity.intake(2)),
+        "e09_remembered": (_remembered, activity.remembered(2, 2)),
+        "s01_json_rows": (_json_rows, activity.json_rows()),
+        "r09_revenue_trend_stored": (
+            _stored(locations.revenue_trend, "bookings"), reports.revenue_trend()),
+        "r11_location_pnl_stored": (
+            _stored(finance.location_pnl, "bookings", "labor_costs", "operational_costs"),
+            reports.location_pnl()),
+        "r14_labor_cost_by_role_stored": (
+            _stored(finance.labor_cost_by_role, "labor_costs"), reports.labor_cost_by_role()),
         "e03_sessions_stream": (
             _sessions_stream, activity.sessions("user_id", "30 MINUTE")),
         "e04_truncated_history": (_history(4), activity.truncated_history(4)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def only_sites(facts: DataFrame, sites: DataFrame, city: str | None) -> DataFrame:
+def only_sites(facts: DataFrame, sites: DataFrame, city: str | tuple[str, ...] | None) -> DataFrame:
     """Drop other cities' facts before they are aggregated; a no-op without a city."""
     if not city:
         return facts
@@ -19,7 +19,7 @@ def only_sites(facts: DataFrame, sites: DataFrame, city: str | None) -> DataFram
 
 
 def totals_by_site(
-    facts: DataFrame, sites: DataFrame, city: str | None, keys: list[str | Column], **totals: Column
+    facts: DataFrame, sites: DataFrame, city: str | tuple[str, ...] | None, keys: list[str | Column], **totals: Column
 ) -> DataFrame:
     """One row per location and ``keys`` with the aggregates in ``totals``."""
     aggregates = [column.alias(name) for name, column in totals.items()]
@@ -29,7 +29,7 @@ def totals_by_site(
 def totals_by_city(
     facts: DataFrame,
     sites: DataFrame,
-    city: str | None,
+    city: str | tuple[str, ...] | None,
     keys: list[str],
     site_columns: tuple[str, ...] = (),
     **totals: Column,

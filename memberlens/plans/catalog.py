@@ -15,9 +15,19 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from memberlens.params import InvalidParameter
-from memberlens.plans import compose, customers, finance, health, locations, marketing, workforce
+from memberlens.plans import adhoc, compose, customers, finance, health, locations, marketing, workforce
 from memberlens.sources.warehouse import Warehouse
 
+
+
+def readonly_sql(wh: Warehouse, sql: str, args: dict | None = None) -> DataFrame:
+    """A single query over the warehouse's tables, each a view of its name."""
+    if not sql:
+        raise InvalidParameter("sql must be a query")
+    wh.register()
+    return adhoc.run_readonly_sql(wh.spark, sql, args)
+
+
 REPORTS: dict[str, Callable[..., DataFrame]] = {
     function.__name__: function
     for function in (
@@ -57,6 +67,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
         compose.cost_gap,
         compose.quarterly_demand,
         compose.hiring_plan,
+        readonly_sql,
     )
 }
 

@@ -11,6 +11,7 @@ from memberlens.plans import customers, finance, health, locations, workforce
 from memberlens.sources.warehouse import Warehouse
 
 OUTLIER_RATIO = 5.0
+_EXACT = "decimal(12,4)"
 _STAFF_COUNTS = [
     "active_headcount", "therapist_headcount", "open_requisitions", "headcount_requested",
 ]
@@ -156,8 +157,8 @@ def capacity_pressure(wh: Warehouse, city: str | None = None) -> DataFrame:
     is_full = (capacity > 0) & (F.col("predicted_bookings") >= capacity)
     full = F.when(is_full, F.col("forecast_month"))
     return (
-        locations.booking_forecast(wh, city)
-        .groupBy("city", "monthly_capacity")
+        locations.forecast_by_location(wh, city)
+        .groupBy("location_id", "city", "monthly_capacity")
         .agg(
             F.max(load).alias("load"), F.max(upper).alias("upper"),
             F.min(full).alias("first_full_month"),
@@ -174,17 +175,26 @@ def capacity_pressure(wh: Warehouse, city: str | None = None) -> DataFrame:
 
 
 def churn_against_visits(wh: Warehouse) -> DataFrame:
-    """Risk cohorts with the correlation of churn probability and days since the last visit."""
-    members = wh.table("customer_tiers", ["churn_probability_pct", "days_since_last_visit"])
-    link = members.agg(
-        F.corr(
-            F.col("churn_probability_pct").cast("double"),
-            F.col("days_since_last_visit").cast("double"),
-        ).alias("correlation")
+    """Risk cohorts with the correlation of churn probability and days since the last visit.
+
+    The cohorts carry the sums the correlation of all customers is made of, so the table is read once.
+    """
+    x = F.when(F.col("days_since_last_visit").isNotNull(), F.col("churn_probability_pct")).cast(_EXACT)
+    y = F.when(F.col("churn_probability_pct").isNotNull(), F.col("days_since_last_visit")).cast(_EXACT)
+    moments = {
+        "_n": F.count(x + y), "_x": F.sum(x), "_y": F.sum(y),
+        "_xx": F.sum(x * x), "_yy": F.sum(y * y), "_xy": F.sum(x * y),
+    }
+    everyone = Window.partitionBy()  # one row for each cohort
+    n, sx, sy, sxx, syy, sxy = (F.sum(name).over(everyone).cast("double") for name in moments)
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    cohorts = health.churn_cohorts(wh, "churnRisk", moments)
+    return (
+        cohorts.withColumn("churn_visit_correlation", F.when(spread > 0, (n * sxy - sx * sy) / spread))
+        .drop(*moments)
+        .transform(fixed(churn_visit_correlation=4))
+        .orderBy(F.asc_nulls_last("group_value"))
     )
-    return health.churn_cohorts(wh, "churnRisk").withColumn(
-        "churn_visit_correlation", link.scalar()
-    ).transform(fixed(churn_visit_correlation=4))
 
 
 def overtime_saving(
@@ -237,17 +247,14 @@ def cost_gap(wh: Warehouse, city: str, other_city: str, months: int = 6) -> Data
     def of(name: str) -> Column:
         return F.sum(F.when(F.col("city") == name, F.col("amount")).otherwise(0.0))
 
+    both = (city, other_city)
     costs = long_form(
-        finance.labor_cost_by_role(wh, None, months), "labor", "role", "total_labor_cost"
+        finance.labor_by_role(wh, both, months), "labor", "role", "total_labor_cost"
     ).unionByName(
-        long_form(
-            finance.operational_costs_by_category(wh, None, months),
-            "operations", "cost_category", "amount",
-        )
+        long_form(finance.costs_by_category(wh, both, months), "operations", "cost_category", "amount")
     )
     return (
-        costs.where(F.col("city").isin(city, other_city))
-        .groupBy("cost_type", "item")
+        costs.groupBy("cost_type", "item")
         .agg(of(city).alias("amount"), of(other_city).alias("other_amount"))
         .withColumn("difference", F.col("amount") - F.col("other_amount"))
         .transform(fixed(difference=2))
@@ -288,25 +295,28 @@ def hiring_plan(wh: Warehouse, months: int = 6) -> DataFrame:
     """
     bounded_int("months", months, 1, workforce.MAX_MONTHS)
     cities = _staff_by_city(wh).join(_demand_by_city(wh, None, months), "city", "left")
-    staffed = cities.where("therapist_headcount > 0").agg(
-        F.count("*").alias("cities"),
-        F.sum("active_headcount").alias("heads"),
-        F.sum("therapist_headcount").alias("therapists"),
-        F.sum("hours").alias("hours"),
-    )
-    mean_heads = staffed.select(ratio(F.col("heads"), F.col("cities"))).scalar()
-    mean_therapists = staffed.select(ratio(F.col("therapists"), F.col("cities"))).scalar()
-    load = staffed.select(ratio(number("hours") / months, F.col("therapists"))).scalar()
+    # a window over one row for each city, so that staffing and demand are worked out once
+    everywhere = Window.partitionBy()
+    staffed = F.col("therapist_headcount") > 0
+
+    def over_staffed(total: Column) -> Column:
+        return F.sum(F.when(staffed, total)).over(everywhere)
+
+    therapists = over_staffed(F.col("therapist_headcount"))
+    count = over_staffed(F.lit(1))
+    mean_heads = ratio(over_staffed(F.col("active_headcount")), count)
+    mean_therapists = ratio(therapists, count)
+    load = ratio(F.coalesce(over_staffed(F.col("hours")).cast("double"), F.lit(0.0)) / months, therapists)
     hours = number("hours") / months
     return (
-        cities.where("active_headcount = 0")
-        .select(
-            "city",
+        cities.select(
+            "city", "active_headcount",
             hours.alias("monthly_therapist_hours"),
             "open_requisitions",
             mean_heads.alias("heads"), mean_therapists.alias("therapists"), load.alias("load"),
             hours.alias("own_hours"),
         )
+        .where("active_headcount = 0")
         .select(
             "city", "monthly_therapist_hours", "open_requisitions",
             F.col("heads").alias("comparable_headcount"),

@@ -110,6 +110,11 @@ def revenue_per_room(wh: Warehouse, city: str | None = None, months: int = 6) ->
 def labor_cost_by_role(wh: Warehouse, city: str | None = None, months: int = 6) -> DataFrame:
     """Mean headcount over the table's rows, summed costs, and cost per mean head."""
     _checked(city, months)
+    return labor_by_role(wh, city, months).orderBy("city", "role")
+
+
+def labor_by_role(wh: Warehouse, city: str | tuple[str, ...] | None, months: int) -> DataFrame:
+    """The rows of :func:`labor_cost_by_role` of all, one or several cities, unordered."""
     totals = totals_by_city(
         wh.recent(
             "labor_costs", months,
@@ -127,7 +132,7 @@ def labor_cost_by_role(wh: Warehouse, city: str | None = None, months: int = 6)
         number("total_labor_cost").alias("total_labor_cost"),
         number("overtime_cost").alias("overtime_cost"),
         ratio(number("total_labor_cost"), headcount).alias("cost_per_employee"),
-    ).transform(fixed(headcount=1, cost_per_employee=2)).orderBy("city", "role")
+    ).transform(fixed(headcount=1, cost_per_employee=2))
 
 
 def revenue_by_service(wh: Warehouse, city: str | None = None, months: int = 6) -> DataFrame:
@@ -149,10 +154,13 @@ def operational_costs_by_category(
 ) -> DataFrame:
     """Operating cost by city and category, largest first within a city."""
     _checked(city, months)
+    return costs_by_category(wh, city, months).orderBy("city", F.desc("amount"), "cost_category")
+
+
+def costs_by_category(wh: Warehouse, city: str | tuple[str, ...] | None, months: int) -> DataFrame:
+    """The rows of :func:`operational_costs_by_category` of all, one or several cities, unordered."""
     totals = totals_by_city(
         wh.recent("operational_costs", months, ["location_id", "cost_category", "amount"]),
         wh.sites(city), city, ["cost_category"], amount=F.sum(shared_money("amount")),
     )
-    return totals.select(
-        "city", "cost_category", number("amount").alias("amount")
-    ).orderBy("city", F.desc("amount"), "cost_category")
+    return totals.select("city", "cost_category", number("amount").alias("amount"))

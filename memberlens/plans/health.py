@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.functions.rules import fixed, mean, number, percent, whole
@@ -21,8 +21,14 @@ _COHORT_MEANS = {
 }
 
 
-def churn_cohorts(wh: Warehouse, group_by: str) -> DataFrame:
-    """Health means by paid membership (``tier``) or by predicted risk (``churnRisk``)."""
+def churn_cohorts(
+    wh: Warehouse, group_by: str, more: dict[str, Column] | None = None
+) -> DataFrame:
+    """Health means by paid membership (``tier``) or by predicted risk (``churnRisk``).
+
+    ``more`` adds aggregates of the measured columns to every cohort.
+    """
+    more = more or {}
     key = GROUP_COLUMNS[one_of("group_by", group_by, tuple(GROUP_COLUMNS))]
     measured = [column for column, _ in _COHORT_MEANS.values()]
     sums = [F.sum(c).alias(f"{c}_sum") for c in measured]
@@ -30,7 +36,10 @@ def churn_cohorts(wh: Warehouse, group_by: str) -> DataFrame:
     totals = (
         wh.table("customer_tiers", [key, *measured])
         .groupBy(F.col(key).alias("group_value"))
-        .agg(F.count("*").alias("customer_count"), *sums, *counts)
+        .agg(
+            F.count("*").alias("customer_count"), *sums, *counts,
+            *[column.alias(name) for name, column in more.items()],
+        )
     )
     means = [
         number(mean(F.col(f"{column}_sum"), F.col(f"{column}_rows"))).alias(name)
@@ -38,7 +47,7 @@ def churn_cohorts(wh: Warehouse, group_by: str) -> DataFrame:
     ]
     digits = {name: places for name, (_, places) in _COHORT_MEANS.items()}
     return (
-        totals.select("group_value", "customer_count", *means)
+        totals.select("group_value", "customer_count", *means, *more)
         .transform(fixed(**digits))
         .orderBy(F.asc_nulls_last("group_value"))
     )

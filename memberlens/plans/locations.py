@@ -31,19 +31,23 @@ def booking_forecast(wh: Warehouse, city: str | None = None) -> DataFrame:
 
     The forecast names cities, not locations: a city with two locations yields two rows per month.
     """
+    return forecast_by_location(wh, city).drop("location_id").orderBy("city", "forecast_month")
+
+
+def forecast_by_location(wh: Warehouse, city: str | None = None) -> DataFrame:
+    """The rows of :func:`booking_forecast` with their ``location_id``, unordered."""
     optional_text("city", city)
     forecast = wh.table("forecast_bookings").withColumn("city", decoded_text("city"))
     if city:
         forecast = forecast.where(F.col("city") == city)
-    capacity = wh.sites(city, "monthly_capacity").drop("location_id")
+    capacity = wh.sites(city, "monthly_capacity")
     return (
         forecast.join(capacity, "city")
         .select(
-            "city", "forecast_month",
+            "location_id", "city", "forecast_month",
             number("predicted_bookings").alias("predicted_bookings"),
             number("lower_bound").alias("lower_bound"),
             number("upper_bound").alias("upper_bound"),
             whole("monthly_capacity").alias("monthly_capacity"),
         )
-        .orderBy("city", "forecast_month")
     )

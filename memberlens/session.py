@@ -24,6 +24,9 @@ def build_session(app_name: str = "memberlens", master: str | None = None, **set
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # state of streams lies on disk, not on the heap
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # call sites of column expressions cost more than building the reports themselves
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **settings,

@@ -41,11 +41,21 @@ def messages_from_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# what a micro-batch of a file stream reads at most, unless the caller says otherwise
+_BOUNDED = {"maxBytesPerTrigger": str(1 << 30)}
+
+
+def _limits(options: dict) -> dict:
+    """``options``, with a bound on a micro-batch unless they hold one; the source takes one kind only."""
+    given = {name.lower() for name in options}
+    return options if given & {"maxbytespertrigger", "maxfilespertrigger"} else {**_BOUNDED, **options}
+
+
 def read_message_stream(spark: SparkSession, path: str, schema=MESSAGE_SCHEMA, **options) -> DataFrame:
     """Message files as a stream; ``options`` go to the file source."""
-    return spark.readStream.schema(schema).options(**options).json(path)
+    return spark.readStream.schema(schema).options(**_limits(options)).json(path)
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     """Parquet event files as a stream."""
-    return spark.readStream.schema(schema).options(**options).parquet(path)
+    return spark.readStream.schema(schema).options(**_limits(options)).parquet(path)

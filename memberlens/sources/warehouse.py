@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,23 +66,24 @@ class Warehouse:
         """Rows of the last ``months`` months of the table itself."""
         return self.rows(name, columns, self.lookback(name, months))
 
-    def sites(self, city: str | None, *columns: str) -> DataFrame:
-        """Locations with id, city and ``columns``, of one city when one is given."""
+    def sites(self, city: str | tuple[str, ...] | None, *columns: str) -> DataFrame:
+        """Locations with id, city and ``columns``, of the given city or cities only."""
         sites = self.table("location_master", ["location_id", "city", *columns])
-        return sites.where(F.col("city") == city) if city else sites
+        wanted = (city,) if isinstance(city, str) else city
+        return sites.where(F.col("city").isin(*wanted)) if wanted else sites
 
     def register(self, names: list[str] | None = None) -> None:
         """Expose tables to SQL as temporary views."""
         for name in names or TABLES:
             self.table(name).createOrReplaceTempView(name)
 
-    def materialise(self, root: str) -> None:
-        """Write every table as parquet under ``root``; monthly tables are split by month.
+    def materialise(self, root: str, names: list[str] | None = None) -> None:
+        """Write every table (or those named) as parquet under ``root``; monthly tables are split by month.
 
         A large derived warehouse is built once this way and then read through
         :class:`ParquetWarehouse`, where a look-back prunes whole month folders.
         """
-        for name in TABLES:
+        for name in names or TABLES:
             frame = self.table(name)
             if name in MONTH_COLUMNS:
                 month = MONTH_COLUMNS[name]
@@ -103,6 +105,7 @@ class ParquetWarehouse(Warehouse):
         super().__init__(spark)
         self.root = root
         self._schemas: dict[str, T.StructType] = {}
+        self._latest: dict[str, str | None] = {}
 
     def _load(self, name: str, columns: list[str]) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -110,6 +113,18 @@ class ParquetWarehouse(Warehouse):
             self._schemas[name] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
+    def lookback(self, name: str, months: int) -> Lookback:
+        """A table split by month tells its latest month by the names of its folders, once; no file is read."""
+        if name not in self._latest:
+            column = MONTH_COLUMNS[name]
+            folder = re.compile(rf"/{column}=(\d{{4}}-\d{{2}}-\d{{2}})/")
+            found = [folder.search(file) for file in self._load(name, [column]).inputFiles()]
+            self._latest[name] = max((m[1] for m in found), default=None) if all(found) else None
+        latest = self._latest[name]
+        if latest is None:
+            return super().lookback(name, months)
+        return Lookback(self.spark.range(1).select(F.lit(latest).cast("date").alias("latest")), months)
+
 
 class FrameWarehouse(Warehouse):
     """Tables handed over as frames, for fixtures or for data from other connectors."""

@@ -1,13 +1,16 @@
 """De-duplication and rate limiting on event streams, one small state per key.
 
 The rules are those of :mod:`memberlens.operators.admission`. Rows of a key are put in order within
-each micro-batch, whose size the source bounds (``maxFilesPerTrigger``, ``maxBytesPerTrigger``); a row that arrives in a later micro-batch with an earlier time is decided against
-the state as it then is, and decisions already made stay. ``dropDuplicatesWithinWatermark`` would not
+each micro-batch, whose size the source bounds (``read_event_stream`` does so by itself); a row that
+arrives in a later micro-batch with an earlier time is decided against the state as it then is, and
+decisions already made stay. A state goes once the watermark has passed its last accepted event by the
+window. ``dropDuplicatesWithinWatermark`` would not
 do: there a duplicate is measured against the watermark, not against the accepted delivery.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -21,6 +24,8 @@ from memberlens.functions.clock import micros, micros_of
 from memberlens.operators.admission import RATE_LIMIT, RATE_WINDOW, SEEN_TTL
 
 _STATE = "alive array<bigint>"
+# how late a row may be, unless the caller says otherwise
+LATENESS = timedelta(hours=1)
 
 
 def _decide_batch(
@@ -34,12 +39,20 @@ def _decide_batch(
         given = list(batches)
         rows = given[0] if len(given) == 1 else pd.concat(given, ignore_index=True)
         times, places = rows["_us"].tolist(), rows[order].tolist()
-        refused = [False] * len(times)
-        for at in sorted(range(len(times)), key=lambda i: (times[i], places[i])):
-            alive = [then for then in alive if times[at] - then < span]
-            refused[at] = len(alive) >= limit
-            if not refused[at]:
-                alive.append(times[at])
+        refused = [True] * len(times)
+        order_of = sorted(range(len(times)), key=lambda i: (times[i], places[i]))
+        sorted_times = [times[i] for i in order_of]
+        at = 0
+        while at < len(order_of):
+            now = sorted_times[at]
+            alive = [then for then in alive if now - then < span]
+            if len(alive) < limit:
+                alive.append(now)
+                refused[order_of[at]] = False
+                at += 1
+            else:  # nothing is accepted until as many have run out that the limit leaves room
+                free = sorted(alive)[len(alive) - limit] + span
+                at = bisect_left(sorted_times, free, at + 1)
         state.update((alive,))
         if expires:
             # a state that has run out changes no decision, so it may go
@@ -58,12 +71,13 @@ def refuse_stream(
     limit: int,
     window: timedelta,
     flag: str,
-    watermark: timedelta | None = None,
+    watermark: timedelta | None = LATENESS,
 ) -> DataFrame:
     """The stream with a boolean ``flag`` on refused rows.
 
-    Without ``watermark`` no row is ever dropped, and a key's state stays until its next event. With
-    one, states that have run out are removed, and rows older than the watermark are dropped by Spark.
+    States that have run out are removed. Rows more than ``watermark`` behind the newest one of earlier
+    micro-batches are dropped by Spark and counted in the query progress. With None no row is ever
+    dropped, and a key's state stays until its next event.
     """
     columns = events.columns
     schema = T.StructType([*events.schema.fields, T.StructField(flag, T.BooleanType())])

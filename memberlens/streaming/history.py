@@ -13,20 +13,25 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memberlens.functions.clock import micros, micros_of
 from memberlens.operators.history import MAX_MESSAGES
 from memberlens.operators.sessions import IDLE_LIMIT
+from memberlens.streaming.admission import LATENESS
 
 _STATE = "orders array<bigint>, clean array<boolean>, updated bigint"
 
 
 def _remember(
-    columns: list[str], order: str, idle: int, limit: int
+    columns: list[str], order: str, idle: int, limit: int, expires: bool
 ) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         orders, clean, updated = state.get if state.exists else ([], [], None)
         kept = list(zip(orders, clean))
         rows = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
@@ -43,6 +48,10 @@ def _remember(
             starts.append(kept[0][0])
             lengths.append(len(kept))
         state.update(([o for o, _ in kept], [c for _, c in kept], updated))
+        if expires:
+            # after a pause of more than ``idle`` a history starts empty anyway
+            until = (updated + idle) // 1000 + 1
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         rows["history_start"] = starts
         rows["history_length"] = lengths
         yield rows[[*columns, "history_start", "history_length"]]
@@ -58,10 +67,13 @@ def remember_stream(
     is_plain_user: Column,
     idle: timedelta = IDLE_LIMIT,
     max_messages: int = MAX_MESSAGES,
+    watermark: timedelta | None = LATENESS,
 ) -> DataFrame:
     """Each message with the ``order`` its thread's history starts at, and that history's length.
 
-    ``order`` is a whole number that ranks the messages of a thread.
+    ``order`` is a whole number that ranks the messages of a thread. Histories idle for longer than
+    ``idle`` leave the state once the watermark tells so; rows behind the watermark are dropped by Spark.
+    With None as ``watermark`` all rows are taken and a history stays until the thread's next message.
     """
     schema = T.StructType(
         [
@@ -71,7 +83,11 @@ def remember_stream(
         ]
     )
     timed = messages.withColumn("_us", micros_of(messages, ts)).withColumn("_clean", is_plain_user)
-    remember = _remember(messages.columns, order, micros(idle), max_messages)
-    return timed.groupBy(thread).applyInPandasWithState(
-        remember, schema, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout
+    if watermark is not None:
+        timed = timed.withColumn("_at", F.timestamp_micros("_us")).withWatermark(
+            "_at", f"{micros(watermark)} microseconds"
+        )
+        timeout = GroupStateTimeout.EventTimeTimeout
+    remember = _remember(messages.columns, order, micros(idle), max_messages, watermark is not None)
+    return timed.groupBy(thread).applyInPandasWithState(remember, schema, _STATE, "append", timeout)

@@ -77,6 +77,46 @@ MESSAGES = """
   FROM conversations"""
 
 
+def intake(limit: int) -> str:
+    """Every delivery comes twice at the same second, so each question is new once."""
+    return rf"""
+WITH RECURSIVE asked AS (
+  SELECT event_id, CAST(ts AS BIGINT) AS sent, channel || ':' || coalesce(thread_ts, ts) AS thread_key,
+         CASE WHEN channel_type <> 'im' THEN NULL ELSE 'U' || substr(channel, 2) END AS sender,
+         CASE WHEN channel_type = 'im' THEN text
+              ELSE trim(regexp_replace(text, '^\s*<@[^>]+>\s*', ''), ' ' || chr(9) || chr(10) || chr(13)) END AS question
+  FROM ({MESSAGES}) WHERE subtype IS NULL AND text <> '' AND (channel_type = 'im' OR text LIKE '%<@_%>%')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY sent, event_id) AS n FROM asked WHERE sender IS NOT NULL),
+fold AS (
+  SELECT sender, event_id, n, false AS is_limited, [sent] AS alive FROM placed WHERE n = 1
+  UNION ALL
+  SELECT p.sender, p.event_id, p.n, len(list_filter(f.alive, lambda x: x > p.sent - 60)) >= {limit},
+         CASE WHEN len(list_filter(f.alive, lambda x: x > p.sent - 60)) < {limit} THEN list_append(f.alive, p.sent) ELSE f.alive END
+  FROM fold f JOIN placed p ON p.sender = f.sender AND p.n = f.n + 1)
+SELECT event_id, thread_key, question, coalesce(is_limited, false) AS is_limited
+FROM asked LEFT JOIN (SELECT event_id, is_limited FROM fold) USING (event_id)"""
+
+
+def remembered(limit: int, messages: int) -> str:
+    return f"""
+SELECT event_id, thread_key, question FROM ({intake(limit)}) WHERE NOT is_limited
+QUALIFY row_number() OVER (
+  PARTITION BY thread_key ORDER BY CAST(split_part(event_id, '-', 2) AS BIGINT) DESC) <= {messages}"""
+
+
+def live_threads(idle: str) -> str:
+    return f"""
+SELECT user_id, max(ts) AS last_event FROM events GROUP BY user_id
+HAVING (SELECT max(ts) FROM events) - max(ts) <= INTERVAL {idle}"""
+
+
+def json_rows() -> str:
+    return """
+SELECT CAST(json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_mktsegment', nullif(c_mktsegment, 'BUILDING'))
+       AS VARCHAR) AS json
+FROM customer"""
+
+
 def thread_keys() -> str:
     return f"""
 SELECT event_id, channel || ':' || coalesce(thread_ts, ts) AS thread_key FROM ({MESSAGES})"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles import reports
-from oracles.tables import fixed
+from oracles.tables import fixed, with_tables
 
 
 def _staff(city: str | None = None) -> str:
@@ -72,24 +72,20 @@ FROM paid"""
 
 
 def capacity_pressure() -> str:
-    return f"""
-WITH forecast AS ({reports.booking_forecast()}),
-loaded AS (
-  SELECT city, monthly_capacity,
-         max(CASE WHEN monthly_capacity > 0 THEN predicted_bookings / monthly_capacity END) * 100
-           AS peak,
-         max(CASE WHEN monthly_capacity > 0 THEN upper_bound / monthly_capacity END) * 100 AS upper,
-         min(CASE WHEN monthly_capacity > 0 AND predicted_bookings >= monthly_capacity
-                  THEN forecast_month END) AS first_full_month
-  FROM forecast GROUP BY city, monthly_capacity)
+    return with_tables(f"""
 SELECT city, monthly_capacity, {fixed('peak', 1, 'peak_load_pct')},
-       {fixed('upper', 1, 'peak_upper_load_pct')}, first_full_month
-FROM loaded"""
+       {fixed('highest', 1, 'peak_upper_load_pct')}, first_full_month
+FROM (
+  SELECT m.location_id, m.city, CAST(m.monthly_capacity AS BIGINT) AS monthly_capacity,
+         max(f.predicted_bookings / nullif(m.monthly_capacity, 0)) * 100 AS peak,
+         max(f.upper_bound / nullif(m.monthly_capacity, 0)) * 100 AS highest,
+         min(f.forecast_month) FILTER (m.monthly_capacity > 0 AND f.predicted_bookings >= m.monthly_capacity)
+           AS first_full_month
+  FROM location_master m JOIN forecast_bookings f ON json_extract_string(f.city, '$') = m.city
+  GROUP BY ALL)""")
 
 
 def churn_against_visits() -> str:
-    from oracles.tables import with_tables
-
     members = with_tables(
         "SELECT corr(churn_probability_pct, days_since_last_visit) AS link FROM customer_tiers"
     )
