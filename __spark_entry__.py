@@ -216,7 +216,7 @@ def _stored(function: Callable[..., DataFrame], *tables: str, **arguments) -> Qu
 def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = _event_stream(spark, folder, ["user_id", "event_type", "ts", "event_id"])
     marked = mark_duplicates_stream(
-        stream, ["user_id", "event_type"], "ts", "event_id", timedelta(days=1)
+        stream, ["user_id", "event_type"], "ts", "event_id", timedelta(days=1), watermark=None
     )
     return process_available(marked).select("event_id", "is_duplicate")
 
@@ -224,7 +224,7 @@ def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:
 def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = _event_stream(spark, folder, ["user_id", "ts", "event_id"])
     marked = mark_rate_limited_stream(
-        stream, ["user_id"], "ts", "event_id", 3, timedelta(days=1)
+        stream, ["user_id"], "ts", "event_id", 3, timedelta(days=1), watermark=None
     )
     return process_available(marked).select("event_id", "is_limited")
 
