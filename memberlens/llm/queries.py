@@ -53,13 +53,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(
-        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=None
-    )
+    """Per row: exact hits decide ``contaminated``; ``n_near_items`` counts the items met by proximity."""
+    found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"), "n_near_items",
     )
 
 

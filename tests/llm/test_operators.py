@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memberlens.llm import (
-    boosting, decontamination, fingerprints, licenses, ngram_join, quality, sentencepieces, sharding, token_counts,
-    token_files, toxicity,
+    boosting, decontamination, fingerprints, licenses, ngram_join, quality, queries, sentencepieces, sharding,
+    token_counts, token_files, toxicity,
 )
 from memberlens.llm.common import only_ids
 from memberlens.llm.components import components
@@ -250,6 +250,15 @@ def test_decontamination(spark, empty, docs):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in small.collect()), key=str) == got
 
 
+def test_decontamination_query_reports_proximity(spark, tmp_path):
+    item = _words(70, 10, 1000)
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, " ".join(reversed(item))), (2, " between ".join(item)), (3, " ".join(item[:9])), (4, " ".join(item))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op7_decontamination(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_near_items, r.contaminated) for r in found} == {1: (1, False), 2: (1, False), 3: (0, False), 4: (1, True)}
+
+
 def test_sharding_law(docs, empty, spark):
     many = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.repeat(F.lit("ä"), (F.col("id") % 90).cast("int"))).alias("text"),
