@@ -32,8 +32,10 @@ TERM_BITS = 22
 BLOCK_WORDS = 500_000
 #: candidate starts held at once
 CANDIDATES = 2_000_000
-#: proximity: all words of a phrase lie within so many words of its rarest one
+#: proximity: all words of a phrase stand in one stretch of 2 * SLOP + 1 words
 SLOP = 20
+#: candidates whose stretches are looked at together
+STRETCHES = 100_000
 
 #: fixed: ASCII other than digits and letters separates words, A-Z become a-z
 WORD_BYTES = bytes(
@@ -133,10 +135,7 @@ def indexed_documents(index: DataFrame) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str, phrase: int) -> Iterator[dict[int, tuple]]:
-    """Blocks of items as {phrase length: (term hashes of each phrase, item of each, apart)}.
-
-    ``apart`` marks phrases that do not overlap another marked one; proximity looks at these.
-    """
+    """Blocks of items as {phrase length: (term hashes of each phrase, item of each, whether that has no id)}."""
     held: dict[int, list] = {}
     size = 0
     for row in benchmark.select(F.col(id_column).cast("long"), text_column).toLocalIterator():
@@ -146,8 +145,7 @@ def _blocks(benchmark: DataFrame, id_column: str, text_column: str, phrase: int)
         terms = word_hashes(words).view(np.int64)
         n = min(phrase, len(terms))
         windows = np.lib.stride_tricks.sliding_window_view(terms, n)
-        starts = np.arange(len(windows))
-        held.setdefault(n, []).append((windows, np.full(len(windows), row[0] or 0), np.full(len(windows), row[0] is None), starts % n == 0))
+        held.setdefault(n, []).append((windows, np.full(len(windows), row[0] or 0), np.full(len(windows), row[0] is None)))
         size += len(terms)
         if size >= BLOCK_WORDS:
             yield {n: tuple(map(np.concatenate, zip(*own, strict=True))) for n, own in held.items()}
@@ -173,7 +171,7 @@ class _Postings:
         return at, (self.terms[at] == phrases).all(axis=1)
 
     def searched(self, phrases: np.ndarray, slop: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(phrase, start) of every occurrence; with ``slop`` (phrase, place of the rarest word) instead."""
+        """(phrase, start) of every occurrence; with ``slop`` (phrase, place of the rarest word in the stretch) instead."""
         at, whole = self.numbers(phrases)
         which = np.flatnonzero(whole)
         if not len(which):
@@ -193,10 +191,14 @@ class _Postings:
             start = place - (order[row, 0] if slop is None else 0)
             for k in range(1, phrases.shape[1]):
                 term = rarest[row, k]
-                keep = self._holds(term, start + order[row, k]) if slop is None else self._near(term, start, slop)
+                keep = self._holds(term, start + order[row, k]) if slop is None else self._near(term, start, 2 * slop)
                 row, start = row[keep], start[keep]
                 if not len(row):
                     break
+            if slop is not None and len(row):
+                keep = [self._together(at[row[k : k + STRETCHES]], start[k : k + STRETCHES], 2 * slop) for k in range(0, len(row), STRETCHES)]
+                keep = np.concatenate(keep)
+                row, start = row[keep], start[keep]
             if len(row):
                 yield which[row], start
 
@@ -211,6 +213,24 @@ class _Postings:
         key = self.keys[found]
         return (key >= low) & (key <= term * self.span + place + slop)
 
+    def _together(self, terms: np.ndarray, place: np.ndarray, reach: int) -> np.ndarray:
+        """Whether some stretch [s, s + reach] with ``place`` in it has every one of a row's terms.
+
+        Which term is the rarest one differs between segments; whether there is such a stretch does not.
+        """
+        found, left, low = np.zeros(len(place), bool), np.arange(len(place)), np.maximum(place - reach, 0)
+        while len(left):
+            key = terms[left] * self.span + low[:, None]
+            at = np.searchsorted(self.keys, key)
+            # a term without another place gives one in the next term's range, beyond any stretch
+            after = np.where(at < len(self.keys), self.keys[np.minimum(at, len(self.keys) - 1)] - key, self.span)
+            last = low + after.max(axis=1)
+            whole = last <= low + reach
+            found[left[whole]] = True
+            more = ~whole & (last - reach <= place[left])
+            left, low = left[more], last[more] - reach
+        return found
+
 
 MATCHES = "segment long, doc_no int, kind string, item_id long, start long, length long"
 
@@ -223,10 +243,13 @@ def matches(
 
     A test phrase is any ``phrase`` consecutive words of an item, or a shorter item as a whole. Kind
     ``exact`` is a run of words covered by overlapping phrases of one item, from word ``start`` of the
-    document. Kind ``near`` (unless ``slop`` is None) tells that all words of a phrase lie within ``slop``
-    words of its rarest one, in any order; it has one row for each document and item. Items without words
-    match nothing. Items are searched in blocks of bounded size, each over the whole index.
+    document. Kind ``near`` (unless ``slop`` is None) tells that all words of a phrase stand in one stretch of
+    ``2 * slop + 1`` words, in any order, a repeated word at least once; it has one row or a few for each
+    document and item. Items without words match nothing. Items are searched in blocks of bounded size, each
+    over the whole index.
     """
+    if slop is not None and 2 * slop >= GAP:
+        raise ValueError(f"2 * slop must be below {GAP}")
     result = None
     for block in _blocks(benchmark, id_column, text_column, phrase):
         found = index.mapInArrow(_search(block, slop), MATCHES)
@@ -242,14 +265,12 @@ def _search(block: dict[int, tuple], slop: int | None):
             for k in range(batch.num_rows):
                 part = {c: batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("n_words", "starts", "terms", "ends", "positions")}
                 lists = _Postings(part["terms"], part["ends"], part["positions"])
-                for length, (phrases, items, unnamed, apart) in block.items():
+                for length, (phrases, items, unnamed) in block.items():
                     for which, start in lists.searched(phrases, None):
                         yield _rows(batch.column("segment")[k].as_py(), "exact", part["starts"], items[which], unnamed[which], start, length)
                     if slop is not None:
-                        marked = np.flatnonzero(apart)
-                        for which, start in lists.searched(phrases[marked], slop):
-                            own = marked[which]
-                            yield _rows(batch.column("segment")[k].as_py(), "near", part["starts"], items[own], unnamed[own], start, 1)
+                        for which, start in lists.searched(phrases, slop):
+                            yield _rows(batch.column("segment")[k].as_py(), "near", part["starts"], items[which], unnamed[which], start, 1)
 
     return run
 

@@ -259,6 +259,29 @@ def test_decontamination_query_reports_proximity(spark, tmp_path):
     assert {r.doc_id: (r.n_near_items, r.contaminated) for r in found} == {1: (1, False), 2: (1, False), 3: (0, False), 4: (1, True)}
 
 
+def test_decontamination_proximity_of_every_phrase(spark):
+    a, b = _words(70, 19, 1000), _words(71, 27, 1000)
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, "two words")]
+    texts = [
+        (1, " ".join(reversed(a[5:15]))), (2, " ".join(reversed(b[17:]))), (3, " ".join(a[5:14])),
+        (4, " x x x ".join(a[9:])), (5, " x x x x ".join(a[9:])), (6, "words x two " + " y ".join(b[4:14])),
+        (7, "words " + "x " * 39 + "two"), (8, "words " + "x " * 40 + "two"), (9, None), (10, " ".join([b[0]] * 30 + a[3:13])),
+    ]
+    expected = {}
+    for i, t in texts:
+        w = (t or "").split()
+        stretches = [set(w[s : s + 2 * decontamination.SLOP + 1]) for s in range(len(w))]
+        own = [(k, x.split()) for k, x in items]
+        expected[i] = len({k for k, x in own for s in range(max(1, len(x) - 9)) if any(set(x[s : s + 10]) <= e for e in stretches)})
+    assert expected == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 2, 7: 1, 8: 0, 9: 0, 10: 1}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for segment_words in (1, 60, 1000):
+        index = decontamination.build_index(frame.coalesce(1), segment_words=segment_words)
+        found = decontamination.report(index, decontamination.matches(index, bench)).collect()
+        assert {r.doc_id: r.n_near_items for r in found} == expected
+
+
 def test_sharding_law(docs, empty, spark):
     many = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.repeat(F.lit("ä"), (F.col("id") % 90).cast("int"))).alias("text"),
