@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memberlens.functions import text
+from memberlens.functions.clock import micros_of
 from memberlens.operators.admission import mark_duplicates, mark_rate_limited
 from memberlens.operators.answers import render_answers
 from memberlens.operators.history import truncate_history
@@ -230,7 +231,13 @@ def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """All sessions of the stream: a closing event far ahead ends those still open."""
+    """All sessions of the stream: a closing event far ahead ends those still open.
+
+    The watermark lies as far back as the table reaches, so no order of its files makes a row late.
+    """
+    events = _events(spark, folder)
+    us = micros_of(events, "ts")
+    reach = timedelta(microseconds=events.agg(F.max(us) - F.min(us)).first()[0] or 0)
     stream = _event_stream(spark, folder, ["user_id", "ts"])
     ahead = F.to_timestamp(F.lit("9000-01-01")).cast(stream.schema["ts"].dataType)
     nobody = F.lit(None).cast(stream.schema["user_id"].dataType)
@@ -238,7 +245,7 @@ def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
     ends = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closing-{uuid.uuid4().hex}"
     closing.limit(0).write.parquet(ends)
     both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends))
-    closed = sessions_stream(both, ["user_id"], "ts", timedelta(hours=1))
+    closed = sessions_stream(both, ["user_id"], "ts", max(reach, timedelta(hours=1)))
     return process_and_close(closed, closing, ends).where("user_id is not null")
 
 

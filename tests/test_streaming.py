@@ -6,8 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entries
 from memberlens.operators.admission import mark_duplicates, mark_rate_limited
 from memberlens.operators.sessions import sessions
+from memberlens.sources import messages as message_files
 from memberlens.sources.messages import MESSAGE_SCHEMA, read_event_stream, read_message_stream
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
 from memberlens.streaming.history import remember_stream
@@ -101,6 +103,19 @@ def test_session_stream_equals_batch(spark, events, tmp_path):
     assert len(got) > 900
 
 
+def test_registered_sessions_take_files_in_any_order(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(message_files, "_BOUNDED", {"maxFilesPerTrigger": "1"})
+    events = spark.read.parquet(f"{small}/events.parquet")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - low) * 4 / (high - low + 1))
+    for own in (3, 0, 2, 1):
+        events.where(part == own).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    columns = ["user_id", "session_start", "last_event", "event_count"]
+    got = entries.queries()["e03_sessions_stream"](spark, str(tmp_path)).select(*columns).collect()
+    want = sessions(events, ["user_id"], "ts").select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_remembered_history_equals_one_by_one(spark, tmp_path, files):
     rnd = random.Random(files)
