@@ -10,7 +10,8 @@ compared. Changed words make rare shingles, which come first, so texts that diff
 Steps: (1) counts of all shingles in a sketch of fixed size, (2) prefixes and m per text, (3) equal
 texts become one class, (4) texts that share a smallest shingle are compared with one of them, which
 joins large groups of near copies by as many comparisons as they have members, (5) all other pairs
-that share enough prefix shingles and are not yet in one component are compared, (6) components.
+that share enough prefix shingles and are not yet in one component are compared, (6) components,
+(7) all links are counted: each lies inside a component, whose texts are compared block by block.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ COMPARE_COST = 50
 SMALLEST = 6
 #: a shingle that may be in more texts than this is counted by grouping, not by a window
 HOT_TEXTS = 100_000
+#: texts and shingles in one of the blocks into which a component is cut for the count of its links
+BLOCK_TEXTS = 500
+BLOCK_SHINGLES = 250_000
+#: shingles of a dense product of two blocks
+DENSE_SHINGLES = 4_096
 #: words handled at once in a task
 WORDS_AT_ONCE = 250_000
 
@@ -85,15 +91,17 @@ def similarity_join(
     width: int = 5,
     percent: int = 80,
     hot_texts: int = HOT_TEXTS,
+    with_links: bool = True,
 ) -> DataFrame:
-    """(id, n_shingles, class_id, component_id) for every distinct id of ``docs``.
+    """(id, n_shingles, class_id, component_id, n_links) for every distinct id of ``docs``.
 
     Two texts are linked when ``100 * shared >= percent * united`` shingles. ``class_id`` is the
-    smallest id with the same words, ``component_id`` the smallest id reachable over links. Missing
+    smallest id with the same words, ``component_id`` the smallest id reachable over links, ``n_links`` the
+    number of other classes that the class is linked to, not computed unless ``with_links``. Missing
     and empty texts have no shingles and no links. Rows without an id are returned alone, with
     themselves as no component (null). Of several rows with one id the id's texts all count: the id
-    is linked to what any of them is linked to, and ``n_shingles`` is the largest. Columns other than
-    the two named are ignored, whatever their names.
+    is linked to what any of them is linked to, ``n_shingles`` is the largest, and ``n_links`` the sum over
+    the id's classes. Columns other than the two named are ignored, whatever their names.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     known = narrow.where("id is not null")
@@ -123,7 +131,13 @@ def similarity_join(
     final = components(linked)
 
     sizes = rows.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    own = classes.groupBy("id").agg(F.min("class_id").alias("class_id"))
+    ties = classes
+    n_links = []
+    if with_links:
+        links = _links(kept, final, known, width, percent).withColumnRenamed("id", "class_id")
+        ties = classes.join(links, "class_id", "left")
+        n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    own = ties.groupBy("id").agg(F.min("class_id").alias("class_id"), *(F.sum(c).alias(c) for c in ["n_links"] if with_links))
     result = (
         sizes.join(own, "id", "left")
         .join(final, "id", "left")
@@ -132,6 +146,7 @@ def similarity_join(
             "n_shingles",
             F.coalesce("class_id", "id").alias("class_id"),
             F.coalesce("component", "id").alias("component_id"),
+            *n_links,
         )
     )
     unnamed = map_batches(
@@ -143,7 +158,8 @@ def similarity_join(
     )
     none = F.lit(None).cast("long")
     return result.unionByName(
-        unnamed.select(none.alias(id_column), "n_shingles", none.alias("class_id"), none.alias("component_id"))
+        unnamed.select(none.alias(id_column), "n_shingles", none.alias("class_id"), none.alias("component_id")),
+        allowMissingColumns=True,
     )
 
 
@@ -327,11 +343,85 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where("in_a <> in_b").select("a", "b")
 
 
+def _links(kept: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n_links): how many other class representatives each one is linked to, by their whole sets.
+
+    No link leaves a component. A component is cut into blocks of bounded size by a hash of the id, and
+    every two of its blocks are compared in one call.
+    """
+    sizes = kept.groupBy("id").agg(F.sum("n").alias("n")).join(joined, "id")
+    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    several = (
+        sizes.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+        .where("texts > 1").select("component", blocks.cast("int").alias("blocks"))
+    )
+    placed = stage(sizes.join(several, "component").selectExpr("id", "component", "blocks", "int(pmod(xxhash64(id), blocks)) as block"))
+    texts = only_ids(docs, "id", placed.select("id"))
+    dealt = placed.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.groupBy("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(
+        F.collect_list(F.struct("id", "block", "text")).alias("members")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, across in zip(batch.column("members"), batch.column("across").to_pylist(), strict=True):
+                ids, own, text = members.values.flatten()
+                ids, links = _links_of(
+                    ids.to_numpy(), own.to_numpy(), list(shingle_sets(texts_of(text), width)), percent, across
+                )
+                if len(ids):
+                    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    bound_batches(docs.sparkSession)
+    counted = met.selectExpr("members", "low <> high as across").mapInArrow(count, "id long, links long")
+    return stage(counted.groupBy("id").agg(F.sum("links").alias("n_links")))
+
+
+def _links_of(
+    ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, across: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, links of each): ``across`` two blocks, or inside one."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, term, texts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # shingles of many texts by dense products, the others by their lists
+    dense = (texts > 1) & (texts * 32 > len(sets))
+    column = (np.cumsum(dense) - 1)[term]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    of_dense = dense[term]
+    for start in range(0, int(dense.sum()), DENSE_SHINGLES):
+        here = of_dense & (column >= start) & (column < start + DENSE_SHINGLES)
+        held = np.zeros((len(sets), min(DENSE_SHINGLES, int(dense.sum()) - start)), np.float32)
+        held[owner[here], column[here] - start] = 1
+        shared += held @ held.T
+    thin = ~of_dense & (texts[term] > 1)
+    order = np.argsort(term[thin], kind="stable")
+    terms, owners = term[thin][order], owner[thin][order]
+    # entry by entry with those that follow at each distance within one list
+    for distance in range(1, int(texts[~dense].max(initial=1))):
+        same = terms[distance:] == terms[:-distance]
+        a, b = owners[:-distance][same], owners[distance:][same]
+        np.add.at(shared, (a, b), 1)
+        np.add.at(shared, (b, a), 1)
+    shared = shared.astype(np.int64)
+    similar = (shared > 0) & (100 * shared >= percent * (sizes[:, None] + sizes - shared))
+    similar &= ids[:, None] != ids
+    if across:
+        similar &= blocks[:, None] != blocks
+    # several texts of one id count once
+    named, which = np.unique(ids, return_inverse=True)
+    linked = np.zeros((len(named), len(named)), bool)
+    a, b = np.nonzero(similar)
+    linked[which[a], which[b]] = True
+    links = linked.sum(axis=1)
+    return named[links > 0], links[links > 0]
+
+
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id.
 
     Rows without an id, and rows without words, are kept. Of exactly one id's rows all stay.
     """
-    found = similarity_join(docs, id_column, text_column)
+    found = similarity_join(docs, id_column, text_column, with_links=False)
     away = found.where(F.col("component_id") != F.col(id_column)).select(id_column)
     return docs.join(away, id_column, "left_anti")

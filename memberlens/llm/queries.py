@@ -20,7 +20,7 @@ SHARDS = 8
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id", "class_id"
+        "doc_id", "n_shingles", "component_id", "class_id", "n_links"
     )
 
 

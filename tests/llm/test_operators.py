@@ -75,6 +75,25 @@ def test_similarity_join_is_brute_force(docs, hot):
     assert got == _brute_components(_texts())
 
 
+@pytest.mark.parametrize("block_texts", [ngram_join.BLOCK_TEXTS, 2])
+def test_similarity_join_counts_every_link(spark, monkeypatch, block_texts):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", block_texts)
+    long = _words(3, 120, 5_000)
+    # copies with a change each, a chain that drops words step by step, and an exact copy
+    texts = {k: " ".join(w if n != 10 * k + 5 else "new" for n, w in enumerate(long)) for k in range(12)}
+    chain = _words(5, 400, 5_000)
+    texts |= {20 + k: " ".join(chain[40 * k : 40 * k + 260]) for k in range(4)} | {30: texts[3].upper(), 31: "alone", 32: None}
+    texts |= {40 + k: " ".join(chain[20 * k : 20 * k + 200]) for k in range(4)}
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    expected = {
+        i: sum(b != 30 and own != sets[b] and len(own & sets[b]) * 100 >= 80 * len(own | sets[b]) for b in sets if own and sets[b])
+        for i, own in sets.items()
+    }
+    assert expected[30] == expected[3] > 1 and expected[31] == expected[32] == 0 and expected[41] == 2 and expected[40] == 1
+    frame = spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_links for r in ngram_join.similarity_join(frame).collect()} == expected
+
+
 def test_similarity_join_without_rows_and_one_of_each(docs, empty):
     assert ngram_join.similarity_join(empty).count() == 0
     kept = ngram_join.one_of_each(docs)
