@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memberlens.llm import (
-    decontamination, fingerprints, licenses, ngram_join, quality, sentencepieces, sharding, token_counts,
-    token_files, toxicity,
+    decontamination, filter_audit, fingerprints, infill, licenses, ngram_join, quality, sentencepieces, sharding,
+    suffix_dedup, token_counts, token_files, toxicity,
 )
 from memberlens.llm.common import read_table
 
@@ -83,10 +83,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = infill.restored(infill.fill_in_middle(read_table(spark, sf_dir, "documents")))
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     named = [
         op1_ngram_jaccard_join, op2_token_counts, op3_token_files, op4_sentencepiece, op5_license_scan,
         op6_fingerprints, op7_decontamination, op8_quality_classifier, op9_sharding, op10_toxicity,
+        op11_suffix_dedup, op12_fill_in_middle, op13_filter_audit,
     ]
     return {f.__name__: f for f in named}
 
@@ -138,5 +156,68 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_INFILL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+    list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS r FROM units),
+placed AS (
+  SELECT doc_id, t, u, n, least(r[1] % (n + 1), r[2] % (n + 1)) AS low, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+      WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m,
+    array_to_string(u[high + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
+
+_AUDIT = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM cut GROUP BY t),
+marked AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT c.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(c.t, '[^A-Z]', '', 'g')) > 10 * length(c.t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(c.t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN c.doc_id > f.first_id THEN 16 ELSE 0 END AS fails
+  FROM cut c JOIN firsts f ON c.t = f.t LEFT JOIN marked m ON c.doc_id = m.doc_id),
+kinds AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM judged GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+steps AS (
+  SELECT o AS filter_order, step, 1 << (ascii(o[step]) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))), 0)::BIGINT AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE len(o) = 5)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM kinds, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _JACCARD, "op7_decontamination": _CONTAMINATION}
+    return {
+        "op1_ngram_jaccard_join": _JACCARD, "op7_decontamination": _CONTAMINATION, "op12_fill_in_middle": _INFILL,
+        "op13_filter_audit": _AUDIT,
+    }
