@@ -31,7 +31,7 @@ BLOCK = 1 << 18
 #: bytes whose suffixes are sorted at once; an anchor with more is split by whole windows
 SORT_BYTES = 4 << 20
 #: suffixes whose leading bytes are held as strings at once
-DIRECT = 50_000
+DIRECT = 2_000
 #: texts whose key a task remembers, so that copies within it are looked at once
 REMEMBERED_TEXTS = 200_000
 #: bits of a place within a block of hashes
@@ -49,10 +49,8 @@ def _directly_sorted(text: str, symbols: np.ndarray, places: np.ndarray, depth:
     if len(places) <= DIRECT:
         keys = [text[i + start : i + depth] for i in places.tolist()]
         return places[np.array(sorted(range(len(keys)), key=keys.__getitem__))]
-    heads = np.zeros(len(places), np.uint64)
-    for k in range(8):
-        at = places + (start + k)
-        heads = (heads << np.uint64(8)) | np.where(at < len(symbols), symbols[np.minimum(at, len(symbols) - 1)], 0).astype(np.uint64)
+    at = np.minimum(places + start, len(symbols))
+    heads = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(8, np.uint8)), 8)[at].view(">u8")[:, 0].astype(np.uint64)
     order = np.argsort(heads, kind="stable")
     places, heads = places[order], heads[order]
     ends = [*(np.flatnonzero(heads[1:] != heads[:-1]) + 1).tolist(), len(places)]

@@ -77,7 +77,7 @@ def test_spans_and_kept_bytes(spark, empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("direct", [50_000, 8])
+@pytest.mark.parametrize("direct", [2_000, 8])
 def test_two_stage_order_equals_plain_sort(monkeypatch, direct):
     monkeypatch.setattr(suffix_dedup, "DIRECT", direct)
     r = random.Random(direct)
