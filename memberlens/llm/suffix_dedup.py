@@ -379,14 +379,15 @@ def repeats(keyed: DataFrame, length: int = LENGTH, sort_bytes: int = SORT_BYTES
     ``keyed`` has (ka, kb, text), as ``_keyed`` gives it.
     """
     occurrences = stage(_occurrences(keyed, length))
-    often = occurrences.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
+    # staged, so that the join with it is split where an anchor is frequent
+    often = stage(occurrences.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor"))
     shared = stage(occurrences.join(often, "anchor"))
     segments = stage(shared.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("ka", "kb", "start", "windows")).alias("at")
     ))
     # an anchor needs sorting if it has different segments, of which one stands once
     size = F.sum(F.col("at.windows") + (length - 1))
-    contested = (
+    contested = stage(
         segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), size.alias("size"))
         .where("kinds > 1 AND least = 1").select("anchor", (F.col("size") > sort_bytes).alias("hot"))
     )
