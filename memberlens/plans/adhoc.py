@@ -3,70 +3,99 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.java_gateway import JavaObject, is_instance_of
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# How an accepted statement begins, and calls that reach outside the data.
+# Fixed value: how an accepted statement begins.
 _QUERY_START = re.compile(r"\s*(select|with)\b", re.IGNORECASE)
-_ESCAPING_CALLS = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(|\busing\s*''", re.IGNORECASE)
-_PATH_NAME = re.compile(r"`[^`]*[/:\\][^`]*`")
-# The lexical forms in which a word is not a word of the statement.
-_LEXICAL = re.compile(
-    r"(?P<string>\br?'(?:[^'\\]|\\.|'')*'|r?'(?:[^'\\]|\\.|'')*'|r?\"(?:[^\"\\]|\\.)*\")"
-    r"|(?P<name>`(?:[^`]|``)*`)|(?P<line>--[^\n]*)|(?P<open>/\*)",
-    re.DOTALL | re.IGNORECASE,
+_CATALYST = "org.apache.spark.sql.catalyst"
+
+#: what an analysed query may consist of; a view stands for the table registered under its name
+_OPERATORS = frozenset(
+    """
+    Aggregate AsOfJoin CTERelationDef CTERelationRef Deduplicate Distinct Except Expand Filter Generate GlobalLimit
+    Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation Project Range RebalancePartitions
+    Repartition RepartitionByExpression ResolvedHint Sample Sort SubqueryAlias Tail Union Window WithCTE
+    """.split()
+)
+_TABLES = frozenset(["View"])
+#: what stands for a relation before the analysis, and the names that only the analysis would work out
+_NAMED = "UnresolvedRelation"
+_WORKED_OUT = re.compile(r"(Plan|Expression|Relation)WithUnresolvedIdentifier")
+#: calls that leave SQL; functions of the session itself (Python, Scala, Hive) are no built-in expressions or among these
+_OUTSIDE = frozenset(
+    """
+    CallMethodViaReflection TryReflect ScalaUDF PythonUDF PythonUDAF PythonUDTF PythonFuncExpression
+    UnresolvedPolymorphicPythonUDTF ScalaAggregator ScalaUDAF ScriptInputOutputSchema
+    """.split()
 )
 
 
 class NotReadOnly(ValueError):
-    """The statement is something else than a query."""
-
-
-def _bare(sql: str, keep_names: bool = False) -> str:
-    """``sql`` without comments, with empty strings, and with quoted names as plain words."""
-    out, at = [], 0
-    while found := _LEXICAL.search(sql, at):
-        out.append(sql[at : found.start()])
-        at = found.end()
-        if found["string"]:
-            out.append("''")
-        elif found["name"]:
-            out.append(found["name"] if keep_names else found["name"][1:-1])
-        else:
-            out.append(" ")
-        if found["open"]:
-            depth = 1  # such comments nest
-            while depth and (mark := re.compile(r"/\*|\*/").search(sql, at)):
-                depth += 1 if mark[0] == "/*" else -1
-                at = mark.end()
-            if depth:
-                at = len(sql)
-    return "".join([*out, sql[at:]])
-
-
-def check_read_only(spark: SparkSession, sql: str, args=None) -> None:
-    """Refuse everything but a single query over registered tables, before anything runs.
-
-    The statement must be a query as it stands, and hold up as the source of a FROM clause, where only
-    queries are allowed; both are explained or analysed, never executed. Calls that leave SQL are looked
-    for outside strings and comments, in quoted names as well. Files cannot be named as tables.
+    """The statement is something else than a query over registered tables."""
+
+
+def _items(sequence: JavaObject) -> Iterator[JavaObject]:
+    for i in range(sequence.size()):
+        yield sequence.apply(i)
+
+
+def _nodes(spark: SparkSession, plan: JavaObject) -> Iterator[tuple[str, JavaObject]]:
+    """Class name and node of every operator and expression of ``plan``, subqueries included.
+
+    A view is given, but not what it stands for.
+    """
+    gateway = spark.sparkContext._gateway
+    open_nodes = [plan]
+    while open_nodes:
+        node = open_nodes.pop()
+        name = node.getClass().getName()
+        yield name, node
+        if name.rsplit(".", 1)[-1] in _TABLES:
+            continue
+        open_nodes += _items(node.children())
+        if is_instance_of(gateway, node, f"{_CATALYST}.plans.logical.LogicalPlan"):
+            open_nodes += _items(node.expressions())
+            if name.endswith(".UnresolvedWith"):
+                open_nodes += _items(node.innerChildren())
+        elif is_instance_of(gateway, node, f"{_CATALYST}.expressions.PlanExpression"):
+            open_nodes.append(node.plan())
+
+
+def _check_names(spark: SparkSession, statement: str) -> None:
+    """Refuse what is no single query, and tables that are named by a path or a worked-out name.
+
+    Only parsed, so nothing is looked up yet: the analysis would already open a file named as a table.
     """
-    if not _QUERY_START.match(sql):
-        raise NotReadOnly("only SELECT or WITH queries are accepted")
-    if _ESCAPING_CALLS.search(_bare(sql)):
-        raise NotReadOnly("calls outside of SQL are not accepted")
-    if _PATH_NAME.search(_bare(sql, keep_names=True)):
-        raise NotReadOnly("only registered tables are accepted")
     try:
-        spark.sql(f"EXPLAIN {_single(sql)}", args=args)
-        spark.sql(f"SELECT 1 FROM (\n{_single(sql)}\n) AS candidate WHERE false", args=args)
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     except ParseException as error:
         raise NotReadOnly("the statement is not a single query") from error
-    except AnalysisException:
-        pass  # unknown names and wrong types are reported by the statement itself
+    for name, node in _nodes(spark, parsed):
+        short = name.rsplit(".", 1)[-1]
+        if _WORKED_OUT.fullmatch(short):
+            raise NotReadOnly("names that are worked out are not accepted")
+        if short == _NAMED:
+            parts = list(_items(node.multipartIdentifier()))
+            # a plain name is a view, a common table expression or unknown; unknown ones are reported later
+            if len(parts) > 1 and not spark.catalog.tableExists(".".join(f"`{p.replace('`', '``')}`" for p in parts)):
+                raise NotReadOnly("only registered tables are accepted")
+
+
+def _check_plan(spark: SparkSession, analysed: JavaObject) -> None:
+    """Refuse operators, relations and functions that are not known to stay inside SQL."""
+    for name, node in _nodes(spark, analysed):
+        package, short = name.rsplit(".", 1)
+        if is_instance_of(spark.sparkContext._gateway, node, f"{_CATALYST}.plans.logical.LogicalPlan"):
+            if short not in _OPERATORS | _TABLES:
+                raise NotReadOnly(f"{short} is not accepted in a query")
+        elif short in _OUTSIDE or not package.startswith(f"{_CATALYST}.expressions"):
+            raise NotReadOnly(f"the function {short} is not accepted")
 
 
 def _single(sql: str) -> str:
@@ -75,17 +104,25 @@ def _single(sql: str) -> str:
 
 
 def run_readonly_sql(spark: SparkSession, sql: str | None, args=None) -> DataFrame | None:
-    """Rows of a query; None when there is no statement to run."""
+    """Rows of a query; None when there is no statement to run.
+
+    Everything but a single query over registered views is refused before anything runs: the statement is
+    parsed, then analysed as the source of a FROM clause, where only queries are allowed, and every operator,
+    relation and function of that plan has to be a known one. No setting of the session is touched, so
+    statements may be checked side by side.
+    """
     if not sql:
         return None
-    files = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(files)
-    spark.conf.set(files, "false")
+    if not _QUERY_START.match(sql):
+        raise NotReadOnly("only SELECT or WITH queries are accepted")
+    statement = _single(sql)
+    _check_names(spark, statement)
     try:
-        check_read_only(spark, sql, args)
-        return spark.sql(_single(sql), args=args)
-    finally:
-        spark.conf.set(files, before)
+        rows = spark.sql(f"SELECT * FROM (\n{statement}\n) AS candidate", args=args)
+    except ParseException as error:
+        raise NotReadOnly("the statement is not a single query") from error
+    _check_plan(spark, rows._jdf.queryExecution().analyzed())
+    return rows
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 import inspect
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -133,9 +134,22 @@ def test_json_rows_keep_nulls(spark):
         "SELECT * FROM parquet.`/any/path`",
         "SELECT 1) AS a, (SELECT 2",
         "/* c */ INSERT INTO t VALUES (1)",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'java.version')",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'java.version')",
+        "SELECT * FROM IDENTIFIER('parquet.`/any/path`')",
+        "WITH a AS (SELECT java_method('java.lang.Math', 'abs', -1) AS x) SELECT x FROM a",
+        "SELECT (SELECT try_reflect('java.lang.Math', 'abs', -1))",
+        "SELECT id FROM numbers WHERE EXISTS (SELECT 1 FROM csv.`/etc`)",
+        "SELECT id FROM numbers WHERE id IN (SELECT reflect('java.lang.Math', 'abs', -1))",
+        "SELECT twice(id) FROM numbers",
+        "SELECT * FROM numbers, LATERAL (SELECT twice(id) AS y)",
+        "SELECT 1 /* open",
+        "SELECT sum(id) OVER (ORDER BY twice(id)) FROM numbers",
+        "WITH a AS (WITH b AS (SELECT * FROM json.`/any`) SELECT * FROM b) SELECT * FROM a",
     ],
 )
 def test_ways_around_the_guard_are_refused(spark, statement):
+    spark.udf.register("twice", lambda x: x * 2, "long")
     with pytest.raises(adhoc.NotReadOnly):
         adhoc.run_readonly_sql(spark, statement)
 
@@ -143,3 +157,46 @@ def test_ways_around_the_guard_are_refused(spark, statement):
 def test_harmless_literals_and_bound_values_run(spark):
     rows = adhoc.run_readonly_sql(spark, "SELECT 'reflect (x)' AS a, :v AS b -- reflect(", {"v": 3}).collect()
     assert [tuple(r) for r in rows] == [("reflect (x)", 3)]
+
+
+@pytest.mark.parametrize(
+    "statement, expected",
+    [
+        ("WITH a AS (SELECT id FROM numbers), b AS (SELECT max(id) AS m FROM a) SELECT id FROM a, b WHERE id = m", [4]),
+        ("SELECT n.id FROM numbers n JOIN range(3) r ON n.id = r.id WHERE n.id IN (SELECT 2 UNION ALL SELECT 9)", [2]),
+        ("SELECT x FROM numbers LATERAL VIEW explode(array(id, 10)) t AS x WHERE id = 1 ORDER BY x", [1, 10]),
+        ("SELECT count(DISTINCT id) FROM numbers GROUP BY ROLLUP (id % 2) ORDER BY 1 LIMIT 1", [2]),
+        ("SELECT CAST(sum(id) OVER (ORDER BY id) AS LONG) AS s FROM numbers ORDER BY s DESC LIMIT 1 OFFSET 1", [6]),
+        ("SELECT a FROM VALUES (1, 2) AS t(a, b) INTERSECT SELECT id FROM numbers", [1]),
+        ("SELECT try_variant_get(parse_json('{\"a\": 3}'), '$.a', 'int') AS v", [3]),
+        ("SELECT sum(v) FROM numbers PIVOT (count(*) AS v FOR id IN (1 AS v, 2))", [1]),
+        ("SELECT id FROM numbers EXCEPT SELECT id FROM numbers WHERE id > 0", [0]),
+        ("SELECT (SELECT max(id) FROM numbers m WHERE m.id < n.id) FROM numbers n WHERE id = 3", [2]),
+    ],
+)
+def test_the_shapes_of_queries_run(spark, statement, expected):
+    assert [r[0] for r in adhoc.run_readonly_sql(spark, statement).collect()] == expected
+
+
+def test_statements_are_checked_side_by_side(spark):
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+
+    def one(k):
+        if k % 2:
+            with pytest.raises(adhoc.NotReadOnly):
+                adhoc.run_readonly_sql(spark, "SELECT * FROM parquet.`/any/path`")
+            return -1
+        return adhoc.run_readonly_sql(spark, f"SELECT max(id) + {k} FROM numbers").first()[0]
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(one, range(16))) == [-1 if k % 2 else 4 + k for k in range(16)]
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == before
+
+
+def test_a_table_of_the_catalog_is_no_registered_view(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("stored_numbers")
+    with pytest.raises(adhoc.NotReadOnly):
+        adhoc.run_readonly_sql(spark, "SELECT * FROM stored_numbers")
+    spark.table("stored_numbers").createOrReplaceTempView("stored_view")
+    assert adhoc.run_readonly_sql(spark, "SELECT count(*) FROM stored_view").first()[0] == 3
+    spark.sql("DROP TABLE stored_numbers")
