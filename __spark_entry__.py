@@ -150,16 +150,24 @@ def _event_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataF
     return read_event_stream(spark, f"{folder}/{{events.parquet}}", schema).select(*columns)
 
 
-def _in_turn(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """The events as a stream of four deliveries in order of time, one for each micro-batch."""
+def _in_turn(spark: SparkSession, folder: str, columns: list[str], deliveries: int = 4) -> DataFrame:
+    """The events as a stream of deliveries in order of time, one for each micro-batch.
+
+    Each is written by several tasks, as a fixed number of files that one micro-batch takes. Rows without a
+    time come first.
+    """
     events = _events(spark, folder).select(*columns)
+    us = micros_of(events, "ts")
+    low, high, rows = events.agg(F.min(us), F.max(us), F.count("*")).first()
+    share = F.floor(F.lit(deliveries) * (us - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1))
+    placed = events.withColumn("part", F.coalesce(share, F.lit(0)))
+    counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # one row for each delivery
+    files = min([int(spark.conf.get("spark.sql.shuffle.partitions")), *counts.values()])
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
-    bounds = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    share = F.lit(4) * F.expr("timestampdiff(SECOND, low, ts) / (timestampdiff(SECOND, low, high) + 1)")
-    placed = events.join(F.broadcast(bounds), F.lit(True)).withColumn("part", F.floor(share))  # one row
-    for part in range(4):
-        placed.where(F.col("part") == part).select(*columns).coalesce(1).write.mode("append").parquet(root)
-    return read_event_stream(spark, root, events.schema, maxFilesPerTrigger=1)
+    for part in sorted(counts):
+        own = placed.where(F.col("part") == part).drop("part")
+        own.repartition(files).write.mode("append").parquet(root)
+    return read_event_stream(spark, root, events.schema, maxFilesPerTrigger=files)
 
 
 def _duplicates_in_turn(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,18 +223,16 @@ def _stored(function: Callable[..., DataFrame], *tables: str, **arguments) -> Qu
 
 
 def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:
-    stream = _event_stream(spark, folder, ["user_id", "event_type", "ts", "event_id"])
+    stream = _in_turn(spark, folder, ["user_id", "event_type", "ts", "event_id"], 1)
     marked = mark_duplicates_stream(
-        stream, ["user_id", "event_type"], "ts", "event_id", timedelta(days=1), watermark=None
+        stream, ["user_id", "event_type"], "ts", "event_id", timedelta(days=1)
     )
     return process_available(marked).select("event_id", "is_duplicate")
 
 
 def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
-    stream = _event_stream(spark, folder, ["user_id", "ts", "event_id"])
-    marked = mark_rate_limited_stream(
-        stream, ["user_id"], "ts", "event_id", 3, timedelta(days=1), watermark=None
-    )
+    stream = _in_turn(spark, folder, ["user_id", "ts", "event_id"], 1)
+    marked = mark_rate_limited_stream(stream, ["user_id"], "ts", "event_id", 3, timedelta(days=1))
     return process_available(marked).select("event_id", "is_limited")
 
 

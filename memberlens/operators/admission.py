@@ -11,9 +11,11 @@ every event of the unit is accepted. Only runs of crowded units are decided in s
 from the calm units before the run, whose events are known to be accepted.
 
 What is shuffled: counts per key and unit, pre-aggregated in each task, and the events of crowded
-runs. A run is cut into chunks of about ``chunk_rows`` events. The chunks of all keys and runs go in
-parallel, and a longer run continues in the next round from the accepted events its last chunk left
-alive. No task ever holds a whole key.
+runs. A run is cut into chunks of at most ``chunk_rows`` events; a unit with more is cut into ever finer
+cells of time, down to one microsecond, of whose events no more than ``limit`` can be accepted. The runs of
+all keys go in parallel, one chunk of each in a round. The accepted events still alive after a chunk tell
+when the next one can be accepted; chunks that end before are refused without being read. So
+a hot key takes rounds for what it accepts, not for what it sends, and no task holds a whole key.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.clock import micros, micros_of
@@ -39,13 +41,33 @@ RATE_WINDOW = timedelta(seconds=60)
 RATE_LIMIT = 10
 
 UNITS_PER_WINDOW = 8
+CELLS_PER_CELL = 64
 CHUNK_ROWS = 10_000_000
 
 
-def _crowded_runs(events: DataFrame, keys: list[str], limit: int, chunk_rows: int) -> DataFrame:
-    """Units to decide in sequence with their run and chunk, led by the calm units before each run.
+def _lengths(unit: int) -> list[int]:
+    """Lengths of cells, level by level, from a whole unit to one microsecond."""
+    lengths = [unit]
+    while lengths[-1] > 1:
+        lengths.append(-(-lengths[-1] // CELLS_PER_CELL))
+    return lengths
 
-    The windows per key run over counted units, so their length is bounded by elapsed time.
+
+def _cell(lengths: list[int], level: int) -> Column:
+    """Start of the cell of a row at ``level``."""
+    cell = F.col("_unit") * lengths[0]
+    for length in lengths[1 : level + 1]:
+        cell = cell + F.floor((F.col("_us") - cell) / length).cast("long") * length
+    return cell
+
+
+def _crowded_runs(
+    events: DataFrame, keys: list[str], limit: int, chunk_rows: int, lengths: list[int]
+) -> DataFrame:
+    """Cells to decide in sequence with their run and chunk, led by the calm units before each run.
+
+    The windows per key run over counted units and cells, so their length is bounded by elapsed time and by
+    the number of chunks.
     """
     counts = events.groupBy(*keys, "_unit").agg(F.count("*").alias("_n"))
     by_time = Window.partitionBy(*keys).orderBy("_unit")
@@ -67,12 +89,29 @@ def _crowded_runs(events: DataFrame, keys: list[str], limit: int, chunk_rows: in
         .withColumn("_run", F.when(next_starts, next_crowded).when(~next_starts, last_start))
         .where(F.col("_run").isNotNull())
     )
-    by_run = Window.partitionBy(*keys, "_run").orderBy("_unit")
+    most = max(chunk_rows // 2, 1)
+    columns = [*keys, "_unit", "_crowded", "_run", "_cell", "_n", F.lit(0).alias("_level")]
+    cells = stage(members.withColumn("_cell", F.col("_unit") * lengths[0]).select(*columns))
+    done = []
+    for level in range(1, len(lengths)):
+        large = cells.where(F.col("_n") > most)
+        if large.isEmpty():
+            break
+        done.append(cells.where(F.col("_n") <= most))
+        inside = events.withColumn("_cell", _cell(lengths, level - 1)).join(
+            large.drop("_n", "_level"), [*keys, "_unit", "_cell"]
+        )
+        finer = inside.withColumn("_cell", _cell(lengths, level)).groupBy(*columns[:5]).agg(F.count("*").alias("_n"))
+        cells = stage(finer.withColumn("_level", F.lit(level)))
+    # of one microsecond no more can be accepted
+    cells = cells.withColumn("_n", F.when(F.col("_level") == len(lengths) - 1, F.least("_n", F.lit(limit))).otherwise(F.col("_n")))
+    cells = reduce(DataFrame.unionByName, [*done, cells])
+    by_run = Window.partitionBy(*keys, "_run").orderBy("_cell")
     rows_before = F.sum("_n").over(by_run.rowsBetween(Window.unboundedPreceding, -1))
-    slice_number = F.floor(F.coalesce(rows_before, F.lit(0)) / chunk_rows)
+    slice_number = F.floor(F.coalesce(rows_before, F.lit(0)) / most)
     by_slice = Window.partitionBy(*keys, "_run").orderBy("_slice")
-    return members.withColumn("_slice", slice_number).select(
-        *keys, "_unit", "_crowded", "_run",
+    return cells.withColumn("_slice", slice_number).select(
+        *keys, "_unit", "_crowded", "_run", "_cell", "_level", "_n",
         (F.dense_rank().over(by_slice) - 1).cast("long").alias("_chunk"),
     )
 
@@ -119,31 +158,57 @@ def _accept_in_order(
 
 
 def _accepted_in_runs(
-    timed: DataFrame, runs: DataFrame, keys: list[str], limit: int, span: int
+    timed: DataFrame, runs: DataFrame, keys: list[str], limit: int, span: int, lengths: list[int]
 ) -> DataFrame | None:
     """Keys, time and order of the accepted events of crowded runs; None without any run."""
-    last_chunk = runs.agg(F.max("_chunk")).first()[0]
+    last_level, last_chunk = runs.agg(F.max("_level"), F.max("_chunk")).first()
     if last_chunk is None:
         return None
     group = [*keys, "_run"]
     columns = [*group, "_order", "_us", "_carried"]
-    rows = timed.join(runs, [*keys, "_unit"]).withColumn("_carried", F.lit(False))
+    by_level = []
+    for level in range(last_level + 1):
+        own = runs.where(F.col("_level") == level).select(*group, "_unit", "_cell", "_chunk")
+        rows = timed.withColumn("_cell", _cell(lengths, level)).join(own, [*keys, "_unit", "_cell"])
+        if lengths[level] == 1:
+            rows = top_per_key(rows, [*keys, "_us"], [F.asc("_order")], limit)
+        by_level.append(rows.withColumn("_carried", F.lit(False)).select(*columns, "_chunk"))
+    rows = reduce(DataFrame.unionByName, by_level)
     if last_chunk:
-        rows = stage(rows.select(*columns, "_chunk"), partition_by="_chunk")
+        rows = stage(rows, partition_by="_chunk")
+    length = F.element_at(F.array(*map(F.lit, lengths)), F.col("_level") + 1)
+    chunks = runs.groupBy(*group, "_chunk").agg(F.max(F.col("_cell") + length).alias("_until"))
     accept = _accept_in_order(group, limit, span)
     results, carried = [], None
-    for chunk in range(last_chunk + 1):
-        now = rows.where(F.col("_chunk") == chunk).select(*columns)
+    following = chunks.where("_chunk = 0").select(*group, "_chunk")
+    numbers = [0]
+    while numbers:
+        now = rows.where(F.col("_chunk").isin(numbers))
+        if last_chunk:
+            now = now.join(following, [*group, "_chunk"], "left_semi")
+        now = now.select(*columns)
         if carried is not None:
             # runs that go on start from their last accepted events
-            now = now.unionByName(carried.join(now.select(*group), group, "left_semi"))
+            now = now.unionByName(carried.join(following.select(*group), group, "left_semi"))
         ordered = now.repartition(*group).sortWithinPartitions(*group, "_us", "_order")
         result = stage(ordered.mapInPandas(accept, ordered.schema))
         results.append(result.where(~F.col("_carried")).select(*keys, "_us", "_order"))
+        if not last_chunk:
+            break
         carried = top_per_key(
             result.withColumn("_carried", F.lit(True)),
             group, [F.desc("_us"), F.desc("_order")], limit,
         ).select(*columns)
+        # the next chunk in which something can be accepted, once the oldest of a full set has run out
+        free = carried.groupBy(*group).agg(
+            F.when(F.count("*") == limit, F.min("_us") + span).alias("_free")
+        )
+        ahead = (
+            chunks.join(following.withColumnRenamed("_chunk", "_done"), group).join(free, group, "left")
+            .where("_chunk > _done AND (_free IS NULL OR _until > _free)")
+        )
+        following = stage(ahead.groupBy(*group).agg(F.min("_chunk").alias("_chunk")))
+        numbers = [r[0] for r in following.select("_chunk").distinct().collect()]
     return reduce(DataFrame.unionByName, results)
 
 
@@ -163,8 +228,8 @@ def admit(
     Events without a key or a time are accepted.
 
     The crowded runs and the events accepted in them are staged, so calling this starts jobs. Only events
-    of crowded units are shuffled; calm ones are told apart by a join with the few crowded units. ``chunk_rows`` only changes how the work is cut, never the
-    result.
+    of crowded units are shuffled; calm ones are told apart by a join with the few crowded units.
+    ``chunk_rows`` only changes how the work is cut, never the result.
     """
     span = micros(window)
     unit = -(-span // UNITS_PER_WINDOW)
@@ -173,12 +238,13 @@ def admit(
     present = F.col("_us").isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
-    runs = stage(_crowded_runs(timed.where(present), keys, limit, chunk_rows))
-    kept = _accepted_in_runs(timed, runs, keys, limit, span)
+    lengths = _lengths(unit)
+    runs = stage(_crowded_runs(timed.where(present), keys, limit, chunk_rows, lengths))
+    kept = _accepted_in_runs(timed, runs, keys, limit, span, lengths)
     if kept is None:
         return events.withColumn("accepted", F.lit(True))
     # equal (key, time, order) have no identity of their own: as many of them pass as were accepted
-    crowded = runs.where("_crowded").select(*keys, "_unit")
+    crowded = runs.where("_crowded").select(*keys, "_unit").distinct()
     same = [*keys, "_us", "_order"]
     passed = kept.groupBy(*same).agg(F.count("*").alias("_passed"))
     copies = Window.partitionBy(*same).orderBy("_order")

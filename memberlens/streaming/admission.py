@@ -1,11 +1,16 @@
-"""De-duplication and rate limiting on event streams, one small state per key.
-
-The rules are those of :mod:`memberlens.operators.admission`. Rows of a key are put in order within
-each micro-batch, whose size the source bounds (``read_event_stream`` does so by itself); a row that
-arrives in a later micro-batch with an earlier time is decided against the state as it then is, and
-decisions already made stay. A state goes once the watermark has passed its last accepted event by the
-window. ``dropDuplicatesWithinWatermark`` would not
-do: there a duplicate is measured against the watermark, not against the accepted delivery.
+"""De-duplication and rate limiting on event streams, one state for many keys.
+
+The rules are those of :mod:`memberlens.operators.admission`. Keys are dealt to a fixed number of buckets by a
+hash; a bucket's state is the accepted times that still count, in flat arrays. A micro-batch calls
+Python once for each bucket it touches: most keys are decided in one vectorised pass, the few that come near
+their limit one after another. The same pass drops what the watermark has left behind, so
+neither a decision nor an eviction costs a call for each key.
+
+Rows of a key are put in order within each micro-batch, whose size the source bounds
+(``read_event_stream`` does so by itself); a row that arrives in a later micro-batch with an earlier time is
+decided against the state as it then is, and decisions already made stay.
+``dropDuplicatesWithinWatermark`` would not do: there a duplicate is measured against the watermark, not
+against the accepted delivery.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,41 +29,98 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from memberlens.functions.clock import micros, micros_of
 from memberlens.operators.admission import RATE_LIMIT, RATE_WINDOW, SEEN_TTL
 
-_STATE = "alive array<bigint>"
+#: one entry for each accepted time: 128 bits of the key's hash and the time
+_STATE = "first array<bigint>, second array<bigint>, at array<bigint>"
 # how late a row may be, unless the caller says otherwise
 LATENESS = timedelta(hours=1)
-
-
-def _decide_batch(
+#: buckets for each shuffle partition; like that number, fixed for as long as a checkpoint is used
+BUCKETS = 16
+
+
+def _in_turn(times: list[int], alive: list[int], limit: int, span: int) -> list[int]:
+    """Places of the accepted of ascending ``times``, after those accepted before; any of these counts."""
+    kept, at = [], 0
+    while at < len(times):
+        now = times[at]
+        alive = [then for then in alive if now - then < span]
+        if len(alive) < limit:
+            alive.append(now)
+            kept.append(at)
+            at += 1
+        else:  # nothing is accepted until as many have run out that the limit leaves room
+            free = sorted(alive)[len(alive) - limit] + span
+            at = bisect_left(times, free, at + 1)
+    return kept
+
+
+def decide(group: np.ndarray, times: np.ndarray, old: np.ndarray, limit: int, span: int) -> np.ndarray:
+    """Which rows are accepted; rows come by group, the ``old`` ones (accepted before) first, then by time.
+
+    A row with fewer than ``limit`` rows of its group less than ``span`` before it is accepted whatever happens
+    to those. Only groups with another row are gone through in turn.
+    """
+    n = len(group)
+    accepted = np.ones(n, bool)
+    if n <= 1:
+        return accepted
+    near = np.zeros(n, bool)
+    if n > limit:
+        near[limit:] = (group[limit:] == group[:-limit]) & (times[limit:] - times[:-limit] < span)
+    # a row before an accepted one of an earlier micro-batch
+    disordered = np.zeros(n, bool)
+    disordered[1:] = (group[1:] == group[:-1]) & (times[1:] < times[:-1]) & ~old[1:]
+    crowded = np.unique(group[(near | disordered) & ~old])
+    starts, ends = np.searchsorted(group, crowded), np.searchsorted(group, crowded, "right")
+    for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
+        new = low + int(old[low:high].sum())
+        accepted[new:high] = False
+        kept = _in_turn(times[new:high].tolist(), times[low:new].tolist(), limit, span)
+        accepted[new + np.array(kept, np.int64)] = True
+    return accepted
+
+
+def _decide_bucket(
     columns: list[str], order: str, flag: str, limit: int, span: int, expires: bool
 ) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        alive = list(state.get[0]) if state.exists else []
         given = list(batches)
         rows = given[0] if len(given) == 1 else pd.concat(given, ignore_index=True)
-        times, places = rows["_us"].tolist(), rows[order].tolist()
-        refused = [True] * len(times)
-        order_of = sorted(range(len(times)), key=lambda i: (times[i], places[i]))
-        sorted_times = [times[i] for i in order_of]
-        at = 0
-        while at < len(order_of):
-            now = sorted_times[at]
-            alive = [then for then in alive if now - then < span]
-            if len(alive) < limit:
-                alive.append(now)
-                refused[order_of[at]] = False
-                at += 1
-            else:  # nothing is accepted until as many have run out that the limit leaves room
-                free = sorted(alive)[len(alive) - limit] + span
-                at = bisect_left(sorted_times, free, at + 1)
-        state.update((alive,))
+        known = rows["_known"].to_numpy(bool)
+        held = [np.asarray(a, np.int64) for a in (state.get if state.exists else ([], [], []))]
+        fresh = rows.loc[known, ["_first", "_second", "_us"]].to_numpy(np.int64)
+        first, second, at = (np.concatenate([a, b]) for a, b in zip(held, fresh.T, strict=True))
+        old = np.arange(len(at)) < len(held[0])
+        places = rows.loc[known, order].rank(method="first").to_numpy() if len(fresh) else np.empty(0)
+        in_order = np.lexsort((np.concatenate([np.zeros(len(held[0])), places]), at, ~old, second, first))
+        first, second, at, old = first[in_order], second[in_order], at[in_order], old[in_order]
+        other = np.ones(len(at), bool)
+        other[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        group = np.cumsum(other)
+        accepted = decide(group, at, old, limit, span)
+
+        refused = np.zeros(len(rows), bool)
+        source = np.flatnonzero(known)
+        new = np.flatnonzero(~old)
+        refused[source[in_order[new] - len(held[0])]] = ~accepted[new]
+
+        # the newest accepted ones of each key, as many as the limit counts
+        keep = np.flatnonzero(accepted)
+        keep = keep[np.lexsort((at[keep], group[keep]))]
+        from_end = np.searchsorted(group[keep], group[keep], "right") - np.arange(len(keep))
+        keep = keep[from_end <= limit]
         if expires:
-            # a state that has run out changes no decision, so it may go
-            until = (max(alive) + span) // 1000 + 1
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+            # an accepted time that has run out changes no decision any more
+            keep = keep[at[keep] + span > state.getCurrentWatermarkMs() * 1000]
+        if len(keep):
+            state.update(tuple(a[keep].tolist() for a in (first, second, at)))
+            if expires:
+                until = (int(at[keep].max()) + span) // 1000 + 1
+                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield rows[columns].assign(**{flag: refused})
 
     return run
@@ -72,24 +135,35 @@ def refuse_stream(
     window: timedelta,
     flag: str,
     watermark: timedelta | None = LATENESS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The stream with a boolean ``flag`` on refused rows.
 
-    States that have run out are removed. Rows more than ``watermark`` behind the newest one of earlier
-    micro-batches are dropped by Spark and counted in the query progress. With None no row is ever
-    dropped, and a key's state stays until its next event.
+    Accepted times that have run out leave the state with the next row of their bucket, and a bucket
+    goes when all have. Rows more than ``watermark`` behind the newest one of earlier micro-batches are dropped
+    by Spark and counted in the query progress. With None no row is ever dropped, and the last accepted
+    times of every key stay. Rows without a key or a time are accepted. Keys are told apart by 128 bits of hash.
     """
+    spark = events.sparkSession
+    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = events.columns
     schema = T.StructType([*events.schema.fields, T.StructField(flag, T.BooleanType())])
-    timed = events.withColumn("_us", micros_of(events, ts))
+    known = F.col("_us").isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    timed = (
+        events.withColumn("_us", micros_of(events, ts))
+        .withColumn("_first", F.xxhash64(*keys)).withColumn("_second", F.xxhash64(F.lit(1), *keys))
+        .withColumn("_known", known).withColumn("_us", F.coalesce("_us", F.lit(0)))
+    )
     timeout = GroupStateTimeout.NoTimeout
     if watermark is not None:
-        timed = timed.withColumn("_at", F.timestamp_micros("_us")).withWatermark(
-            "_at", f"{micros(watermark)} microseconds"
-        )
+        at = F.when(F.col("_known"), F.timestamp_micros("_us"))
+        timed = timed.withColumn("_at", at).withWatermark("_at", f"{micros(watermark)} microseconds")
         timeout = GroupStateTimeout.EventTimeTimeout
-    decide = _decide_batch(columns, order, flag, limit, micros(window), watermark is not None)
-    return timed.groupBy(*keys).applyInPandasWithState(decide, schema, _STATE, "append", timeout)
+    run = _decide_bucket(columns, order, flag, limit, micros(window), watermark is not None)
+    dealt = timed.withColumn("_bucket", F.pmod(F.col("_first"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(run, schema, _STATE, "append", timeout)
 
 
 def mark_duplicates_stream(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memberlens.functions import text
+from memberlens.operators import admission
 from memberlens.operators.admission import admit, mark_duplicates, mark_rate_limited
 from memberlens.operators.history import truncate_history
 from memberlens.operators.sessions import live_threads, sessions
@@ -94,6 +95,61 @@ def test_admission_equals_one_by_one(spark, limit, seconds, spread, chunk_rows):
     assert {r.event_id: r.accepted for r in got.collect()} == one_by_one(rows, limit, seconds * 10**6)
 
 
+@pytest.mark.parametrize("limit, seconds, chunk_rows", [(1, 300, 60), (3, 86400, 40), (2, 7200, 10)])
+def test_one_hot_unit_is_cut_finer(spark, monkeypatch, limit, seconds, chunk_rows):
+    """A key with all rows in an eighth of the window, many of them at one time."""
+    rnd = random.Random(seconds)
+    unit = seconds * 10**6 // 8
+    rows = [(1, rnd.choice([rnd.randrange(unit), rnd.randrange(50), 77]), i) for i in range(1500)]
+    rows += [(1, seconds * 10**6 + rnd.randrange(unit), 5000 + i) for i in range(600)]
+    rows += [(k, rnd.randrange(3 * unit), 9000 + 20 * k + i) for k in range(2, 6) for i in range(15)]
+    frame = spark.createDataFrame(
+        [(u, datetime(2026, 1, 1) + timedelta(microseconds=t), i) for u, t, i in rows], "user long, ts timestamp_ntz, event_id long"
+    )
+    taken = []
+    accept = admission._accept_in_order
+
+    def watched(group, limit, span):
+        taken.append(group)
+        return accept(group, limit, span)
+
+    monkeypatch.setattr(admission, "_accept_in_order", watched)
+    sizes = []
+    staged = admission.stage
+
+    def stage(frame, partition_by=None):
+        written = staged(frame, partition_by)
+        if partition_by == "_chunk":
+            sizes.extend(r[0] for r in written.groupBy("user", "_run", "_chunk").count().select("count").collect())
+        return written
+
+    monkeypatch.setattr(admission, "stage", stage)
+    got = admit(frame, ["user"], "ts", "event_id", limit, timedelta(seconds=seconds), chunk_rows)
+    assert {r.event_id: r.accepted for r in got.collect()} == one_by_one(rows, limit, seconds * 10**6)
+    assert taken and len(sizes) > 20 and max(sizes) <= chunk_rows
+
+
+def test_refused_chunks_are_not_read(spark, monkeypatch):
+    """A key over the limit all the time takes rounds for what it accepts."""
+    rows = [(1, 1000 * k, k) for k in range(4000)]
+    frame = spark.createDataFrame(
+        [(u, START + timedelta(microseconds=t), i) for u, t, i in rows], "user long, ts timestamp_ntz, event_id long"
+    )
+    rounds = []
+    staged = admission.stage
+
+    def stage(frame, partition_by=None):
+        if "_carried" in frame.columns and not partition_by:
+            rounds.append(frame)
+        return staged(frame, partition_by)
+
+    monkeypatch.setattr(admission, "stage", stage)
+    got = admit(frame, ["user"], "ts", "event_id", 2, timedelta(seconds=2), 20)
+    want = one_by_one(rows, 2, 2 * 10**6)
+    assert {r.event_id: r.accepted for r in got.collect()} == want
+    assert sum(want.values()) == 4 and len(rounds) <= 6  # of 400 chunks
+
+
 def test_sessions_keep_a_pause_of_exactly_the_limit(events):
     minutes = [0, 29, 59, 89.0001, 300]
     rows = [("a", m * 60) for m in minutes] + [("b", 0), ("a", None)]
