@@ -19,14 +19,16 @@ from memberlens.plans import (
     adhoc, compose, customers, finance, health, intake, locations, marketing, workforce,
 )
 from memberlens.schemas import enumerated_values
-from memberlens.session import ensure_checkpoint_dir
-from memberlens.sources.messages import messages_from_conversations, read_event_stream
+from memberlens.session import ensure_checkpoint_dir, stage
+from memberlens.sources.messages import messages_from_conversations, read_event_stream, read_message_stream
 from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
 from memberlens.sources.sinks import json_rows
 from memberlens.sources.warehouse import ParquetWarehouse
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
-from memberlens.streaming.run import process_and_close, process_available
-from memberlens.streaming.sessions import sessions_stream
+from memberlens.streaming.history import remember_stream
+from memberlens.streaming.messages import direct_questions, mentions
+from memberlens.streaming.run import new_checkpoint, process_available
+from memberlens.streaming.sessions import joined, open_fragments, session_fragments
 from oracles import activity, reports
 from oracles import compose as composed
 from oracles import customers as lookups
@@ -150,24 +152,67 @@ def _event_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataF
     return read_event_stream(spark, f"{folder}/{{events.parquet}}", schema).select(*columns)
 
 
-def _in_turn(spark: SparkSession, folder: str, columns: list[str], deliveries: int = 4) -> DataFrame:
-    """The events as a stream of deliveries in order of time, one for each micro-batch.
+def _delivered(frame: DataFrame, part: F.Column) -> DataFrame:
+    """``frame`` as a stream of deliveries, one for each micro-batch: row by row, ``part`` tells which.
 
-    Each is written by several tasks, as a fixed number of files that one micro-batch takes. Rows without a
-    time come first.
+    Each is written by several tasks, as a fixed number of files that one micro-batch takes.
     """
-    events = _events(spark, folder).select(*columns)
-    us = micros_of(events, "ts")
-    low, high, rows = events.agg(F.min(us), F.max(us), F.count("*")).first()
-    share = F.floor(F.lit(deliveries) * (us - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1))
-    placed = events.withColumn("part", F.coalesce(share, F.lit(0)))
+    spark = frame.sparkSession
+    placed = stage(frame.withColumn("part", part.cast("long")))
     counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # one row for each delivery
     files = min([int(spark.conf.get("spark.sql.shuffle.partitions")), *counts.values()])
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
-    for part in sorted(counts):
-        own = placed.where(F.col("part") == part).drop("part")
-        own.repartition(files).write.mode("append").parquet(root)
-    return read_event_stream(spark, root, events.schema, maxFilesPerTrigger=files)
+    for number in sorted(counts):
+        placed.where(F.col("part") == number).drop("part").repartition(files).write.mode("append").parquet(root)
+    if not counts:
+        frame.write.parquet(root)
+    return read_event_stream(spark, root, frame.schema, maxFilesPerTrigger=files)
+
+
+def _share(us: F.Column, low: int | None, high: int | None, deliveries: int) -> F.Column:
+    """The delivery of a row by its time; rows without one come first."""
+    part = F.floor(F.lit(deliveries) * (us - F.lit(low or 0)) / F.lit((high or 0) - (low or 0) + 1))
+    return F.coalesce(part, F.lit(0))
+
+
+def _in_turn(spark: SparkSession, folder: str, columns: list[str], deliveries: int = 4) -> DataFrame:
+    """The events as deliveries in order of time."""
+    events = _events(spark, folder).select(*columns)
+    us = micros_of(events, "ts")
+    return _delivered(events, _share(us, *events.agg(F.min(us), F.max(us)).first(), deliveries))
+
+
+def _turns_in_turn(frame: DataFrame, second: F.Column, late: F.Column | None = None) -> DataFrame:
+    """Four deliveries in order of the turns, ``late`` ones some deliveries later."""
+    low, high = frame.agg(F.min(second), F.max(second)).first()
+    part = _share(second.cast("long"), low and int(low), high and int(high), 4)
+    return _delivered(frame, part if late is None else F.least(part + late, F.lit(3)))
+
+
+def _intake_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message delivered twice, the second time a micro-batch later where there is one."""
+    messages = messages_from_conversations(spark, folder)
+    both = messages.withColumn("late", F.explode(F.array(F.lit(0), F.lit(1))))
+    stream = _turns_in_turn(both, F.col("ts").cast("long"), F.col("late")).drop("late")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = process_available(intake.intake_stream(stream, limit=2, max_messages=3, buckets=buckets))
+    return asked.select("event_id", "thread_key", "question", "is_limited", "history_length")
+
+
+def _remembered_stream(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read_star(spark, folder, "conversations").select("conv_id", "turn", "role")
+    stream = _turns_in_turn(turns, F.col("turn")).withColumn("at", F.timestamp_seconds("turn"))
+    kept = remember_stream(stream, "conv_id", "at", "turn", F.col("role") == "user", max_messages=4)
+    return process_available(kept).drop("at", "role")
+
+
+def _message_stream(function: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/messages-{uuid.uuid4().hex}"
+        messages_from_conversations(spark, folder).write.json(root)
+        return process_available(function(read_message_stream(spark, root)))
+
+    return run
 
 
 def _duplicates_in_turn(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,22 +282,12 @@ def _rate_limit_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """All sessions of the stream: a closing event far ahead ends those still open.
-
-    The watermark lies as far back as the table reaches, so no order of its files makes a row late.
-    """
-    events = _events(spark, folder)
-    us = micros_of(events, "ts")
-    reach = timedelta(microseconds=events.agg(F.max(us) - F.min(us)).first()[0] or 0)
+    """All sessions of the stream, in whatever order its files come: those emitted and those still open."""
     stream = _event_stream(spark, folder, ["user_id", "ts"])
-    ahead = F.to_timestamp(F.lit("9000-01-01")).cast(stream.schema["ts"].dataType)
-    nobody = F.lit(None).cast(stream.schema["user_id"].dataType)
-    closing = spark.range(1).select(nobody.alias("user_id"), ahead.alias("ts"))
-    ends = f"{ensure_checkpoint_dir(spark).rstrip('/')}/closing-{uuid.uuid4().hex}"
-    closing.limit(0).write.parquet(ends)
-    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends))
-    closed = sessions_stream(both, ["user_id"], "ts", max(reach, timedelta(hours=1)))
-    return process_and_close(closed, closing, ends).where("user_id is not null")
+    home = new_checkpoint(spark)
+    closed = process_available(session_fragments(stream, ["user_id"], "ts"), home)
+    found = closed.unionByName(open_fragments(closed, home))
+    return joined(found, ["user_id"], kind=stream.schema["ts"].dataType.typeName())
 
 
 def _doubled_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -462,6 +497,10 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             _stored(finance.labor_cost_by_role, "labor_costs"), reports.labor_cost_by_role()),
         "e03_sessions_stream": (
             _sessions_stream, activity.sessions("user_id", "30 MINUTE")),
+        "e04_remembered_stream": (_remembered_stream, activity.remembered_turns(4)),
+        "e06_direct_stream": (_message_stream(direct_questions), activity.direct_questions()),
+        "e07_mentions_stream": (_message_stream(mentions), activity.mentions()),
+        "e09_intake_stream": (_intake_stream, activity.intake_remembered(2, 3)),
         "e04_truncated_history": (_history(4), activity.truncated_history(4)),
         "e04_truncated_history_default": (_history(40), activity.truncated_history(40)),
         "e05_thread_keys": (_thread_keys, activity.thread_keys()),

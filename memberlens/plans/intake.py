@@ -17,6 +17,9 @@ from memberlens.operators.admission import (
     RATE_LIMIT, RATE_WINDOW, SEEN_TTL, mark_duplicates, mark_rate_limited,
 )
 from memberlens.operators.history import MAX_MESSAGES, truncate_history
+from memberlens.operators.sessions import IDLE_LIMIT
+from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
+from memberlens.streaming.history import remember_stream
 
 
 def addressed(messages: DataFrame) -> DataFrame:
@@ -47,3 +50,29 @@ def remembered(questions: DataFrame, max_messages: int = MAX_MESSAGES) -> DataFr
     """The accepted questions of :func:`intake` that their threads still remember at the end."""
     accepted = questions.where(~F.col("is_limited")).drop("is_limited")
     return truncate_history(accepted, "thread_key", "at", F.lit(True), max_messages)
+
+
+def intake_stream(
+    messages: DataFrame,
+    limit: int = RATE_LIMIT,
+    window: timedelta = RATE_WINDOW,
+    ttl: timedelta = SEEN_TTL,
+    max_messages: int = MAX_MESSAGES,
+    idle: timedelta = IDLE_LIMIT,
+    buckets: int | None = None,
+) -> DataFrame:
+    """:func:`intake` on a stream of messages, with what each question's thread then remembers.
+
+    One query of three stateful operators after one another: de-duplication by event id, rate limit by user,
+    history by thread. ``history_length`` counts the question itself; limited ones are not
+    remembered and have none. A redelivery in a later micro-batch is a duplicate like any other.
+    """
+    marked = mark_duplicates_stream(addressed(messages), ["event_id"], "at", "event_id", ttl, buckets=buckets, chained=True)
+    fresh = marked.where(~F.col("is_duplicate")).drop("is_duplicate")
+    limited = mark_rate_limited_stream(fresh, ["user"], "at", "event_id", limit, window, buckets=buckets, chained=True)
+    placed = limited.withColumn("place", F.unix_micros("at"))
+    kept = remember_stream(
+        placed, "thread_key", "at", "place", F.lit(True), idle, max_messages,
+        taken=~F.col("is_limited"), buckets=buckets, chained=True,
+    )
+    return kept.drop("place", "history_start")

@@ -1,10 +1,8 @@
 """De-duplication and rate limiting on event streams, one state for many keys.
 
-The rules are those of :mod:`memberlens.operators.admission`. Keys are dealt to a fixed number of buckets by a
-hash; a bucket's state is the accepted times that still count, in flat arrays. A micro-batch calls
-Python once for each bucket it touches: most keys are decided in one vectorised pass, the few that come near
-their limit one after another. The same pass drops what the watermark has left behind, so
-neither a decision nor an eviction costs a call for each key.
+The rules are those of :mod:`memberlens.operators.admission`, the state is that of
+:mod:`memberlens.streaming.buckets`: the accepted times that still count. Most keys of a bucket are decided in one
+vectorised pass, the few that come near their limit one after another.
 
 Rows of a key are put in order within each micro-batch, whose size the source bounds
 (``read_event_stream`` does so by itself); a row that arrives in a later micro-batch with an earlier time is
@@ -22,19 +20,17 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
-from memberlens.functions.clock import micros, micros_of
+from memberlens.functions.clock import micros
 from memberlens.operators.admission import RATE_LIMIT, RATE_WINDOW, SEEN_TTL
+from memberlens.streaming.buckets import HASHES, LATENESS, dealt, decided, horizon, places
 
 #: one entry for each accepted time: 128 bits of the key's hash and the time
-_STATE = "first array<bigint>, second array<bigint>, at array<bigint>"
-# how late a row may be, unless the caller says otherwise
-LATENESS = timedelta(hours=1)
-#: buckets for each shuffle partition; like that number, fixed for as long as a checkpoint is used
-BUCKETS = 16
+_STATE = T.StructType([
+    *(T.StructField(name, T.ArrayType(T.LongType())) for name in ("first", "second", "at")), T.StructField("clock", T.LongType()),
+])
 
 
 def _in_turn(times: list[int], alive: list[int], limit: int, span: int) -> list[int]:
@@ -80,21 +76,20 @@ def decide(group: np.ndarray, times: np.ndarray, old: np.ndarray, limit: int, sp
 
 
 def _decide_bucket(
-    columns: list[str], order: str, flag: str, limit: int, span: int, expires: bool
+    columns: list[str], order: str, flag: str, limit: int, span: int, lateness: timedelta | None
 ) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def run(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         given = list(batches)
         rows = given[0] if len(given) == 1 else pd.concat(given, ignore_index=True)
         known = rows["_known"].to_numpy(bool)
-        held = [np.asarray(a, np.int64) for a in (state.get if state.exists else ([], [], []))]
-        fresh = rows.loc[known, ["_first", "_second", "_us"]].to_numpy(np.int64)
+        *held, clock = state.get if state.exists else ([], [], [], None)
+        held = [np.asarray(a, np.int64) for a in held]
+        fresh = rows.loc[known, [*HASHES, "_us"]].to_numpy(np.int64)
         first, second, at = (np.concatenate([a, b]) for a, b in zip(held, fresh.T, strict=True))
-        old = np.arange(len(at)) < len(held[0])
-        places = rows.loc[known, order].rank(method="first").to_numpy() if len(fresh) else np.empty(0)
-        in_order = np.lexsort((np.concatenate([np.zeros(len(held[0])), places]), at, ~old, second, first))
+        n_held = len(held[0])
+        old = np.arange(len(at)) < n_held
+        place = np.concatenate([np.zeros(n_held, np.int64), places(rows.loc[known, order])])
+        in_order = np.lexsort((place, at, ~old, second, first))
         first, second, at, old = first[in_order], second[in_order], at[in_order], old[in_order]
         other = np.ones(len(at), bool)
         other[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
@@ -104,23 +99,18 @@ def _decide_bucket(
         refused = np.zeros(len(rows), bool)
         source = np.flatnonzero(known)
         new = np.flatnonzero(~old)
-        refused[source[in_order[new] - len(held[0])]] = ~accepted[new]
-
-        # the newest accepted ones of each key, as many as the limit counts
-        keep = np.flatnonzero(accepted)
-        keep = keep[np.lexsort((at[keep], group[keep]))]
-        from_end = np.searchsorted(group[keep], group[keep], "right") - np.arange(len(keep))
-        keep = keep[from_end <= limit]
-        if expires:
-            # an accepted time that has run out changes no decision any more
-            keep = keep[at[keep] + span > state.getCurrentWatermarkMs() * 1000]
-        if len(keep):
-            state.update(tuple(a[keep].tolist() for a in (first, second, at)))
-            if expires:
-                until = (int(at[keep].max()) + span) // 1000 + 1
-                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+        refused[source[in_order[new] - n_held]] = ~accepted[new]
+        if len(at):
+            clock = max(int(at.max()), at.min() if clock is None else clock)
+            # the newest accepted ones of each key, as many as the limit counts
+            keep = np.flatnonzero(accepted)
+            keep = keep[np.lexsort((at[keep], group[keep]))]
+            from_end = np.searchsorted(group[keep], group[keep], "right") - np.arange(len(keep))
+            keep = keep[from_end <= limit]
+            if lateness is not None:
+                # an accepted time that has run out changes no decision any more
+                keep = keep[at[keep] + span > horizon(clock, lateness)]
+            state.update((*(a[keep].tolist() for a in (first, second, at)), int(clock)))
         yield rows[columns].assign(**{flag: refused})
 
     return run
@@ -134,36 +124,20 @@ def refuse_stream(
     limit: int,
     window: timedelta,
     flag: str,
-    watermark: timedelta | None = LATENESS,
+    lateness: timedelta | None = LATENESS,
     buckets: int | None = None,
+    chained: bool = False,
 ) -> DataFrame:
     """The stream with a boolean ``flag`` on refused rows.
 
-    Accepted times that have run out leave the state with the next row of their bucket, and a bucket
-    goes when all have. Rows more than ``watermark`` behind the newest one of earlier micro-batches are dropped
-    by Spark and counted in the query progress. With None no row is ever dropped, and the last accepted
-    times of every key stay. Rows without a key or a time are accepted. Keys are told apart by 128 bits of hash.
+    No row is dropped. Accepted times leave the state once they have run out ``lateness`` before the newest
+    row of their bucket; a row that comes later than that is decided by what is left. With None the last
+    accepted times of every key stay. Rows without a key or a time are accepted. Keys are told apart by
+    128 bits of hash. ``chained`` operators may follow one another in a query.
     """
-    spark = events.sparkSession
-    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = events.columns
     schema = T.StructType([*events.schema.fields, T.StructField(flag, T.BooleanType())])
-    known = F.col("_us").isNotNull()
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    timed = (
-        events.withColumn("_us", micros_of(events, ts))
-        .withColumn("_first", F.xxhash64(*keys)).withColumn("_second", F.xxhash64(F.lit(1), *keys))
-        .withColumn("_known", known).withColumn("_us", F.coalesce("_us", F.lit(0)))
-    )
-    timeout = GroupStateTimeout.NoTimeout
-    if watermark is not None:
-        at = F.when(F.col("_known"), F.timestamp_micros("_us"))
-        timed = timed.withColumn("_at", at).withWatermark("_at", f"{micros(watermark)} microseconds")
-        timeout = GroupStateTimeout.EventTimeTimeout
-    run = _decide_bucket(columns, order, flag, limit, micros(window), watermark is not None)
-    dealt = timed.withColumn("_bucket", F.pmod(F.col("_first"), F.lit(buckets)))
-    return dealt.groupBy("_bucket").applyInPandasWithState(run, schema, _STATE, "append", timeout)
+    run = _decide_bucket(events.columns, order, flag, limit, micros(window), lateness)
+    return decided(dealt(events, keys, ts, buckets), run, schema, _STATE, chained)
 
 
 def mark_duplicates_stream(

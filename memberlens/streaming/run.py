@@ -4,21 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from memberlens.session import ensure_checkpoint_dir
 
 
-def process_and_close(stream: DataFrame, closing: DataFrame, folder: str) -> DataFrame:
-    """``process_available``, then once more after ``closing`` is written to ``folder``.
-
-    ``folder`` is a source of the stream that is empty before. A closing event far ahead moves the
-    watermark past everything still open, so that nothing is left in the state.
-    """
-    home = f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    process_available(stream, home)
-    closing.write.mode("append").parquet(folder)
-    return process_available(stream, home)
+def new_checkpoint(spark: SparkSession) -> str:
+    """A folder of its own for a stream, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def process_available(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
@@ -28,8 +21,7 @@ def process_available(stream: DataFrame, checkpoint: str | None = None) -> DataF
     scheduled job of the stream. Output and default checkpoint lie in the shared checkpoint folder.
     """
     spark = stream.sparkSession
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    home = checkpoint or root
+    home = checkpoint or new_checkpoint(spark)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{home}/rows")

@@ -104,6 +104,44 @@ QUALIFY row_number() OVER (
   PARTITION BY thread_key ORDER BY CAST(split_part(event_id, '-', 2) AS BIGINT) DESC) <= {messages}"""
 
 
+def intake_remembered(limit: int, messages: int) -> str:
+    """Questions come at most a minute apart in their thread, so none is idle."""
+    return f"""
+SELECT event_id, thread_key, question, is_limited,
+       CASE WHEN NOT is_limited THEN least({messages}, count(*) FILTER (NOT is_limited) OVER (
+         PARTITION BY thread_key ORDER BY CAST(split_part(event_id, '-', 2) AS BIGINT))) END AS history_length
+FROM ({intake(limit)})"""
+
+
+def remembered_turns(limit: int) -> str:
+    """Turn by turn: the kept ones as a list, cut at the first user turn among the newest ones."""
+    return f"""
+WITH RECURSIVE placed AS (
+  SELECT conv_id, turn, role = 'user' AS clean, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n
+  FROM conversations),
+fold AS (
+  SELECT conv_id, turn, n, [{{'turn': turn, 'clean': clean}}] AS kept FROM placed WHERE n = 1
+  UNION ALL
+  SELECT conv_id, turn, n, CASE WHEN len(k) > {limit} AND cut IS NOT NULL THEN k[cut:] ELSE k END
+  FROM (SELECT *, list_min(list_filter(range(len(k) - {limit} + 1, len(k) + 1), lambda i: i > 0 AND k[i].clean)) AS cut
+        FROM (SELECT p.conv_id, p.turn, p.n, list_append(f.kept, {{'turn': p.turn, 'clean': p.clean}}) AS k
+              FROM fold f JOIN placed p ON p.conv_id = f.conv_id AND p.n = f.n + 1)))
+SELECT conv_id, turn, kept[1].turn AS history_start, CAST(len(kept) AS BIGINT) AS history_length FROM fold"""
+
+
+def direct_questions() -> str:
+    return f"""
+SELECT event_id, 'U' || substr(channel, 2) AS "user", ts, channel || ':' || coalesce(thread_ts, ts) AS thread_key, text AS question
+FROM ({MESSAGES}) WHERE subtype IS NULL AND channel_type = 'im' AND text <> ''"""
+
+
+def mentions() -> str:
+    return rf"""
+SELECT event_id, CAST(NULL AS VARCHAR) AS "user", ts, channel || ':' || coalesce(thread_ts, ts) AS thread_key,
+       trim(regexp_replace(text, '^\s*<@[^>]+>\s*', ''), ' ' || chr(9) || chr(10) || chr(13)) AS question
+FROM ({MESSAGES}) WHERE subtype IS NULL AND channel_type <> 'im' AND text LIKE '%<@_%>%'"""
+
+
 def live_threads(idle: str) -> str:
     return f"""
 SELECT user_id, max(ts) AS last_event FROM events GROUP BY user_id

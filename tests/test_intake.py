@@ -1,9 +1,10 @@
 """The intake job on messages with known results, and look-backs that read only their months."""
 
 from memberlens.plans import intake, locations
-from memberlens.sources.messages import MESSAGE_SCHEMA
+from memberlens.sources.messages import MESSAGE_SCHEMA, read_event_stream
 from memberlens.sources.retail import RetailWarehouse
 from memberlens.sources.warehouse import ParquetWarehouse
+from memberlens.streaming.run import process_available
 
 
 def test_intake(spark):
@@ -31,6 +32,30 @@ def test_intake(spark):
     assert sorted(r.event_id for r in kept) == ["d", "e", "f"]
 
 
+def test_intake_on_a_stream(spark, tmp_path):
+    """One query over several micro-batches: redeliveries, a limited user, idle threads."""
+    def direct(event, second, user="U1", thread="0", text="hi"):
+        return (event, "D1", "im", None, user, str(second), thread, text)
+
+    batches = [
+        [direct("a", 1), direct("a", 1), direct("b", 3)],
+        [direct("a", 2), direct("c", 4), direct("e", 5, user=None), ("g", "C1", "channel", None, "U2", "10", None, "not addressed")],
+        [direct("b", 3), direct("d", 61.5), direct("d", 62), direct("x", 70, user="U3", thread="9")],
+        [direct("f", 3000), direct("a", 3001), direct("y", 3002, user="U3", thread="9")],
+    ]
+    folder = str(tmp_path / "messages")
+    for rows in batches:
+        spark.createDataFrame(rows, MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_event_stream(spark, folder, MESSAGE_SCHEMA, maxFilesPerTrigger="1")
+    asked = process_available(intake.intake_stream(stream, limit=2, max_messages=2, buckets=3)).collect()
+    got = sorted((r.event_id, r["at"].timestamp(), r.is_limited, r.history_length) for r in asked)
+    assert got == [
+        ("a", 1.0, False, 1), ("a", 3001.0, False, 2),  # the second one after its time to live
+        ("b", 3.0, False, 2), ("c", 4.0, True, None), ("d", 61.5, False, 2), ("e", 5.0, False, 2),
+        ("f", 3000.0, False, 1), ("x", 70.0, False, 1), ("y", 3002.0, False, 1),
+    ]
+
+
 def test_look_back_over_month_folders_reads_those_months_only(spark, small, tmp_path):
     derived = RetailWarehouse(spark, small)
     derived.materialise(str(tmp_path), ["bookings", "location_master"])

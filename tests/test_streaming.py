@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,11 +12,12 @@ from memberlens.operators.admission import mark_duplicates, mark_rate_limited
 from memberlens.operators.sessions import sessions
 from memberlens.sources import messages as message_files
 from memberlens.sources.messages import MESSAGE_SCHEMA, read_event_stream, read_message_stream
-from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
+from memberlens.streaming.admission import decide, mark_duplicates_stream, mark_rate_limited_stream
+from memberlens.streaming.buckets import BUCKETS
 from memberlens.streaming.history import remember_stream
 from memberlens.streaming.messages import direct_questions, mentions
 from memberlens.streaming.run import process_available
-from memberlens.streaming.sessions import sessions_stream
+from memberlens.streaming.sessions import joined, open_fragments, session_fragments
 
 DAY = timedelta(days=1)
 
@@ -56,12 +58,12 @@ def stream_of(spark, events, folder):
     return read_event_stream(spark, folder, events.schema, maxFilesPerTrigger="1")
 
 
-@pytest.mark.parametrize("watermark", [None, timedelta(hours=1)])
-def test_rate_limit_stream_equals_batch(spark, events, event_files, tmp_path, watermark):
-    name = "limited_wm" if watermark else "limited"
+@pytest.mark.parametrize("lateness", [None, timedelta(hours=1)])
+def test_rate_limit_stream_equals_batch(spark, events, event_files, tmp_path, lateness):
+    name = "limited_late" if lateness else "limited"
     stream = mark_rate_limited_stream(
         stream_of(spark, events, event_files), ["user_id"], "ts", "event_id", 3, DAY,
-        watermark=watermark,
+        lateness=lateness,
     )
     drain(stream, name, tmp_path)
     batch = mark_rate_limited(events, ["user_id"], "ts", "event_id", 3, DAY)
@@ -81,39 +83,96 @@ def test_duplicate_stream_equals_batch(spark, events, event_files, tmp_path):
     assert got == sorted(map(tuple, batch.select("event_id", "is_duplicate").collect()))
 
 
-def test_session_stream_equals_batch(spark, events, tmp_path):
-    folder = write_in_order(events, tmp_path / "events")
-    # an event far ahead, read last, closes every session; its own stays open
-    far = spark.createDataFrame([(-1, datetime(2030, 1, 1), -1, "end")], events.schema)
-    far.coalesce(1).write.mode("append").parquet(folder)
-    stream = sessions_stream(
-        stream_of(spark, events, folder), ["user_id"], "ts", timedelta(hours=1)
-    )
-    query = drain(stream, "stream_sessions", tmp_path)
-    dropped = sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
-    assert dropped == 0
-    columns = ["user_id", "session_start", "last_event", "event_count"]
-    got = sorted(map(tuple, spark.table("stream_sessions").select(*columns).collect()))
-    want = sorted(map(tuple, sessions(events, ["user_id"], "ts").select(*columns).collect()))
-    assert got == want
-    assert len(got) > 900
+SESSION = ["user_id", "session_start", "last_event", "event_count"]
 
 
-def test_registered_sessions_take_files_in_any_order(spark, small, tmp_path, monkeypatch):
+def test_sessions_take_files_in_any_order(spark, small, tmp_path, monkeypatch):
     monkeypatch.setattr(message_files, "_BOUNDED", {"maxFilesPerTrigger": "1"})
     events = spark.read.parquet(f"{small}/events.parquet")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     part = F.floor((F.col("event_id") - low) * 4 / (high - low + 1))
     for own in (3, 0, 2, 1):
         events.where(part == own).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
-    columns = ["user_id", "session_start", "last_event", "event_count"]
-    got = entries.queries()["e03_sessions_stream"](spark, str(tmp_path)).select(*columns).collect()
-    want = sessions(events, ["user_id"], "ts").select(*columns).collect()
+    got = entries.queries()["e03_sessions_stream"](spark, str(tmp_path)).select(*SESSION).collect()
+    want = sessions(events, ["user_id"], "ts").select(*SESSION).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert len(got) > 900
+
+
+def test_open_sessions_are_all_a_session_stream_keeps(spark, events, event_files, tmp_path):
+    """In order of time, with corrections of late rows, missing keys and times."""
+    day = events.withColumn("user_id", F.when(F.col("user_id") % 7 > 0, F.col("user_id")))
+    extra = [(-1, None, 5, "x"), (-2, datetime(2020, 1, 1), 2**60 + 1, "x"), (-3, datetime(2020, 1, 1, 0, 30), 2**60 + 1, "x")]
+    folder = write_in_order(day, tmp_path / "events")
+    late = spark.createDataFrame(extra, events.schema)
+    late.coalesce(1).write.mode("append").parquet(folder)
+    for bridge in (29, 31):  # one event joins the session that was closed before, one does not
+        at = datetime(2020, 1, 1, 1, 0) + timedelta(minutes=bridge - 29 + (bridge > 29) * 30)
+        spark.createDataFrame([(-9, at, 2**60 + 1, "x")], events.schema).coalesce(1).write.mode("append").parquet(folder)
+    home = str(tmp_path / "home")
+    lateness, idle = timedelta(minutes=10), timedelta(minutes=30)
+    fragments = session_fragments(stream_of(spark, events, folder), ["user_id"], "ts", idle, lateness)
+    closed = process_available(fragments, home)
+    still = open_fragments(closed, home)
+    everything = spark.read.schema(events.schema).parquet(folder)
+    got = joined(closed.unionByName(still), ["user_id"]).select(*SESSION).collect()
+    want = sessions(everything, ["user_id"], "ts").select(*SESSION).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r.session_start for r in got if r.user_id == 2**60 + 1} == {datetime(2020, 1, 1), datetime(2020, 1, 1, 1, 32)}
+    total, kept = closed.count() + still.count(), still.count()
+    assert 0 < kept <= BUCKETS * 4 and total > 5 * kept
+
+
+def test_states_keep_what_still_counts(spark, events, event_files, tmp_path):
+    """Accepted times leave the state; its rows are the buckets, whatever the number of keys."""
+    home, span, lateness = str(tmp_path / "home"), timedelta(hours=2), timedelta(minutes=5)
+    stream = mark_rate_limited_stream(
+        stream_of(spark, events, event_files), ["user_id"], "ts", "event_id", 2, span, lateness=lateness, buckets=8
+    )
+    result = process_available(stream, home)
+    batch = mark_rate_limited(events, ["user_id"], "ts", "event_id", 2, span)
+    assert sorted(map(tuple, result.select("event_id", "is_limited").collect())) == sorted(
+        map(tuple, batch.select("event_id", "is_limited").collect())
+    )
+    held = spark.read.format("statestore").load(f"{home}/progress").select("value.groupState.*").collect()
+    assert 1 < len(held) <= 8
+    oldest = [r.clock - min(r["at"]) for r in held if r["at"]]
+    assert max(oldest) < (span + lateness) // timedelta(microseconds=1)
+    assert sum(len(r["at"]) for r in held) < events.count() / 20
+
+
+def test_rows_without_key_or_time_are_not_limited(spark, tmp_path):
+    at = datetime(2026, 1, 1)
+    rows = [(1, None, at), (2, None, at), (3, "a", None), (4, "a", None), (5, "a", at), (6, "a", at)]
+    frame = spark.createDataFrame(rows, "event_id long, user string, ts timestamp_ntz")
+    frame.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = read_event_stream(spark, str(tmp_path / "events"), frame.schema)
+    got = process_available(mark_rate_limited_stream(stream, ["user"], "ts", "event_id", 1, DAY)).collect()
+    assert sorted((r.event_id, r.is_limited) for r in got) == [(k, k == 6) for k in range(1, 7)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_buckets_decide_as_one_by_one(seed):
+    """Rows of several keys after accepted ones of earlier micro-batches, some of them later than the rows."""
+    rnd = random.Random(seed)
+    limit, span = rnd.choice([(1, 50), (2, 40), (5, 100)])
+    rows = []
+    for group in range(30):
+        held = sorted(rnd.sample(range(200), rnd.randint(0, limit)))
+        start = rnd.choice([0, 150, 250])
+        new = sorted(start + rnd.randrange(400) for _ in range(rnd.choice([1, 2, 20])))
+        rows += [(group, t, True) for t in held] + [(group, t, False) for t in new]
+    group, times, old = (np.array(c) for c in zip(*rows))
+    got = decide(group, times, old, limit, span)
+    alive = {}
+    for (g, t, was), accepted in zip(rows, got):
+        live = alive.setdefault(g, [])
+        if was:
+            live.append(t)
+            continue
+        fits = sum(t - then < span for then in live) < limit
+        assert accepted == fits
+        live += [t] * fits
 
 
 @pytest.mark.parametrize("files", [1, 3])
