@@ -10,8 +10,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: units (a space and the letters up to the next space) that a Python worker remembers
-REMEMBERED_UNITS = 600_000
+#: units (a space and the letters up to the next space) in either generation of a Python worker's memory
+REMEMBERED_UNITS = 400_000
 
 #: fixed values of byte-level BPE: how a text is cut before its merges
 CUT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -30,7 +30,7 @@ class ByteEncoder:
 
     The result is that of the library's ``encode(text, add_special_tokens=False)``. A text is cut
     at single spaces, where the tokenizer cuts as well; each unit is encoded by the library once and
-    remembered. Texts with white space beside white space or with a special token in them, and files
+    remembered; what is not met while one generation of the memory fills goes with the next. Texts with white space beside white space or with a special token in them, and files
     of another kind, are handed to the library whole.
     """
 
@@ -38,6 +38,7 @@ class ByteEncoder:
         with open(path, "rb") as file:
             raw = file.read()
         self.library = Tokenizer.from_str(raw.decode())
+        self.model = self.library.model  # each look at the library's makes another handle
         told = json.loads(raw)
         cut = told.get("pre_tokenizer") or {}
         self.plain = (
@@ -71,26 +72,30 @@ class ByteEncoder:
 
     def _merged(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return self._pack([t.id for t in self.library.model.tokenize(mapped)])
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
 
 
 class _AfterSpace(dict):
-    """Unit without the space in front of it to its ids."""
+    """Unit without the space in front of it to its ids: a young generation, and the one before."""
 
     def __init__(self, owner: ByteEncoder):
         self.owner = owner
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= REMEMBERED_UNITS:
+            self.old = dict(self)
             self.clear()
-        body, last = unit[:-1], unit[-1:]
-        if unit.isalpha() or not unit:
-            packed = self.owner._merged(" " + unit)
-        elif body.isalpha() and last in ",.":
-            # the tokenizer cuts between a letter and a mark
-            packed = self[body] + self.owner.marks[last]
-        else:
-            packed = self.owner.piece(" " + unit)
+        packed = self.old.get(unit)
+        if packed is None:
+            body, last = unit[:-1], unit[-1:]
+            if unit.isalpha() or not unit:
+                packed = self.owner._merged(" " + unit)
+            elif last in ",." and body.isalpha():
+                # the tokenizer cuts between a letter and a mark
+                packed = self[body] + self.owner.marks[last]
+            else:
+                packed = self.owner.piece(" " + unit)
         self[unit] = packed
         return packed
 

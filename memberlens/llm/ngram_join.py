@@ -97,11 +97,12 @@ def similarity_join(
 
     Two texts are linked when ``100 * shared >= percent * united`` shingles. ``class_id`` is the
     smallest id with the same words, ``component_id`` the smallest id reachable over links, ``n_links`` the
-    number of other classes that the class is linked to, not computed unless ``with_links``. Missing
+    number of other texts (counted by their words) that the text is linked to, not computed unless
+    ``with_links``. Missing
     and empty texts have no shingles and no links. Rows without an id are returned alone, with
     themselves as no component (null). Of several rows with one id the id's texts all count: the id
     is linked to what any of them is linked to, ``n_shingles`` is the largest, and ``n_links`` the sum over
-    the id's classes. Columns other than the two named are ignored, whatever their names.
+    its different texts. Columns other than the two named are ignored, whatever their names.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     known = narrow.where("id is not null")
@@ -112,7 +113,8 @@ def similarity_join(
     # one id, one class: equal word sequences share the smallest id
     keyed = rows.where("n > 0").select("id", "words_key")
     lowest = keyed.groupBy("words_key").agg(F.min("id").alias("class_id"))
-    classes = stage(keyed.join(lowest, "words_key").select("id", "class_id").distinct())
+    worded = stage(keyed.join(lowest, "words_key").select("id", "class_id", "words_key").distinct())
+    classes = worded.select("id", "class_id").distinct()
     firsts = classes.select(F.col("class_id").alias("id")).distinct()
     kept = stage(rows.where("n > 0").join(firsts, "id", "left_semi"))
 
@@ -131,11 +133,11 @@ def similarity_join(
     final = components(linked)
 
     sizes = rows.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    ties = classes
-    n_links = []
+    ties, n_links = worded, []
     if with_links:
-        links = _links(kept, final, known, width, percent).withColumnRenamed("id", "class_id")
-        ties = classes.join(links, "class_id", "left")
+        widths = rows.where("n > 0").groupBy("words_key").agg(F.max("n").alias("n"))
+        members = worded.where("id = class_id").join(widths, "words_key").select("id", "words_key", "n")
+        ties = worded.join(_links(members, final, known, width, percent), "words_key", "left")
         n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     own = ties.groupBy("id").agg(F.min("class_id").alias("class_id"), *(F.sum(c).alias(c) for c in ["n_links"] if with_links))
     result = (
@@ -343,44 +345,67 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where("in_a <> in_b").select("a", "b")
 
 
-def _links(kept: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n_links): how many other class representatives each one is linked to, by their whole sets.
+def _links(members: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(words_key, n_links): how many other classes each class is linked to, by their whole sets.
 
-    No link leaves a component. A component is cut into blocks of bounded size by a hash of the id, and
-    every two of its blocks are compared in one call.
+    ``members`` holds one text of each class, as (id, words_key, n): an id may stand for several. No link leaves
+    a component. A component is cut into blocks of bounded size by a hash of the class, and every two of
+    its blocks are compared in one call. What moves to a block are sets, bounded by their shingles, not texts.
     """
-    sizes = kept.groupBy("id").agg(F.sum("n").alias("n")).join(joined, "id")
+    sizes = members.join(joined, "id")
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     several = (
         sizes.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
         .where("texts > 1").select("component", blocks.cast("int").alias("blocks"))
     )
-    placed = stage(sizes.join(several, "component").selectExpr("id", "component", "blocks", "int(pmod(xxhash64(id), blocks)) as block"))
+    placed = stage(sizes.join(several, "component").selectExpr(
+        "id", "component", "blocks", "words_key", "int(pmod(xxhash64(words_key), blocks)) as block"
+    ))
     texts = only_ids(docs, "id", placed.select("id"))
-    dealt = placed.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            chosen, found = [], []
+            keys = batch.column("words_key").to_pylist()
+            for k, text in enumerate(texts_of(batch.column("text"))):
+                # of an id's texts, that of the class; repeated rows come one after another
+                if keys[k] != last and xxhash.xxh3_128_digest(b" ".join(text.lower().split())) == keys[k]:
+                    last = keys[k]
+                    chosen.append(k)
+                    found.append(next(shingle_sets(iter([text]), width)).tobytes())
+            kept = batch.take(pa.array(chosen, pa.int64()))
+            names = ["component", "blocks", "block", "words_key"]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(found, pa.binary())], [*names, "shingles"])
+
+    bound_batches(docs.sparkSession)
+    dealt = (
+        placed.join(texts, "id").select("component", "blocks", "block", "words_key", "text")
+        .mapInArrow(sets, "component long, blocks int, block int, words_key binary, shingles binary")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
     met = dealt.groupBy("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(
-        F.collect_list(F.struct("id", "block", "text")).alias("members")
+        F.collect_list(F.struct("words_key", "block", "shingles")).alias("members")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members, across in zip(batch.column("members"), batch.column("across").to_pylist(), strict=True):
-                ids, own, text = members.values.flatten()
-                ids, links = _links_of(
-                    ids.to_numpy(), own.to_numpy(), list(shingle_sets(texts_of(text), width)), percent, across
-                )
-                if len(ids):
-                    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64())})
+                keys, own, shingles = members.values.flatten()
+                names, code = np.unique(np.array(keys.to_pylist(), dtype=object), return_inverse=True)
+                held = [np.frombuffer(s.as_buffer(), np.uint64) for s in shingles]
+                codes, links = _links_of(code, own.to_numpy(), held, percent, across)
+                if len(codes):
+                    yield pa.record_batch({"words_key": pa.array(names[codes].tolist(), pa.binary()), "links": pa.array(links, pa.int64())})
 
-    bound_batches(docs.sparkSession)
-    counted = met.selectExpr("members", "low <> high as across").mapInArrow(count, "id long, links long")
-    return stage(counted.groupBy("id").agg(F.sum("links").alias("n_links")))
+    counted = met.selectExpr("members", "low <> high as across").mapInArrow(count, "words_key binary, links long")
+    return stage(counted.groupBy("words_key").agg(F.sum("links").alias("n_links")))
 
 
 def _links_of(
-    ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, across: bool
+    classes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, across: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, links of each): ``across`` two blocks, or inside one."""
+    """(classes, links of each): ``across`` two blocks, or inside one."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, term, texts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -405,11 +430,11 @@ def _links_of(
         np.add.at(shared, (b, a), 1)
     shared = shared.astype(np.int64)
     similar = (shared > 0) & (100 * shared >= percent * (sizes[:, None] + sizes - shared))
-    similar &= ids[:, None] != ids
+    similar &= classes[:, None] != classes
     if across:
         similar &= blocks[:, None] != blocks
-    # several texts of one id count once
-    named, which = np.unique(ids, return_inverse=True)
+    # a class that came twice counts once
+    named, which = np.unique(classes, return_inverse=True)
     linked = np.zeros((len(named), len(named)), bool)
     a, b = np.nonzero(similar)
     linked[which[a], which[b]] = True

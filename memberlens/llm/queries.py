@@ -126,10 +126,13 @@ links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (both_n - shared)),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
-same AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id
-    ELSE min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS class_id FROM cut)
-SELECT doc_id, len(g) AS n_shingles, component_id, class_id
-FROM grams JOIN lowest ON doc_id = a JOIN same USING (doc_id)
+same AS (SELECT doc_id, array_to_string(w, ' ') AS words, CASE WHEN len(w) = 0 THEN doc_id
+    ELSE min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS class_id FROM cut),
+others AS (
+  SELECT x.doc_id, count(DISTINCT y.words) AS n_links
+  FROM links JOIN same x ON a = x.doc_id JOIN same y ON b = y.doc_id WHERE x.words <> y.words GROUP BY 1)
+SELECT doc_id, len(g) AS n_shingles, component_id, class_id, coalesce(n_links, 0) AS n_links
+FROM grams JOIN lowest ON doc_id = a JOIN same USING (doc_id) LEFT JOIN others USING (doc_id)
 """
 
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -149,10 +152,30 @@ found AS (SELECT doc_id, item_id, i, n FROM places JOIN phrases USING (n, p)),
 hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1),
+sought AS (SELECT row_number() OVER () AS phrase, item_id, list_distinct(string_split(p, ' ')) AS words FROM phrases),
+wanted AS (SELECT phrase, item_id, len(words) AS n, unnest(words) AS word FROM sought),
+stood AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+often AS (SELECT word, count(*) AS places FROM stood GROUP BY 1),
+rarest AS (
+  SELECT phrase, arg_min(word, (places, word)) AS word FROM wanted LEFT JOIN often USING (word)
+  GROUP BY phrase HAVING count(*) = count(places)),
+spots AS (SELECT phrase, doc_id, pos AS place FROM rarest JOIN stood USING (word)),
+around AS (
+  SELECT s.phrase, s.doc_id, s.place, v.item_id, v.n, v.word, t.pos
+  FROM spots s JOIN wanted v USING (phrase)
+  JOIN stood t ON t.doc_id = s.doc_id AND t.word = v.word AND t.pos BETWEEN s.place - 40 AND s.place + 40
+  QUALIFY count(DISTINCT v.word) OVER (PARTITION BY s.phrase, s.doc_id, s.place) = v.n),
+stretches AS (
+  SELECT x.phrase, x.doc_id, x.place, x.pos, x.item_id
+  FROM around x JOIN around y ON x.phrase = y.phrase AND x.doc_id = y.doc_id AND x.place = y.place
+    AND y.pos BETWEEN x.pos AND x.pos + 40
+  WHERE x.place BETWEEN x.pos AND x.pos + 40
+  GROUP BY ALL HAVING count(DISTINCT y.word) = any_value(x.n)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM stretches GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 

@@ -94,6 +94,34 @@ def test_similarity_join_counts_every_link(spark, monkeypatch, block_texts):
     assert {r.doc_id: r.n_links for r in ngram_join.similarity_join(frame).collect()} == expected
 
 
+def test_links_of_ids_with_several_texts(spark):
+    long, other = _words(3, 120, 5_000), _words(4, 120, 5_000)
+    near = " ".join(w if n != 7 else "new" for n, w in enumerate(long))
+    a, b = " ".join(long), " ".join(other)
+    # ids 5 and 9 hold two texts each that share no word; 9 is the first of both of its texts' classes
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, near), (9, near + " end"), (9, "quite another text of seven words"), (5, b)]
+    got = {r.doc_id: (r.class_id, r.component_id, r.n_links) for r in ngram_join.similarity_join(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    # a, near and near + end are linked with one another; ids tie a and b together
+    assert got == {1: (1, 1, 2), 5: (1, 1, 2), 7: (5, 1, 0), 8: (8, 1, 2), 9: (9, 1, 2)}
+
+
+def test_giant_texts_of_one_line_move_as_small_sets(spark, monkeypatch):
+    line = " ".join(_words(8, 30, 500)) + " "
+    rows = [(k, line * (20_000 + k)) for k in range(6)]
+    sizes = []
+    staged = ngram_join.stage
+
+    def stage(frame, **options):
+        written = staged(frame, **options)
+        sizes.extend(f.name for f in written.schema if f.dataType.typeName() == "string")
+        return written
+
+    monkeypatch.setattr(ngram_join, "stage", stage)
+    got = ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.n_shingles, r.component_id, r.n_links) for r in got} == {(30, 0, 5)} and not sizes
+
+
 def test_similarity_join_without_rows_and_one_of_each(docs, empty):
     assert ngram_join.similarity_join(empty).count() == 0
     kept = ngram_join.one_of_each(docs)

@@ -17,8 +17,9 @@ def test_query_matches_statement(spark, name):
         duck.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     result = duck.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in result.description]
-    mine = queries.queries()[name](spark, SF).select(*columns).collect()
-    assert sorted(map(tuple, mine)) == sorted(result.fetchall())
+    mine = queries.queries()[name](spark, SF)
+    assert sorted(mine.columns) == sorted(columns)
+    assert sorted(map(str, map(tuple, mine.select(*columns).collect()))) == sorted(map(str, result.fetchall()))
 
 
 def test_every_operator_has_a_query():
