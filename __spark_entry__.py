@@ -22,6 +22,7 @@ from memberlens.schemas import enumerated_values
 from memberlens.session import ensure_checkpoint_dir, stage
 from memberlens.sources.messages import messages_from_conversations, read_event_stream, read_message_stream
 from memberlens.sources.retail import AS_OF, RetailWarehouse, read_star
+from memberlens.sources.rollup import RolledUpWarehouse
 from memberlens.sources.sinks import json_rows
 from memberlens.sources.warehouse import ParquetWarehouse
 from memberlens.streaming.admission import mark_duplicates_stream, mark_rate_limited_stream
@@ -256,17 +257,47 @@ def _json_rows(spark: SparkSession, folder: str) -> DataFrame:
     return json_rows(customer.select("c_custkey", "c_name", segment))
 
 
+#: folders of warehouses written by this application, by the tables' folder
+_WRITTEN: dict[tuple[str, str], tuple[str, set[str]]] = {}
+
+
+def _written(spark: SparkSession, folder: str, *tables: str) -> str:
+    """A shared warehouse written by month, with at least ``tables``; each is written once in an application."""
+    root, present = _WRITTEN.setdefault(
+        (spark.sparkContext.applicationId, folder),
+        (f"{ensure_checkpoint_dir(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex}", set()),
+    )
+    missing = [table for table in tables if table not in present]
+    RetailWarehouse(spark, folder).materialise(root, missing)
+    present.update(missing)
+    return root
+
+
 def _stored(function: Callable[..., DataFrame], *tables: str, **arguments) -> Query:
     """The report over tables written by month, where whole months are skipped."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warehouse-{uuid.uuid4().hex}"
-        RetailWarehouse(spark, folder).materialise(root, [*tables, "location_master"])
+        root = _written(spark, folder, *tables, "location_master")
         return function(ParquetWarehouse(spark, root), **arguments)
 
     return run
 
 
+_TOTALS: dict[tuple[str, str], RolledUpWarehouse] = {}
+
+
+def _on_totals(function: Callable[..., DataFrame], **arguments) -> Query:
+    """The report over monthly totals that are summed once and shared by all such reports."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in _TOTALS:
+            _TOTALS[key] = RolledUpWarehouse(RetailWarehouse(spark, folder))
+        return function(_TOTALS[key], **arguments)
+
+    return run
+
+
 def _duplicates_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream = _in_turn(spark, folder, ["user_id", "event_type", "ts", "event_id"], 1)
     marked = mark_duplicates_stream(
@@ -495,6 +526,17 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
             reports.location_pnl()),
         "r14_labor_cost_by_role_stored": (
             _stored(finance.labor_cost_by_role, "labor_costs"), reports.labor_cost_by_role()),
+        "r09_revenue_trend_totals": (_on_totals(locations.revenue_trend), reports.revenue_trend()),
+        "r11_location_pnl_totals": (_on_totals(finance.location_pnl), reports.location_pnl()),
+        "r12_refund_breakdown_totals": (
+            _on_totals(finance.refund_breakdown, city=CITY), reports.refund_breakdown(12, CITY)),
+        "r13_revenue_per_room_totals": (
+            _on_totals(finance.revenue_per_room), reports.revenue_per_room()),
+        "r15_revenue_by_service_totals": (
+            _on_totals(finance.revenue_by_service), reports.revenue_by_service()),
+        "r16_operational_costs_totals": (
+            _on_totals(finance.operational_costs_by_category), reports.operational_costs_by_category()),
+        "r17_booking_demand_totals": (_on_totals(workforce.booking_demand), reports.booking_demand()),
         "e03_sessions_stream": (
             _sessions_stream, activity.sessions("user_id", "30 MINUTE")),
         "e04_remembered_stream": (_remembered_stream, activity.remembered_turns(4)),

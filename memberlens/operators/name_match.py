@@ -2,47 +2,83 @@
 
 A pattern matches a name when the name contains it, ``%`` and ``_`` acting as wildcards. Every name
 that contains a pattern also contains every piece of the pattern's literal runs. So each pattern is
-keyed by one such piece, as long as its longest run allows, each name by all the pieces it holds, and
-only pairs that share a key are tested. Patterns without any letter are keyed by the empty piece,
-which every name holds.
+keyed by one such piece, of the greatest length its longest run allows: the rarest one, by counts of the
+names' pieces in a sketch of fixed size. Each name gives out those of its pieces that some pattern is keyed
+by, and only pairs that share a key are tested. Patterns without any letter are keyed by the empty
+piece, which every name holds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.operators.lookup import top_per_key
+from memberlens.session import stage
 
 PIECES = (6, 3, 1)
+#: cells of the sketch: 8 KB as one bit each
+CELLS = 1 << 16
 
 
-def pattern_key(pattern: Column) -> Column:
-    """The end of the longest literal run, cut to the longest piece length it fills.
+def _cut(text: Column, size: int) -> Column:
+    """All pieces of ``size`` characters, none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    pieces = F.transform(starts, lambda at: F.substring(text, at, size))
+    return F.when(F.length(text) >= size, pieces).otherwise(F.array().cast("array<string>"))
 
-    Names often begin alike, so the end of a run is the more selective part.
-    """
+
+def pattern_pieces(pattern: Column) -> Column:
+    """The pieces a pattern may be keyed by: of its longest literal run, as long as that allows."""
     runs = F.split(pattern, "[%_]")
     longest = F.aggregate(
         runs,
         F.lit(""),
         lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best),
     )
-    key = F.lit("")
+    pieces = F.array(F.lit(""))
     for size in reversed(PIECES):
-        key = F.when(F.length(longest) >= size, F.substring(longest, -size, size)).otherwise(key)
-    return key
+        pieces = F.when(F.length(longest) >= size, _cut(longest, size)).otherwise(pieces)
+    return F.array_distinct(pieces)
+
+
+def _cell(piece: Column) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(CELLS))
+
+
+def _asked(pieces: DataFrame) -> tuple[Column, list[int]]:
+    """Which cells hold a piece, as an array of 64-bit words, and the lengths of the pieces; of fixed size."""
+    at = _cell(F.col("piece"))
+    words = dict(
+        pieces.groupBy(F.floor(at / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(piece), {CELLS}) % 64 as int))")).alias("bits"))
+        .collect()  # CELLS / 64 rows at most
+    )
+    sizes = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]
+    return F.array(*(F.lit(words.get(k, 0)).cast("long") for k in range(CELLS // 64))), sizes
+
+
+def _given(name: Column, asked: Column, sizes: list[int]) -> Column:
+    """Pieces of ``name`` whose cell is asked for, each once."""
+    cut = [F.array(F.lit("")) if size == 0 else _cut(name, size) for size in sizes]
 
+    def wanted(piece: Column) -> Column:
+        word = F.get(asked, F.floor(_cell(piece) / 64).cast("int"))
+        return F.call_function("bit_get", word, (_cell(piece) % 64).cast("int")) == 1
 
-def name_keys(name: Column) -> Column:
-    """All keys under which a name can be found, each once."""
+    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [F.filter(c, wanted) for c in cut]))
 
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(name) - (size - 1))
-        cut = F.transform(starts, lambda at: F.substring(name, at, size))
-        return F.when(F.length(name) >= size, cut).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(size) for size in PIECES]))
+def rarest_pieces(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """(_query, _key): the piece of every pattern that the fewest names hold, as the sketch counts them."""
+    choices = stage(patterns.select("_query", F.explode(pattern_pieces(F.col("_query"))).alias("piece")))
+    given = names.select(F.explode(_given(F.col("_name"), *_asked(choices))).alias("piece"))
+    counts = given.groupBy(_cell(F.col("piece")).alias("cell")).agg(F.count("*").alias("names"))
+    held = choices.join(F.broadcast(counts), _cell(F.col("piece")) == F.col("cell"), "left")  # CELLS rows at most
+    rarity = F.struct(F.coalesce("names", F.lit(0)), F.col("piece"))
+    return stage(held.groupBy("_query").agg(F.min_by("piece", rarity).alias("_key")))
 
 
 def match_names(
@@ -56,14 +92,15 @@ def match_names(
     asked = queries.select("query_id", F.lower("name_query").alias("_query"))
     text = F.col("_query")
     escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    patterns = asked.select(text).distinct().select(
+    patterns = asked.select(text).where(text.isNotNull()).distinct().select(
         text,
         # only patterns with wildcards pay for LIKE, which compiles the pattern for every pair
         F.when(text.rlike("[%_]"), F.concat(F.lit("%"), escaped, F.lit("%"))).alias("_pattern"),
-        pattern_key(text).alias("_key"),
     )
-    keyed = people.withColumn("_name", F.lower(name)).where(F.col("_name").isNotNull())
-    keyed = keyed.withColumn("_key", F.explode(name_keys(F.col("_name"))))
+    named = people.withColumn("_name", F.lower(name)).where(F.col("_name").isNotNull())
+    keys = rarest_pieces(patterns.select("_query"), named.select("_name"))
+    patterns = patterns.join(keys, "_query")
+    keyed = named.withColumn("_key", F.explode(_given(F.col("_name"), *_asked(keys.select(F.col("_key").alias("piece"))))))
     matches = F.when(F.col("_pattern").isNull(), F.contains("_name", "_query")).otherwise(
         F.like("_name", F.col("_pattern"))
     )

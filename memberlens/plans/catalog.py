@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 
 from memberlens.params import InvalidParameter
 from memberlens.plans import adhoc, compose, customers, finance, health, locations, marketing, workforce
+from memberlens.sources.rollup import RolledUpWarehouse
 from memberlens.sources.warehouse import Warehouse
 
 
-
 def readonly_sql(wh: Warehouse, sql: str, args: dict | None = None) -> DataFrame:
     """A single query over the warehouse's tables, each a view of its name."""
     if not sql:
@@ -72,6 +72,16 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: reports that read bookings or operating costs by sums only
+ON_TOTALS = frozenset(
+    function.__name__
+    for function in (
+        locations.revenue_trend, finance.location_pnl, finance.refund_breakdown, finance.revenue_per_room,
+        finance.revenue_by_service, finance.operational_costs_by_category, workforce.booking_demand,
+    )
+)
+
+
 @dataclass(frozen=True)
 class Request:
     report: str
@@ -102,16 +112,24 @@ def run_many(
     requests: Iterable[Request],
     action: Callable[[Request, DataFrame], Any] | None = None,
     workers: int = 4,
+    share: bool = True,
 ) -> list[Outcome]:
     """Outcomes in the order of ``requests``.
 
+    If several of them add up the same large table, it is summed by month once and all read the totals
+    (``share``); results are the same.
+
     ``action`` is called with each request and its frame, for instance to write it; independent jobs
     then share the cluster, ``workers`` at a time. Without it the frames themselves are returned.
     """
 
+    requests = list(requests)
+    on_totals = [request for request in requests if request.report in ON_TOTALS]
+    totals = RolledUpWarehouse(wh) if share and len(on_totals) > 1 else wh
+
     def run(request: Request) -> Outcome:
         try:
-            frame = run_report(wh, request.report, **request.arguments)
+            frame = run_report(totals if request.report in ON_TOTALS else wh, request.report, **request.arguments)
             return Outcome(request, action(request, frame) if action else frame)
         except Exception as error:  # one request must not take down the others
             return Outcome(request, error=f"{type(error).__name__}: {error}")

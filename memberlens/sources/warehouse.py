@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,17 +116,42 @@ class ParquetWarehouse(Warehouse):
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def lookback(self, name: str, months: int) -> Lookback:
-        """A table split by month tells its latest month by the names of its folders, once; no file is read."""
+        """The latest month without reading a row, found once for each table.
+
+        A table split by month tells it by the names of its folders, any other by the statistics of its files.
+        """
         if name not in self._latest:
             column = MONTH_COLUMNS[name]
             folder = re.compile(rf"/{column}=(\d{{4}}-\d{{2}}-\d{{2}})/")
             found = [folder.search(file) for file in self._load(name, [column]).inputFiles()]
-            self._latest[name] = max((m[1] for m in found), default=None) if all(found) else None
+            split = bool(found) and all(found)
+            self._latest[name] = max(m[1] for m in found) if split else self._latest_in_footers(name)
         latest = self._latest[name]
         if latest is None:
             return super().lookback(name, months)
         return Lookback(self.spark.range(1).select(F.lit(latest).cast("date").alias("latest")), months)
 
+    def latest_by_footers(self, name: str) -> DataFrame:
+        """The maximum of the month column as one row, pushed down to the footers of the files.
+
+        Only the newer parquet source can do so; it is switched on in a session of its own, so that
+        no other query changes.
+        """
+        aside = self.spark.newSession()
+        aside.conf.set("spark.sql.sources.useV1SourceList", "")
+        aside.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        column = MONTH_COLUMNS[name]
+        return aside.read.schema(self._load(name, [column]).schema).parquet(f"{self.root}/{name}").agg(
+            F.max(column).alias("latest")
+        )
+
+    def _latest_in_footers(self, name: str) -> str | None:
+        try:
+            latest = self.latest_by_footers(name).first()[0]
+        except (PySparkException, Py4JError):  # files without statistics: the date column is read
+            return None
+        return None if latest is None else str(latest)
+
 
 class FrameWarehouse(Warehouse):
     """Tables handed over as frames, for fixtures or for data from other connectors."""
