@@ -11,7 +11,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: units (a space and the letters up to the next space) in either generation of a Python worker's memory
-REMEMBERED_UNITS = 400_000
+REMEMBERED_UNITS = 800_000
 
 #: fixed values of byte-level BPE: how a text is cut before its merges
 CUT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -60,12 +60,22 @@ class ByteEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.plain or _TWO_SPACES.search(text) or any(s in text for s in self.special):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+        if not self.plain or any(s in text for s in self.special):
+            return self._whole(text)
         first, *rest = text.split(" ")
-        packed = b"".join(map(self.after_space.__getitem__, rest))
+        units = map(self.after_space.__getitem__, rest)
+        # a unit with white space at its end or beside other is None, on which join gives up
+        if first and _odd(first):
+            return self._whole(text)
+        try:
+            packed = b"".join(units)
+        except TypeError:
+            return self._whole(text)
         return self.piece(first) + packed if first else packed
 
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+
     def piece(self, unit: str) -> bytes:
         """Ids of a unit without a space in front of it, or of one with."""
         return b"".join([self._merged(piece) for piece in CUT.findall(unit)])
@@ -75,25 +85,32 @@ class ByteEncoder:
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
 
+def _odd(unit: str) -> bool:
+    """Empty, or with white space at an end or beside other: the tokenizer may cut elsewhere."""
+    return not unit or unit[0].isspace() or unit[-1].isspace() or _TWO_SPACES.search(unit) is not None
+
+
 class _AfterSpace(dict):
     """Unit without the space in front of it to its ids: a young generation, and the one before."""
 
     def __init__(self, owner: ByteEncoder):
         self.owner = owner
-        self.old: dict[str, bytes] = {}
+        self.old: dict[str, bytes | None] = {}
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes | None:
         if len(self) >= REMEMBERED_UNITS:
             self.old = dict(self)
             self.clear()
         packed = self.old.get(unit)
         if packed is None:
             body, last = unit[:-1], unit[-1:]
-            if unit.isalpha() or not unit:
+            if unit.isalpha():
                 packed = self.owner._merged(" " + unit)
             elif last in ",." and body.isalpha():
                 # the tokenizer cuts between a letter and a mark
                 packed = self[body] + self.owner.marks[last]
+            elif _odd(unit):
+                packed = None
             else:
                 packed = self.owner.piece(" " + unit)
         self[unit] = packed
