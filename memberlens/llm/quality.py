@@ -25,7 +25,7 @@ _DIGITS = b"0123456789"
 _SYMBOLS = b"#$%&*+<=>@[\\]^_`{|}~"
 _STOPS = b".!?"
 #: a prior weighs no more documents than this
-STRONGEST = 1e6
+STRONGEST = 1e12
 
 
 def _count(text: bytes, of: bytes) -> int:
@@ -113,7 +113,8 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("mean", F.col("good") / F.col("n")).withColumn("center", F.lit(corpus))
     weight = _strength(hosts, "mean", "center")
     hosts = hosts.select(
-        F.col("source").alias("_source"), ((F.col("good") + weight * corpus) / (F.col("n") + weight)).alias("host_posterior")
+        F.col("source").alias("_source"), F.col("n").alias("host_n"), F.col("good").alias("host_good"),
+        ((F.col("good") + weight * corpus) / (F.col("n") + weight)).alias("host_posterior"),
     )
     paths = stage(
         paths.join(hosts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -123,13 +124,27 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return paths.select(
         "source", "lang", "n", "host_posterior",
         ((F.col("good") + own * F.col("host_posterior")) / (F.col("n") + own)).alias("path_posterior"),
-        F.lit(corpus).alias("corpus_mean"),
+        F.lit(corpus).alias("corpus_mean"), "good", "host_n", "host_good",
+        F.lit(weight).alias("host_weight"), F.lit(own).alias("path_weight"),
     )
 
 
+def left_out(evidence: Column) -> tuple[Column, Column]:
+    """(host, path) posteriors of a row's site without the row's own evidence, from the sums of ``site_posteriors``.
+
+    A path of one document has its host's posterior, a host of one document the corpus mean.
+    """
+    host = (F.col("_site_host_good") - evidence + F.col("_site_host_weight") * F.col("_site_corpus_mean")) / (
+        F.col("_site_host_n") - 1 + F.col("_site_host_weight")
+    )
+    path = (F.col("_site_good") - evidence + F.col("_site_path_weight") * host) / (F.col("_site_n") - 1 + F.col("_site_path_weight"))
+    return tuple(F.greatest(F.lit(0.001), F.least(F.lit(0.999), p)) for p in (host, path))
+
+
 def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """``docs`` with ``evidence``, ``host_posterior``, ``path_posterior`` and ``quality`` (0 to 1).
 
+    The posteriors are those of all other documents of the site, so that a document's evidence counts once.
     Uses the columns doc_id, text, source and lang; the others pass through, those of the four new names
     are replaced. Missing and empty texts are scored like any other. Repeated rows get equal scores.
     """
@@ -138,14 +153,15 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
     score = lambda texts: model.value.score(texts)
     sites = site_posteriors(scored(docs.select("source", "lang", "text"), "evidence", score))
-    sites = sites.select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), "host_posterior", "path_posterior", "corpus_mean"
-    )
-    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang"))
-    odds = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.col("corpus_mean"))
+    kept = ("n", "good", "host_n", "host_good", "host_weight", "path_weight", "corpus_mean")
+    sites = sites.select(F.col("source").alias("_site_source"), F.col("lang").alias("_site_lang"), *(F.col(c).alias(f"_site_{c}") for c in kept))
+    same = F.col("source").eqNullSafe(F.col("_site_source")) & F.col("lang").eqNullSafe(F.col("_site_lang"))
+    host, path = left_out(F.col("evidence"))
+    odds = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.col("_site_corpus_mean"))
     return (
         scored(docs, "evidence", score)
         .join(sites, same)
+        .withColumns({"host_posterior": host, "path_posterior": path})
         .withColumn("quality", 1 / (1 + F.exp(-odds)))
         .select(*docs.columns, *added)
     )

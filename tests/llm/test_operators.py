@@ -376,6 +376,42 @@ def test_toxicity_and_quality_on_held_out_documents(spark, empty):
     assert toxicity.report(empty, labels).count() == 0 and quality.good_ones(empty, labels).count() == 0
 
 
+def test_posteriors_equal_a_plain_recomputation_without_the_own_document(spark):
+    docs, labels = _labelled(spark)
+    alone = spark.createDataFrame([(990, "some words of a lone site", "lv", "lone")], "doc_id long, text string, lang string, source string")
+    rows = quality.quality(docs.unionByName(alone.withColumn("label", F.lit("x"))).withColumn("_n", F.lit(3)), labels).collect()
+
+    def sums(of):
+        out = {}
+        for r in rows:
+            n, good = out.get(of(r), (0, 0.0))
+            out[of(r)] = (n + 1, good + r.evidence)
+        return out
+
+    def strength(groups, center):
+        total = sum(n * (good / n - center(k)) ** 2 for k, (n, good) in groups.items())
+        chance = sum(center(k) * (1 - center(k)) for k in groups) / len(groups)
+        between = (total - len(groups) * chance) / sum(n for n, _ in groups.values())
+        return quality.STRONGEST if between <= 0 else min(quality.STRONGEST, max(1.0, chance / between - 1))
+
+    hosts, paths = sums(lambda r: r.source), sums(lambda r: (r.source, r.lang))
+    corpus = sum(r.evidence for r in rows) / len(rows)
+    w = strength(hosts, lambda k: corpus)
+    parent = {k: (good + w * corpus) / (n + w) for k, (n, good) in hosts.items()}
+    v = strength(paths, lambda k: parent[k[0]])
+    logit = lambda p: np.log(p / (1 - p))
+    for r in rows:
+        n, good = hosts[r.source]
+        host = (good - r.evidence + w * corpus) / (n - 1 + w)
+        n, good = paths[r.source, r.lang]
+        path = (good - r.evidence + v * host) / (n - 1 + v)
+        assert r.host_posterior == pytest.approx(host, abs=1e-6) and r.path_posterior == pytest.approx(path, abs=1e-6)
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-(logit(r.evidence) + logit(path) - logit(corpus)))), abs=1e-6)
+    lone = next(r for r in rows if r.doc_id == 990)
+    assert lone.path_posterior == pytest.approx(corpus, abs=1e-6) == pytest.approx(lone.host_posterior, abs=1e-6)
+    assert lone.quality == pytest.approx(lone.evidence, abs=1e-6) and lone._n == 3
+
+
 def test_posteriors_shrink_sparse_sites(spark):
     rows = [("big", "en", 0.9)] * 900 + [("bad", "en", 0.1)] * 300 + [("one", "en", 0.1), ("bad", "fr", 0.9)]
     frame = spark.createDataFrame(rows, "source string, lang string, evidence double")
