@@ -41,8 +41,10 @@ SMALLEST = 6
 #: a shingle that may be in more texts than this is counted by grouping, not by a window
 HOT_TEXTS = 100_000
 #: texts and shingles in one of the blocks into which a component is cut for the count of its links
-BLOCK_TEXTS = 500
-BLOCK_SHINGLES = 250_000
+BLOCK_TEXTS = 1_000
+BLOCK_SHINGLES = 600_000
+#: bytes for each shingle beyond which a text moves as its set
+BYTES_PER_SHINGLE = 16
 #: shingles of a dense product of two blocks
 DENSE_SHINGLES = 4_096
 #: words handled at once in a task
@@ -350,7 +352,8 @@ def _links(members: DataFrame, joined: DataFrame, docs: DataFrame, width: int, p
 
     ``members`` holds one text of each class, as (id, words_key, n): an id may stand for several. No link leaves
     a component. A component is cut into blocks of bounded size by a hash of the class, and every two of
-    its blocks are compared in one call. What moves to a block are sets, bounded by their shingles, not texts.
+    its blocks are compared in one call. A text moves to a block as it is, unless its set is much smaller,
+    so that a block is bounded in bytes too.
     """
     sizes = members.join(joined, "id")
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
@@ -359,41 +362,50 @@ def _links(members: DataFrame, joined: DataFrame, docs: DataFrame, width: int, p
         .where("texts > 1").select("component", blocks.cast("int").alias("blocks"))
     )
     placed = stage(sizes.join(several, "component").selectExpr(
-        "id", "component", "blocks", "words_key", "int(pmod(xxhash64(words_key), blocks)) as block"
+        "id", "component", "blocks", "words_key", "n", "int(pmod(xxhash64(words_key), blocks)) as block"
     ))
     texts = only_ids(docs, "id", placed.select("id"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            chosen, found = [], []
-            keys = batch.column("words_key").to_pylist()
+            chosen, texts, found = [], [], []
+            keys, counts = batch.column("words_key").to_pylist(), batch.column("n").to_pylist()
             for k, text in enumerate(texts_of(batch.column("text"))):
                 # of an id's texts, that of the class; repeated rows come one after another
                 if keys[k] != last and xxhash.xxh3_128_digest(b" ".join(text.lower().split())) == keys[k]:
                     last = keys[k]
                     chosen.append(k)
-                    found.append(next(shingle_sets(iter([text]), width)).tobytes())
+                    repetitive = len(text) > BYTES_PER_SHINGLE * counts[k]
+                    texts.append(None if repetitive else text)
+                    found.append(next(shingle_sets(iter([text]), width)).tobytes() if repetitive else None)
             kept = batch.take(pa.array(chosen, pa.int64()))
             names = ["component", "blocks", "block", "words_key"]
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(found, pa.binary())], [*names, "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(c) for c in names), pa.array(texts, pa.binary()), pa.array(found, pa.binary())],
+                [*names, "text", "shingles"],
+            )
 
     bound_batches(docs.sparkSession)
     dealt = (
-        placed.join(texts, "id").select("component", "blocks", "block", "words_key", "text")
-        .mapInArrow(sets, "component long, blocks int, block int, words_key binary, shingles binary")
+        placed.join(texts, "id").select("component", "blocks", "block", "words_key", "n", "text")
+        .mapInArrow(narrowed, "component long, blocks int, block int, words_key binary, text binary, shingles binary")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     met = dealt.groupBy("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(
-        F.collect_list(F.struct("words_key", "block", "shingles")).alias("members")
+        F.collect_list(F.struct("words_key", "block", "text", "shingles")).alias("members")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members, across in zip(batch.column("members"), batch.column("across").to_pylist(), strict=True):
-                keys, own, shingles = members.values.flatten()
+                keys, own, text, shingles = members.values.flatten()
                 names, code = np.unique(np.array(keys.to_pylist(), dtype=object), return_inverse=True)
-                held = [np.frombuffer(s.as_buffer(), np.uint64) for s in shingles]
+                cut = shingle_sets(texts_of(text), width)
+                held = [
+                    np.frombuffer(s.as_buffer(), np.uint64) if s.is_valid else own_cut
+                    for own_cut, s in zip(cut, shingles, strict=True)
+                ]
                 codes, links = _links_of(code, own.to_numpy(), held, percent, across)
                 if len(codes):
                     yield pa.record_batch({"words_key": pa.array(names[codes].tolist(), pa.binary()), "links": pa.array(links, pa.int64())})
