@@ -2,7 +2,8 @@
 
 Rows are ordered by a 64-bit key made from their text and id: equal texts stand side by side, so a
 group of copies stays in one shard unless a splitter has to cut it, and the id spreads them, so that
-a group of any size can be cut where the bytes ask for it.
+a group of any size can be cut where the bytes ask for it. Rows alike in text and id would share a key; if
+together they are too large for the tolerance, they are numbered, and the number takes the id's place.
 """
 
 from __future__ import annotations
@@ -39,6 +40,24 @@ def byte_size(text) -> F.Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def _numbered(keyed: DataFrame, sized: DataFrame, least: float) -> DataFrame:
+    """``keyed`` with keys of their own for the rows of each repeated key of more than ``least`` bytes.
+
+    There are at most as many such keys as the table has ``least`` bytes. Their rows are written
+    once with their numbers, so that every later reading, also after a lost executor, sees the same.
+    """
+    repeated = sized.groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    large = [r.key for r in repeated.where((F.col("rows") > 1) & (F.col("bytes") > F.lit(least))).select("key").collect()]
+    if not large:
+        return keyed
+    is_large = F.col("_key").isin(large)
+    own = stage(keyed.where(is_large).withColumn("_repeat", F.monotonically_increasing_id()))
+    low = (1 << _ID_BITS) - 1
+    number = F.xxhash64("_repeat").bitwiseAND(F.lit(low))
+    own = own.withColumn("_key", F.col("_key").bitwiseAND(F.lit(~low)).bitwiseOR(number)).drop("_repeat")
+    return keyed.where(~is_large).unionByName(own)
+
+
 def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[int]:
     """``shards - 1`` keys; rows with a key below the first go to shard 0, and so on.
 
@@ -105,13 +124,20 @@ def shard_rows(
     The law is `bytes`: shards are equal in the sum of sizes but for the tolerance and for one row at
     each splitter. All columns move in one exchange. Rows are numbered in cells of about ``cell_rows``
     rows, whose first numbers are prefix sums of the cells' counts. A missing text has size 1; a missing
-    id is an id like others; rows alike in id and text share a key and stay together; an empty table
+    id is an id like others; rows alike in id and text are spread like others; an empty table
     stays empty. Columns of the same names are replaced.
     """
-    keyed = docs.drop("size", "shard", "slot").withColumns({
-        "size": byte_size(F.col(text_column)), "_key": order_key(F.col(text_column), F.col(id_column)),
+    named = docs.drop("size", "shard", "slot").columns
+    text, doc_id = (F.col("row").getField(c) for c in (text_column, id_column))
+    # a struct holds the columns, so that none can clash with those added here
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in named)).alias("row")).withColumns({
+        "size": byte_size(text), "_key": order_key(text, doc_id),
     })
     sized = stage(keyed.select(F.col("_key").alias("key"), "size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    spread = _numbered(keyed, sized, TOLERANCE * total / shards)
+    if spread is not keyed:
+        keyed, sized = spread, stage(spread.select(F.col("_key").alias("key"), "size"))
     bounds = splitters(sized, shards)
     rows = sized.count()
     cells = max(1, math.ceil(rows / (shards * cell_rows)))
@@ -128,11 +154,11 @@ def shard_rows(
         "shard", "_cell", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_base")
     )
     bases = stage(bases)
-    within = W.partitionBy("shard", "_cell").orderBy("_key", id_order(F.col(id_column)))
+    within = W.partitionBy("shard", "_cell").orderBy("_key", id_order(doc_id))
     return (
         placed(keyed, "_key")
         .withColumn("_row", F.row_number().over(within) - 1)
         .join(bases, ["shard", "_cell"])
         .withColumn("slot", (F.col("_base") + F.col("_row")).cast("long"))
-        .select(*docs.drop("size", "shard", "slot").columns, "size", "shard", "slot")
+        .select("row.*", "size", "shard", "slot")
     )
