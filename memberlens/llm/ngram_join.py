@@ -12,6 +12,10 @@ texts become one class, (4) texts that share a smallest shingle are compared wit
 joins large groups of near copies by as many comparisons as they have members, (5) all other pairs
 that share enough prefix shingles and are not yet in one component are compared, (6) components,
 (7) all links are counted: each lies inside a component, whose texts are compared block by block.
+
+Before the texts of a pair move for a comparison, their profiles meet: counts of shingles by the leading
+bits of their hashes, two to four a count. Two sets cannot share more than the smaller counts add up to, so
+a pair that stays below its threshold even then is left out, and no similar pair is.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ BLOCK_SHINGLES = 600_000
 BYTES_PER_SHINGLE = 16
 #: shingles of a dense product of two blocks
 DENSE_SHINGLES = 4_096
+#: a count of a profile takes four bits; this value stands for itself and all above
+PROFILE_FULL = 15
 #: words handled at once in a task
 WORDS_AT_ONCE = 250_000
 
@@ -120,16 +126,17 @@ def similarity_join(
     firsts = classes.select(F.col("class_id").alias("id")).distinct()
     kept = stage(rows.where("n > 0").join(firsts, "id", "left_semi"))
 
-    linked = stage(_compared(_stars(kept, percent), known, width, percent))
+    profiles = stage(kept.select("id", "n", "profile").distinct())
+    linked = stage(_compared(_stars(kept, percent), profiles, known, width, percent))
     joined = components(linked)
     pairs = stage(_shared_prefixes(kept, joined, percent))
     # first one partner for each text, then whatever is still in different components
     best = W.partitionBy("a").orderBy(F.desc("shared"), "b")
     first = pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("a", "b")
-    linked = linked.unionByName(stage(_compared(first, known, width, percent)))
+    linked = linked.unionByName(stage(_compared(first, profiles, known, width, percent)))
     joined = components(linked)
     rest = _apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
-    linked = linked.unionByName(stage(_compared(rest, known, width, percent)))
+    linked = linked.unionByName(stage(_compared(rest, profiles, known, width, percent)))
     # an id with several texts ties the classes of its texts together
     linked = linked.unionByName(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")))
     final = components(linked)
@@ -209,7 +216,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, totals: np.ndarray, width: int, percent: int, hot: int) -> DataFrame:
-    """Per text: set size, key of its words, its m, prefix shingles for the largest m, and its smallest hashes."""
+    """Per text: set size, key of its words, its m, prefix shingles for the largest m, smallest hashes, and profile."""
     mean = totals.mean()
     rank = np.log2(totals / max(mean, 1.0) + 1).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(
@@ -218,7 +225,7 @@ def _prefixes(docs: DataFrame, totals: np.ndarray, width: int, percent: int, hot
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rank, others, is_hot = shared.value
-        out: dict[str, list] = {k: [] for k in ("n", "words_key", "m", "tokens", "hot", "smallest")}
+        out: dict[str, list] = {k: [] for k in ("n", "words_key", "m", "tokens", "hot", "smallest", "profile")}
         texts = list(texts_of(batch.column("text")))
         for text, found in zip(texts, shingle_sets(iter(texts), width), strict=True):
             n = len(found)
@@ -239,16 +246,38 @@ def _prefixes(docs: DataFrame, totals: np.ndarray, width: int, percent: int, hot
             out["hot"].append(is_hot[at[order]])
             # another order than the prefixes', in which changed words do not come first
             out["smallest"].append(np.sort(mixed(found + np.uint64(1)))[:SMALLEST].view(np.int64))
+            out["profile"].append(_profile(found))
         types = {"n": pa.int64(), "words_key": pa.binary(), "m": pa.int32(),
-                 "tokens": pa.list_(pa.int64()), "hot": pa.list_(pa.bool_()), "smallest": pa.list_(pa.int64())}
+                 "tokens": pa.list_(pa.int64()), "hot": pa.list_(pa.bool_()), "smallest": pa.list_(pa.int64()), "profile": pa.binary()}
         return pa.record_batch({"id": batch.column("id")} | {k: pa.array(v, types[k]) for k, v in out.items()})
 
     return map_batches(
         docs.select("id", "text"), of,
-        "id long, n long, words_key binary, m int, tokens array<long>, hot array<boolean>, smallest array<long>",
+        "id long, n long, words_key binary, m int, tokens array<long>, hot array<boolean>, smallest array<long>, profile binary",
     )
 
 
+def _profile(found: np.ndarray) -> bytes:
+    """Counts of the shingles by the leading bits of their hashes, four bits each."""
+    bits = max(4, (len(found) // 2).bit_length() - 1)
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    low = np.minimum(counts, PROFILE_FULL).astype(np.uint8)
+    return (low[::2] | (low[1::2] << np.uint8(4))).tobytes()
+
+
+def _most_shared(a: bytes, b: bytes) -> int:
+    """No two sets of these profiles share more shingles."""
+
+    def counts(profile: bytes, size: int) -> np.ndarray:
+        packed = np.frombuffer(profile, np.uint8)
+        both = np.stack([packed & np.uint8(15), packed >> np.uint8(4)], axis=1).reshape(-1).astype(np.int64)
+        both[both == PROFILE_FULL] = 1 << 40
+        return both.reshape(size, -1).sum(axis=1)
+
+    size = 2 * min(len(a), len(b))
+    return int(np.minimum(counts(a, size), counts(b, size)).sum())
+
+
 def _near_sizes(percent: int, a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
@@ -264,9 +293,26 @@ def _stars(kept: DataFrame, percent: int) -> DataFrame:
     return named.join(sizes, "b").where(_near_sizes(percent, "n_a", "n_b")).select("a", "b")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose profiles allow as many shared shingles as similar texts have."""
+    sides = [
+        profiles.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("profile").alias(f"profile_{s}"))
+        for s in ("a", "b")
+    ]
+
+    def allowed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        profiles = zip(batch.column("profile_a").to_pylist(), batch.column("profile_b").to_pylist(), strict=True)
+        most = np.fromiter((_most_shared(a, b) for a, b in profiles), np.int64, len(n))
+        chosen = pa.array((100 + percent) * most >= percent * n)
+        return pa.record_batch({k: batch.column(k).filter(chosen) for k in ("a", "b")})
+
+    return map_batches(pairs.join(sides[0], "a").join(sides[1], "b"), allowed, "a long, b long")
+
+
+def _compared(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` whose texts are similar, by their whole sets."""
-    pairs = stage(pairs.select("a", "b").distinct())
+    pairs = stage(_possible(pairs.select("a", "b"), profiles, percent).distinct())
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = only_ids(docs, "id", ends)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(

@@ -329,6 +329,21 @@ def test_decontamination_proximity_of_every_phrase(spark):
         assert {r.doc_id: r.n_near_items for r in found} == expected
 
 
+def test_profiles_never_hide_a_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 31, 64, 400, 3000):
+        for changed in (0, 1, n // 10, n // 5, n):
+            for more in (0, n // 5):
+                base = r.integers(0, 2**64, n, np.uint64)
+                other = np.concatenate([base[changed:], r.integers(0, 2**64, changed + more, np.uint64)])
+                for a, b in ((base, other), (other, base), (base >> np.uint64(7), other >> np.uint64(7))):
+                    a, b = np.unique(a), np.unique(b)
+                    most = ngram_join._most_shared(ngram_join._profile(a), ngram_join._profile(b))
+                    assert most >= len(np.intersect1d(a, b))
+    a, b = (np.unique(r.integers(0, 2**64, 400, np.uint64)) for _ in range(2))
+    assert 180 * ngram_join._most_shared(ngram_join._profile(a), ngram_join._profile(b)) < 80 * 800
+
+
 def test_sharding_law(docs, empty, spark):
     many = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.repeat(F.lit("ä"), (F.col("id") % 90).cast("int"))).alias("text"),
@@ -347,6 +362,21 @@ def test_sharding_law(docs, empty, spark):
     assert sharding.shard_rows(empty, 8).count() == 0
 
 
+def test_sharding_law_with_repeated_rows(spark):
+    alike = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one and the same row").alias("text"))
+    without = spark.range(1500).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    others = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    frame = alike.union(without).union(others).withColumn("shard", F.lit("x")).withColumn("_repeat", F.lit(1)).withColumn("_key", F.lit("k"))
+    rows = sharding.shard_rows(frame, 8, cell_rows=100).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r.doc_id), str(r.text)) for r in frame.collect())
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by_shard.values())
+    sizes = [sum(r["size"] for r in own) for own in by_shard.values()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.002 * sum(sizes) / 8 + 2 * 21
+
+
 def _labelled(spark):
     rows, labels = [], []
     for i in range(400):
