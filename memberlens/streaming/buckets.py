@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from memberlens.functions.clock import micros_of
+from memberlens.session import ensure_state_on_disk
 
 #: how far behind the newest row a row may come and still meet all that concerns it
 LATENESS = timedelta(hours=1)
@@ -79,10 +80,12 @@ def decided(frame: DataFrame, decide: Decide, schema: T.StructType, kept: T.Stru
     """``decide`` over the buckets of a ``dealt`` frame, with a state of the type ``kept`` for each.
 
     Spark lets one such operator into a query, unless it is ``chained``: that form follows others of its kind,
-    and asks a state server of the executor for the state (it needs protobuf in the Python workers).
+    and asks a state server of the executor for the state (it needs protobuf in the Python workers, and a store
+    with several tables, which the session is given if it has Spark's own).
     """
     buckets = frame.groupBy("_bucket")
     if chained:
+        ensure_state_on_disk(frame.sparkSession)
         return buckets.transformWithStateInPandas(_Chained(decide, kept, frame.columns), schema, "append", "none")
     return buckets.applyInPandasWithState(decide, schema, kept, "append", GroupStateTimeout.NoTimeout)
 

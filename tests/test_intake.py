@@ -1,6 +1,7 @@
 """The intake job on messages with known results, and look-backs that read only their months."""
 
 from memberlens.plans import intake, locations
+from memberlens.session import ON_HEAP, STATE_STORE
 from memberlens.sources.messages import MESSAGE_SCHEMA, read_event_stream
 from memberlens.sources.retail import RetailWarehouse
 from memberlens.sources.warehouse import ParquetWarehouse
@@ -56,6 +57,20 @@ def test_intake_on_a_stream(spark, tmp_path):
     ]
 
 
+def test_intake_on_a_stream_of_a_session_with_the_default_state_store(spark, tmp_path):
+    rows = [("a", "D1", "im", None, "U1", second, "0", "hi") for second in ("1", "2")]
+    folder = str(tmp_path / "messages")
+    spark.createDataFrame(rows, MESSAGE_SCHEMA).coalesce(1).write.parquet(folder)
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_HEAP)
+    try:
+        stream = read_event_stream(spark, folder, MESSAGE_SCHEMA)
+        asked = process_available(intake.intake_stream(stream, buckets=3)).collect()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    assert [(r.event_id, r["at"].timestamp(), r.history_length) for r in asked] == [("a", 1.0, 1)]
+
+
 def test_look_back_over_month_folders_reads_those_months_only(spark, small, tmp_path):
     derived = RetailWarehouse(spark, small)
     derived.materialise(str(tmp_path), ["bookings", "location_master"])
