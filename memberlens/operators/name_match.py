@@ -6,13 +6,16 @@ keyed by one such piece, of the greatest length its longest run allows: the rare
 names' pieces in a sketch of fixed size. Each name gives out those of its pieces that some pattern is keyed
 by, and only pairs that share a key are tested. Patterns without any letter are keyed by the empty
 piece, which every name holds.
+
+A short pattern matches most names, of which a few are wanted. So matches are first counted by ranges of the
+person's key, and only those of the ranges that hold the wanted ones are ranked.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.operators.lookup import top_per_key
@@ -21,6 +24,8 @@ from memberlens.session import stage
 PIECES = (6, 3, 1)
 #: cells of the sketch: 8 KB as one bit each
 CELLS = 1 << 16
+#: ranges of the person's key, each with about as many people
+RANGES = 512
 
 
 def _cut(text: Column, size: int) -> Column:
@@ -81,13 +86,37 @@ def rarest_pieces(patterns: DataFrame, names: DataFrame) -> DataFrame:
     return stage(held.groupBy("_query").agg(F.min_by("piece", rarity).alias("_key")))
 
 
+def _ranges(people: DataFrame, person_key: str) -> list:
+    """The keys at which a new range starts, in ascending order: RANGES - 1 at most."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    starts = people.agg(F.percentile_approx(person_key, shares).alias("starts")).first()["starts"]
+    return sorted(set(starts or []))
+
+
+def _range_of(key: Column, starts: list, first: int = 0) -> Column:
+    """The number of the range ``key`` lies in, by halving; a missing key comes before all."""
+    if not starts:
+        return F.lit(first)
+    half = len(starts) // 2
+    below, above = _range_of(key, starts[:half], first), _range_of(key, starts[half + 1 :], first + half + 1)
+    return F.when(key.isNull() | (key < F.lit(starts[half])), below).otherwise(above)
+
+
+def _last_ranges(matched: DataFrame, limit: int) -> DataFrame:
+    """(_query, _last): the range in which the first ``limit`` matches of every query are complete."""
+    counts = matched.groupBy("_query", "_range").agg(F.count("*").alias("matches"))
+    lower = Window.partitionBy("_query").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("matches").over(lower), F.lit(0))).where(F.col("_before") < limit)
+    return needed.groupBy("_query").agg(F.max("_range").alias("_last"))
+
+
 def match_names(
     queries: DataFrame, people: DataFrame, name: Column, person_key: str, limit: int
 ) -> DataFrame:
     """Up to ``limit`` people per row of ``queries(query_id, name_query)``, lowest key first.
 
     Case is ignored. A backslash in a query is an ordinary character. Equal texts are searched once,
-    and their few matches handed to every query that asked for them.
+    and their few matches handed to every query that asked for them. ``person_key`` names a column of numbers.
     """
     asked = queries.select("query_id", F.lower("name_query").alias("_query"))
     text = F.col("_query")
@@ -99,11 +128,19 @@ def match_names(
     )
     named = people.withColumn("_name", F.lower(name)).where(F.col("_name").isNotNull())
     keys = rarest_pieces(patterns.select("_query"), named.select("_name"))
-    patterns = patterns.join(keys, "_query")
-    keyed = named.withColumn("_key", F.explode(_given(F.col("_name"), *_asked(keys.select(F.col("_key").alias("piece"))))))
+    # staged, so that Spark knows how few they are and reads the names side by side
+    patterns = stage(patterns.join(keys, "_query"))
+    given = _given(F.col("_name"), *_asked(keys.select(F.col("_key").alias("piece"))))
+    ranged = named.withColumn("_range", _range_of(F.col(person_key), _ranges(people, person_key)))
+    # staged, as they are gone through twice and names are cut at some cost
+    cut = stage(ranged.withColumn("_given", given))
+    keyed = cut.withColumn("_key", F.explode("_given")).drop("_given")
     matches = F.when(F.col("_pattern").isNull(), F.contains("_name", "_query")).otherwise(
         F.like("_name", F.col("_pattern"))
     )
-    matched = keyed.join(patterns, "_key").where(matches).drop("_key", "_name", "_pattern")
+    last = _last_ranges(keyed.join(patterns, "_key").where(matches), limit)
+    ending = stage(patterns.join(last, "_query"))
+    near = keyed.join(ending, "_key").where(F.col("_range") <= F.col("_last")).where(matches)
+    matched = near.drop("_key", "_name", "_pattern", "_range", "_last")
     first = top_per_key(matched, "_query", [F.asc(person_key)], limit).drop("_rank")
     return asked.join(first, "_query").drop("_query")

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from memberlens.operators.name_match import _asked, _cut, _given, match_names, rarest_pieces
+from memberlens.operators.name_match import _asked, _cut, _given, _last_ranges, _range_of, _ranges, match_names, rarest_pieces
 from memberlens.plans import catalog
 from memberlens.plans.catalog import Request
 from memberlens.sources.retail import RetailWarehouse
@@ -158,3 +158,25 @@ def test_matches_equal_plain_search(spark, limit):
         like = re.compile(".*" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in text.lower()) + ".*", re.DOTALL)
         want |= {(q, k) for k in sorted(k for k, name in people if name is not None and like.fullmatch(name.lower()))[:limit]}
     assert {tuple(x) for x in got} == want
+
+
+def _reference_ranges(keys, starts):
+    return [0 if key is None else sum(start <= key for start in starts) for key in keys]
+
+
+def test_only_matches_of_the_lowest_ranges_are_ranked(spark):
+    """A pattern that every name holds: the ranges left hold the first matches and few others."""
+    keys = [None, *range(-2_000, 6_000, 2)]
+    frame = spark.createDataFrame([(k, "bob") for k in keys], "id long, name string")
+    starts = _ranges(frame, "id")
+    ranged = frame.withColumn("_range", _range_of(F.col("id"), starts)).withColumn("_query", F.lit("b"))
+    assert len(starts) > 400
+    assert [r["_range"] for r in ranged.select("_range").collect()] == _reference_ranges(keys, starts)
+    last = _last_ranges(ranged, 20).collect()
+    kept = ranged.where(F.col("_range") <= last[0]["_last"]).count()
+    assert len(last) == 1 and 20 <= kept < 50
+    queries = spark.createDataFrame([(1, "b"), (2, "%"), (3, "x")], "query_id long, name_query string")
+    got = match_names(queries, frame, F.col("name"), "id", 20).select("query_id", "id").collect()
+    assert sorted((r.query_id, r.id is not None, r.id or 0) for r in got) == sorted(
+        (q, k is not None, k or 0) for q in (1, 2) for k in keys[:20]
+    )
