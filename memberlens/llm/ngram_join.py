@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from memberlens.llm.common import bound_batches, map_batches, mixed, only_ids, texts_of, word_hashes
+from memberlens.llm.common import bound_batches, map_batches, mixed, only_ids, texts_of, without_ids, word_hashes
 from memberlens.llm.components import components
 from memberlens.session import stage
 
@@ -123,8 +123,10 @@ def similarity_join(
     lowest = keyed.groupBy("words_key").agg(F.min("id").alias("class_id"))
     worded = stage(keyed.join(lowest, "words_key").select("id", "class_id", "words_key").distinct())
     classes = worded.select("id", "class_id").distinct()
+    # of equal texts one goes on; the rows with their prefixes are neither moved nor written again
     firsts = classes.select(F.col("class_id").alias("id")).distinct()
-    kept = stage(rows.where("n > 0").join(firsts, "id", "left_semi"))
+    others = stage(classes.select("id").distinct().join(firsts, "id", "left_anti"))
+    kept = without_ids(rows.where("n > 0"), "id", others)
 
     profiles = stage(kept.select("id", "n", "profile").distinct())
     linked = stage(_compared(_stars(kept, percent), profiles, known, width, percent))

@@ -17,7 +17,7 @@ from memberlens.llm import (
     boosting, decontamination, fingerprints, licenses, ngram_join, quality, queries, sentencepieces, sharding,
     token_counts, token_files, toxicity,
 )
-from memberlens.llm.common import only_ids
+from memberlens.llm.common import only_ids, without_ids
 from memberlens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, id string, n string"
@@ -460,3 +460,15 @@ def test_trees_and_isotonic():
     curve = boosting.fit_isotonic(np.array([1.0, 2, 3, 4, 4, 5]), np.array([0, 1, 0, 1, 1, 1.0]))
     assert (np.diff(curve.share) >= 0).all() and curve.share[0] == 0 and curve.share[-1] == 1
     assert boosting.fit_trees(rows[:5], np.ones(5)).margin(rows[:2]).shape == (2,)
+
+
+def test_rows_without_some_ids_are_not_moved(spark, tmp_path):
+    """The anti join by a bitmap gives the plain one's rows, and shuffles only those whose id may be among the ids."""
+    rows = spark.range(20_000).select("id", F.repeat(F.lit("x"), 50).alias("wide")).repartition(4)
+    ids = spark.createDataFrame([(k,) for k in (*range(0, 20_000, 1_000), 99_999)], "away long")
+    left = without_ids(rows, "id", ids)
+    assert [r.id for r in left.select("id").orderBy("id").collect()] == [k for k in range(20_000) if k % 1_000]
+    assert left.columns == ["id", "wide"]
+    assert without_ids(rows, "id", ids.where("false")).count() == 20_000
+    unsure = only_ids(rows, "id", ids).count()
+    assert 20 <= unsure < 200
