@@ -105,6 +105,22 @@ def test_a_long_text_goes_through_in_pieces(spark, monkeypatch):
     assert [tuple(g)[1:] for g in got] == want
 
 
+def test_equal_segments_of_a_text_are_one_row(spark):
+    r = random.Random(8)
+    noise = ["".join(r.choice("abcdefgh ") for _ in range(700)) for _ in range(3)]
+    rows = [
+        (1, noise[0] + "the pair " * 300 + noise[1], "en"), (2, "the pair " * 200, "en"), (3, noise[1] + "a" * 3_000, "en"),
+        (4, noise[2] + noise[2] + "x" + noise[2][:450], "en"), (5, "b" * 401, "en"), (6, "c" * 400, "en"),
+    ]
+    docs = _frame(spark, rows, 2)
+    found = suffix_dedup._occurrences(suffix_dedup._keyed(docs, "doc_id", "text"), 400)
+    assert found.groupBy("ka", "anchor", "content").count().where("count > 1").count() == 0
+    places = sum(max(0, len(t) - 399) for _, t, _ in rows)
+    assert found.selectExpr("sum(times * windows)").first()[0] == places and found.count() < 100
+    got = suffix_dedup.digests(docs).orderBy("doc_id").collect()
+    assert [tuple(g)[1:] for g in got] == _brute_repeats([t for _, t, _ in rows], 400)
+
+
 # -- op12 ----------------------------------------------------------------------------------------------
 
 ODD_TEXTS = [
